@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import language, pieces, token_files
 
 QUERIES = {
+    "op8_language": language.op8_language,
+    "op9_pieces": pieces.op9_pieces,
     "op10_token_files": token_files.op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
