@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, pieces, token_files
+from . import language, pieces, simhash, token_files
 
 QUERIES = {
+    "op6_simhash": simhash.op6_simhash,
     "op8_language": language.op8_language,
     "op9_pieces": pieces.op9_pieces,
     "op10_token_files": token_files.op10_token_files,
