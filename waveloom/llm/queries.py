@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import language, pieces, simhash, token_files
+from . import decontaminate, language, pieces, simhash, token_files
 
 QUERIES = {
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_simhash": simhash.op6_simhash,
     "op8_language": language.op8_language,
     "op9_pieces": pieces.op9_pieces,
     "op10_token_files": token_files.op10_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.ORACLE_SQL,
+}
