@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, pieces, simhash, token_files
+from . import decontaminate, language, pieces, simhash, token_files, warc
 
 QUERIES = {
+    "op4_warc": warc.op4_warc,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_simhash": simhash.op6_simhash,
     "op8_language": language.op8_language,
@@ -12,5 +13,6 @@ QUERIES = {
     "op10_token_files": token_files.op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": warc.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
 }
