@@ -13,11 +13,13 @@ executor leaves at most an unreferenced file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,48 +59,89 @@ def unframe(data: bytes) -> bytes:
 
 
 class WordCachedEncoder:
-    """Encodes whole texts with the tokenizers library, asking it once for each distinct stretch between spaces.
+    """Encodes whole texts with the tokenizers library, asking it once for each distinct piece of text.
 
-    A byte-level pre-tokenizer always starts a new piece at a space that stands between two visible characters, so the
-    stretches encode on their own. Texts with other spacing are cut only where that holds. The cache is emptied at
-    ``limit`` entries, which bounds a worker's memory.
+    A byte-level pre-tokenizer always starts anew at a space between two visible characters, where a Latin letter is
+    followed by punctuation, and on either side of a line end between visible characters. So what lies between such
+    places encodes on its own. Other text is not cut. Both caches are emptied at ``limit`` entries, which bounds a
+    worker's memory.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.limit, self.known, self.heads = limit, {}, {}
-        self.loose = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
-        self.open_end = re.compile(r"\A(?![!-~\w])|(?<![!-~\w])\Z")
-
-    def _learn(self, cache: dict, pieces: set, lead: str) -> None:
-        new = list(pieces - cache.keys())
-        if len(cache) + len(new) > self.limit:
-            cache.clear()
-            new = list(pieces)
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False), strict=True):
-            cache[piece] = array(self.code, found.ids).tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
+        self.limit = limit
+        #: Packed ids by the text between two spaces, with a space before it; None where the spaces are no place to cut.
+        self.stretches: dict[str, bytes | None] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.spaces = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
+        self.open_end = re.compile(r"\A(?![!-~\w])|[^!-~\w]\Z")
+        self.inside = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[^\w\s'])|(?<=[!-~À-ɏ])(?=\n[!-~À-ɏ])|(?<=[!-~À-ɏ]\n)(?=[!-~À-ɏ])")
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that encode on their own."""
+        cut = [self.inside.split(t) for t in texts]
+        new = list(set().union(*cut) - self.pieces.keys())
+        if len(self.pieces) + len(new) > self.limit:
+            self.pieces.clear()
+            new = list(set().union(*cut))
+        # A space and letters always make a first token with that space and others without: such pieces go in one string.
+        words = [p for p in new if p[:1] == " " and p[1:].isalpha()]
+        rows = [words[i : i + 100] for i in range(0, len(words), 100)]
+        alone = [p for p in new if not (p[:1] == " " and p[1:].isalpha())]
+        for row, found in zip(rows, self.tokenizer.encode_batch_fast(["".join(r) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.code)
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(row):
+                alone += row
+                continue
+            data, ends = ids.tobytes(), (starts * ids.itemsize).tolist()
+            for piece, a, b in zip(row, ends, [*ends[1:], len(data)], strict=True):
+                self.pieces[piece] = data[a:b]
+        for piece, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.pieces[piece] = array(self.code, found.ids).tobytes()
+        get = self.pieces.__getitem__
+        return [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed in native little-endian order."""
-        parts = [t.split(" ") for t in texts]
-        closed = {p: not self.open_end.search(p) for p in set().union(*parts)} if parts else {}
-        out: list[bytes] = []
-        cut = [p if all(map(closed.__getitem__, p)) else None for p in parts]
-        for i, text in enumerate(texts):
-            if cut[i] is None:
-                whole = self.loose.split(text) if text else []
-                cut[i] = [whole[0], *(w[1:] for w in whole[1:])] if whole else []
-        self._learn(self.known, set().union(*(p[1:] for p in cut)), " ")
-        self._learn(self.heads, {p[0] for p in cut if p}, "")
-        for p in cut:
-            out.append(self.heads[p[0]] + b"".join(map(self.known.__getitem__, p[1:])) if p else b"")
+        known = self.stretches
+        split = [t.split(" ") for t in texts]
+        new = set().union(*split) - known.keys()
+        if len(known) + len(new) > self.limit:
+            known.clear()
+            new = set().union(*split)
+        if new:
+            shut = [p for p in new if not self.open_end.search(p)]
+            known.update(dict.fromkeys(new))
+            known.update(zip(shut, self._packed([" " + p for p in shut]), strict=True))
+        out: list[bytes | None] = []
+        other: list[tuple[int, list[str]]] = []
+        get = known.__getitem__
+        for i, parts in enumerate(split):
+            if get(parts[0]) is None:
+                found = None
+            else:
+                try:
+                    found = b"".join(islice(map(get, parts), 1, None))
+                except TypeError:  # one is None
+                    found = None
+            out.append(found)
+            if found is None:
+                other.append((i, self.spaces.split(texts[i])))
+        # The first stretch of a text has no space before it; texts with unusual spacing are looked up cut by cut.
+        heads = self._packed([p[0] for p in split])
+        rest = iter(self._packed([c for _, cuts in other for c in cuts]))
+        out = [None if o is None else h + o for h, o in zip(heads, out, strict=True)]
+        for i, cuts in other:
+            out[i] = b"".join(next(rest) for _ in cuts)
         return out
 
 
