@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, phrases, pieces, simhash, token_files, topk, warc
+from . import decontaminate, language, phrases, pieces, simhash, suffixes, token_files, topk, warc
 
 QUERIES = {
+    "op7_suffixes": suffixes.op7_suffixes,
     "op2_phrases": phrases.op2_phrases,
     "op1_topk": topk.op1_topk,
     "op4_warc": warc.op4_warc,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_token_files": token_files.op10_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op7_suffixes": phrases.ORACLE_SQL,
     "op2_phrases": phrases.ORACLE_SQL,
     "op1_topk": topk.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
