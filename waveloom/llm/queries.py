@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, phrases, pieces, simhash, suffixes, token_files, topk, warc
+from . import decontaminate, language, lm, phrases, pieces, simhash, suffixes, token_files, topk, warc
 
 QUERIES = {
+    "op3_lm": lm.op3_lm,
     "op7_suffixes": suffixes.op7_suffixes,
     "op2_phrases": phrases.op2_phrases,
     "op1_topk": topk.op1_topk,
