@@ -148,8 +148,11 @@ def fit(docs: DataFrame, sample_docs: int = 48, sample_chars: int = 400) -> Lang
     """Learn from a bounded sample: of each language the ``sample_docs`` labelled documents with the least hash of doc_id,
     ``sample_chars`` characters of each. Documents held out, and those without text, lang or doc_id, are not used."""
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_docs)
+    # First within many cuts of each language, then among what those leave: a language may hold most of the rows.
+    order = F.xxhash64("doc_id"), F.col("doc_id")
+    some = usable.select("doc_id", "lang").distinct().withColumn("cut", F.pmod(F.hash("doc_id"), F.lit(64)))
+    some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang", "cut").orderBy(*order))).filter(F.col("place") <= sample_docs)
+    chosen = some.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("place")).filter(F.col("place") <= sample_docs)
     # At most sample_docs rows a language.
     rows = usable.select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("sample")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "place", "sample").distinct().collect()
     texts: dict[str, str] = {}
