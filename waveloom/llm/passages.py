@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -22,6 +23,8 @@ from . import common
 
 WINDOW = 50
 GRAM = 16
+#: Compressed bytes of text that a task opens at once, or one document.
+SLICE = 640 << 10
 
 
 def text_key(text: bytes) -> int:
@@ -36,13 +39,25 @@ def minima(h: np.ndarray) -> np.ndarray:
 
 
 def texts_of(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    """The UTF-8 texts of a batch that has them as ``text`` or, compressed, as ``z``; null is empty."""
+    if "text" in batch.schema.names:
+        return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    inflate = zstandard.ZstdDecompressor().decompress
+    return [inflate(z) if z is not None else b"" for z in batch.column("z").to_pylist()]
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` as (doc_id, text, rest), dealt by doc_id; every later step reads this one shuffle."""
+    """``docs`` as (doc_id, z, rest), dealt by doc_id: z is the compressed text, rest a struct of the other columns."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *([F.struct(*rest).alias("rest")] if rest else [])).repartition("doc_id")
+    whole = docs.select("doc_id", F.col("text").cast("binary").alias("z"), *([F.struct(*rest).alias("rest")] if rest else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deflate = zstandard.ZstdCompressor(level=1).compress
+        for batch in common.text_slices(batches, "z", 4 << 20):
+            packed = pa.array([deflate(t) if t is not None else None for t in batch.column("z").to_pylist()], pa.binary())
+            yield batch.set_column(1, "z", packed)
+
+    return whole.mapInArrow(run, whole.schema).repartition("doc_id")
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -75,15 +90,17 @@ def recurring_by_count(found: DataFrame) -> DataFrame:
 
 
 def owned_runs(base: DataFrame, found: DataFrame, recurring: DataFrame, copied: DataFrame) -> DataFrame:
-    """(doc_id, key, start, n, owner, owner_start): the longest runs of windows that a document shares, in step, with the
-    smallest document that has them; start and n count words."""
-    hits = found.join(recurring, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
+    """(doc_id, start, n, owner, owner_start): the longest runs of windows that a document shares, in step, with the
+    smallest document that has them; start and n count words. A doc_id with several texts has the runs of each.
+
+    Written as a table: a few rows a document."""
+    hits = found.join(recurring, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"), (F.min("key") != F.max("key")).alias("several"))
     asked = base.join(hits, "doc_id").join(copied, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_slices(batches, limit=2 << 20):
+        for batch in common.text_slices(batches, "z", SLICE):
             parts = [[np.empty(0, np.uint64)] * 2 + [np.empty(0, np.int64)] * 3]
-            for doc_id, text, hit, copy in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("hits"), batch.column("copied").to_pylist(), strict=True):
+            for doc_id, text, hit, several, copy in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("hits"), batch.column("several").to_pylist(), batch.column("copied").to_pylist(), strict=True):
                 key = text_key(text)
                 if key in (copy or ()):
                     continue
@@ -92,19 +109,20 @@ def owned_runs(base: DataFrame, found: DataFrame, recurring: DataFrame, copied:
                 known = np.sort(np.asarray(hit.values))
                 at = np.flatnonzero(known[np.minimum(np.searchsorted(known, m), len(known) - 1)] == m) if len(m) else np.empty(0, np.int64)
                 if len(at):
-                    parts.append([common.sequence_hashes(h, WINDOW)[at], common.sequence_hashes(h, WINDOW, 0x5851F42D4C957F2D)[at], np.full(len(at), doc_id), np.full(len(at), key), at])
+                    parts.append([common.sequence_hashes(h, WINDOW)[at], common.sequence_hashes(h, WINDOW, 0x5851F42D4C957F2D)[at], np.full(len(at), doc_id), np.full(len(at), key if several else 0), at])
             cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
             for lo in range(0, len(cols[0]), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(common.signed(c[lo : lo + (1 << 16)]) if c.dtype == np.uint64 else c[lo : lo + (1 << 16)]) for c in cols], names=["w1", "w2", "doc_id", "key", "start"])
 
     windows = asked.mapInArrow(run, "w1 long, w2 long, doc_id long, key long, start long").withColumn("start", F.col("start").cast("int"))
-    owner = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("o"), F.max("doc_id").alias("last")).filter("last > o.doc_id")
-    owner = owner.select("w1", "w2", F.col("o.doc_id").alias("owner"), F.col("o.start").alias("owner_start"))
+    # Any place of the window in its owner will do.
+    owner = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.min_by("start", "doc_id").alias("owner_start"), F.max("doc_id").alias("last")).filter("last > owner").drop("last")
     shared = windows.join(owner, ["w1", "w2"]).filter("doc_id > owner").select("doc_id", "key", "start", "owner", "owner_start").distinct()
     order = Window.partitionBy("doc_id", "key").orderBy("start", "owner", "owner_start")
     fresh = (F.col("start") == F.lag("start").over(order) + 1) & (F.col("owner") == F.lag("owner").over(order)) & (F.col("owner_start") == F.lag("owner_start").over(order) + 1)
     numbered = shared.withColumn("fresh", F.when(fresh, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
-    return numbered.groupBy("doc_id", "key", "run").agg(F.min("start").alias("start"), (F.count("*") + WINDOW - 1).cast("int").alias("n"), F.first("owner").alias("owner"), F.min("owner_start").alias("owner_start")).drop("run")
+    runs = numbered.groupBy("doc_id", "key", "run").agg(F.min("start").alias("start"), (F.count("*") + WINDOW - 1).cast("int").alias("n"), F.first("owner").alias("owner"), F.min("owner_start").alias("owner_start"))
+    return common.staged(runs.select("doc_id", "start", "n", "owner", "owner_start"), "runs")
 
 
 def with_words(runs: DataFrame, base: DataFrame) -> DataFrame:
@@ -113,7 +131,7 @@ def with_words(runs: DataFrame, base: DataFrame) -> DataFrame:
     asked = runs.groupBy("owner").agg(F.collect_set(F.struct("owner_start", "n")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_slices(batches, limit=2 << 20):
+        for batch in common.text_slices(batches, "z", SLICE):
             for owner, text, asked in zip(batch.column("owner").to_pylist(), texts_of(batch), batch.column("asked"), strict=True):
                 words = text.split()
                 rows = [(x["owner_start"], x["n"]) for x in asked.as_py()]
@@ -125,13 +143,13 @@ def with_words(runs: DataFrame, base: DataFrame) -> DataFrame:
     return runs.join(fetched, ["owner", "owner_start", "n"])
 
 
-def finished(base: DataFrame, attached: DataFrame, copied: DataFrame, mark: Callable, schema, emit: Callable, slice_bytes: int = 2 << 20) -> DataFrame:
+def finished(base: DataFrame, attached: DataFrame, copied: DataFrame, mark: Callable, schema, emit: Callable, slice_bytes: int = SLICE) -> DataFrame:
     """Give each slice of documents, with what is ``attached`` to them, to ``mark``, which tells the words to remove; ``emit``
     makes a record batch of a slice, its texts and those marks. A copy of ``WINDOW`` words or more loses every word."""
     joined = base.join(attached, "doc_id", "left").join(copied, "doc_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_slices(batches, limit=slice_bytes):
+        for batch in common.text_slices(batches, "z", slice_bytes):
             texts = texts_of(batch)
             words = [t.split() for t in texts]
             gone = mark(batch.column("doc_id").to_pylist(), words, batch.column("attached"))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -132,11 +133,12 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
             left.append(b"".join([*parts, text[at:]]))
         cut = pa.array([bool(g.any()) for g in gone], pa.bool_())
         columns = {c: batch.column(c) for c in kept} | {"text": pa.array(left, pa.binary()).cast(pa.string()), "cut": cut}
+        columns["text"] = pc.if_else(batch.column("z").is_null(), pa.scalar(None, pa.string()), columns["text"])
         out = pa.RecordBatch.from_pydict(columns)
         return out.filter(pa.array([bool(t.strip()) or not g.any() for t, g in zip(left, gone, strict=True)], pa.bool_()))
 
-    kept = [c for c in base.columns if c != "text"]
-    schema = base.select(*kept, "text").withColumn("cut", F.lit(True)).schema
+    kept = [c for c in base.columns if c != "z"]
+    schema = base.select(*kept, F.lit("").alias("text"), F.lit(True).alias("cut")).schema
     done = passages.finished(base, attached, copied, confirmed, schema, emit)
     rest = {c: F.col("rest")[c] for c in docs.columns if c not in ("doc_id", "text")}
     if "n_chars" in rest:
