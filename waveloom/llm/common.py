@@ -31,11 +31,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+def staged(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
+
+    ``release`` has the driver collect its garbage afterwards, upon which Spark deletes the shuffle files of the finished job
+    that nothing refers to any more; else they stay until the driver happens to do so, beside those of the next job."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
+    if release:
+        df.sparkSession._jvm.System.gc()
     back.staged_at = path
     return back
 

@@ -122,7 +122,7 @@ def owned_runs(base: DataFrame, found: DataFrame, recurring: DataFrame, copied:
     fresh = (F.col("start") == F.lag("start").over(order) + 1) & (F.col("owner") == F.lag("owner").over(order)) & (F.col("owner_start") == F.lag("owner_start").over(order) + 1)
     numbered = shared.withColumn("fresh", F.when(fresh, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
     runs = numbered.groupBy("doc_id", "key", "run").agg(F.min("start").alias("start"), (F.count("*") + WINDOW - 1).cast("int").alias("n"), F.first("owner").alias("owner"), F.min("owner_start").alias("owner_start"))
-    return common.staged(runs.select("doc_id", "start", "n", "owner", "owner_start"), "runs")
+    return common.staged(runs.select("doc_id", "start", "n", "owner", "owner_start"), "runs", release=True)
 
 
 def with_words(runs: DataFrame, base: DataFrame) -> DataFrame:

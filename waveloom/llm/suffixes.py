@@ -78,7 +78,7 @@ def matches(array: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int32()), pa.array([part] * 2, pa.int32()), *(pa.array([first[k], last[k]], pa.int64()) for k in range(3))], names=["edge", "part", "prefix", "h", "key"])
 
     ordered = array.repartitionByRange(*keys[:4]).sortWithinPartitions(*keys)
-    compared = common.staged(ordered.mapInArrow(run, "edge int, part int, prefix long, h long, key long"), "neighbours")
+    compared = common.staged(ordered.mapInArrow(run, "edge int, part int, prefix long, h long, key long"), "neighbours", release=True)
     # Two rows a range.
     order = Window.orderBy("part", "edge")
     ends = compared.filter("edge > 0").select("h", *((F.col(c) == F.lag(c).over(order)).alias(f"same_{c}") for c in ("prefix", "h", "key")))
