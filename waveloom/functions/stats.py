@@ -36,12 +36,14 @@ def quartiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
 
 
-def robust_z(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """(x - median) / population deviation, over ``by`` or all rows; the plain difference where the deviation is nil."""
+def robust_z(df: DataFrame, columns: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """For each name: (x - median) / population deviation of its column over ``by`` or all rows; the plain difference where
+    the deviation is nil. However many columns there are, they take one aggregate and one join."""
     by = by or []
-    stats = df.groupBy(*by).agg(F.median(value).alias("_mid"), F.stddev_pop(value).alias("_dev"))
-    joined = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # one row of two numbers
-    return joined.withColumn(out, (F.col(value) - F.col("_mid")) / F.when(F.col("_dev") > 1e-9, F.col("_dev")).otherwise(1.0)).drop("_mid", "_dev")
+    stats = df.groupBy(*by).agg(*(a for i, c in enumerate(columns.values()) for a in (F.median(c).alias(f"_mid{i}"), F.stddev_pop(c).alias(f"_dev{i}"))))
+    joined = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # one row of two numbers a column
+    z = {out: (F.col(c) - F.col(f"_mid{i}")) / F.when(F.col(f"_dev{i}") > 1e-9, F.col(f"_dev{i}")).otherwise(1.0) for i, (out, c) in enumerate(columns.items())}
+    return joined.withColumns(z).drop(*(f"_{s}{i}" for s in ("mid", "dev") for i in range(len(columns))))
 
 
 def robust_scale(df: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -110,11 +110,12 @@ def row_quality(rows: DataFrame, label: str, values: list[str], unit: str, penal
     return scored.withColumn("quality_status", F.when(F.col("quality_score") < review_below, "review").otherwise("ok"))
 
 
-def composite(df: DataFrame, components: list[str], out: str, by: list[str] | None = None) -> DataFrame:
-    """Mean of the robust z-scores that are present, computed over the rows at hand."""
-    for c in components:
-        df = stats.robust_z(df, c, f"_z_{c}", by)
-    return df.withColumn(out, stats.row_mean(*(f"_z_{c}" for c in components))).drop(*(f"_z_{c}" for c in components))
+def composites(df: DataFrame, scores: Mapping[str, list[str]], by: list[str] | None = None, alone: Mapping[str, str] | None = None) -> DataFrame:
+    """For each score the mean of its components' robust z-scores that are present, over the rows at hand; ``alone`` names
+    z-scores of single columns. All are formed from one aggregate."""
+    parts = sorted({c for components in scores.values() for c in components})
+    z = stats.robust_z(df, {f"_z_{c}": c for c in parts} | dict(alone or {}), by)
+    return z.withColumns({out: stats.row_mean(*(f"_z_{c}" for c in components)) for out, components in scores.items()}).drop(*(f"_z_{c}" for c in parts))
 
 
 #: Domains of outcome components; fixed values.
@@ -129,11 +130,10 @@ DOMAINS = {
 def linkage_frame(features: DataFrame, outcomes: DataFrame, assignments: DataFrame, key: str = "filegroup_id", window: int = 100) -> DataFrame:
     """Features, outcomes and mode labels of each case with domain scores, RI z-score, harshness and seat-twist proxies and their products."""
     joined = features.join(outcomes, key).join(assignments, key, "left")
-    for domain, parts in DOMAINS.items():
-        joined = composite(joined, [c for c in parts if c in outcomes.columns], f"{domain}_score")
-    joined = stats.robust_z(joined, f"window_{window:03d}_ri", "ri_z")
-    joined = composite(joined, [f"window_{window:03d}_max_abs_az_g", f"window_{window:03d}_max_abs_resultant_g"], "harshness_proxy")
-    joined = composite(joined, [f"window_{window:03d}_seat_twist_peak_mm", f"window_{window:03d}_foot_resultant_asymmetry_g"], "seat_response_proxy")
+    scores = {f"{domain}_score": [c for c in parts if c in outcomes.columns] for domain, parts in DOMAINS.items()}
+    name = f"window_{window:03d}_"
+    scores |= {"harshness_proxy": [name + "max_abs_az_g", name + "max_abs_resultant_g"], "seat_response_proxy": [name + "seat_twist_peak_mm", name + "foot_resultant_asymmetry_g"]}
+    joined = composites(joined, scores, alone={"ri_z": name + "ri"})
     return joined.withColumns({"ri_x_harshness": F.col("ri_z") * F.col("harshness_proxy"), "ri_x_seat_response": F.col("ri_z") * F.col("seat_response_proxy")})
 
 
@@ -150,9 +150,7 @@ def sensitivity(frame: DataFrame, components: dict[str, list[str]], driver: str,
     """For each scenario (one component left out, or none) the correlation of each domain's score with ``driver``; scores are formed anew in each scenario."""
     out = None
     for skip in dropped:
-        scored = frame
-        for domain, parts in components.items():
-            scored = composite(scored, [c for c in parts if c != skip], f"{domain}_s")
+        scored = composites(frame, {f"{domain}_s": [c for c in parts if c != skip] for domain, parts in components.items()})
         one = scored.agg(*(stats.pearson(f"{d}_s", driver).alias(d) for d in components)).unpivot([], list(components), "domain", "r").withColumn("scenario", F.lit(skip or "all"))
         out = one if out is None else out.unionByName(one)
     return out

@@ -227,7 +227,7 @@ def quantile_gap(spark, sf_dir):
 
 @query("""WITH s AS (SELECT c_mktsegment, median(c_acctbal) AS m, stddev_pop(c_acctbal) AS d FROM customer GROUP BY 1) SELECT c_custkey, round((c_acctbal - m) / CASE WHEN d > 1e-9 THEN d ELSE 1 END, 6) AS z FROM customer JOIN s USING (c_mktsegment)""")
 def robust_z(spark, sf_dir):
-    return rounded(stats.robust_z(table(spark, sf_dir, "customer"), "c_acctbal", "z", ["c_mktsegment"]).select("c_custkey", "z"))
+    return rounded(stats.robust_z(table(spark, sf_dir, "customer"), {"z": "c_acctbal"}, ["c_mktsegment"]).select("c_custkey", "z"))
 
 
 @query(f"""WITH {ROWS}, c AS (SELECT case_id, max(result_number) AS a, avg(left_number) AS b, min(time_number) AS t FROM r GROUP BY 1),
@@ -235,7 +235,7 @@ def robust_z(spark, sf_dir):
  SELECT case_id, round(((a - ma) / CASE WHEN da > 1e-9 THEN da ELSE 1 END + (b - mb) / CASE WHEN db > 1e-9 THEN db ELSE 1 END + (t - mt) / CASE WHEN dt > 1e-9 THEN dt ELSE 1 END) / 3, 6) AS severity FROM c, s""")
 def composite_score(spark, sf_dir):
     per = result_rows(spark, sf_dir).groupBy("case_id").agg(F.max("result_number").alias("a"), F.avg("left_number").alias("b"), F.min("time_number").alias("t"))
-    return rounded(marts.composite(per, ["a", "b", "t"], "severity").select("case_id", "severity"))
+    return rounded(marts.composites(per, {"severity": ["a", "b", "t"]}).select("case_id", "severity"))
 
 
 @query(f"""WITH {ROWS}, b AS (SELECT quality_status, normalized_label AS label, result_number AS v FROM r), m AS (SELECT quality_status, avg(v) AS m FROM b GROUP BY 1), g AS (SELECT quality_status, label, count(*) AS n, avg(v) AS lm FROM b GROUP BY 1, 2)
