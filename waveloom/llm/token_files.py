@@ -67,7 +67,7 @@ class WordCachedEncoder:
     worker's memory.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -89,8 +89,8 @@ class WordCachedEncoder:
         """Ids of texts that encode on their own."""
         cut = [self.inside.split(t) for t in texts]
         new = list(set().union(*cut) - self.pieces.keys())
-        if len(self.pieces) + len(new) > self.limit:
-            self.pieces.clear()
+        if len(self.pieces) + len(new) > self.limit // 2:
+            self.pieces = {}
             new = list(set().union(*cut))
         # A space and letters always make a first token with that space and others without: such pieces go in one string.
         words = [p for p in new if p[:1] == " " and p[1:].isalpha()]
@@ -114,10 +114,10 @@ class WordCachedEncoder:
         """The ids of each text, packed in native little-endian order."""
         known = self.stretches
         split = [t.split(" ") for t in texts]
-        new = set().union(*split) - known.keys()
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = set().union(*split)
+        here = set().union(*split)
+        new = here - known.keys()
+        if len(known) + len(new) > self.limit:  # what these texts use is likely to come again
+            known = self.stretches = {k: known[k] for k in here - new}
         if new:
             shut = [p for p in new if not self.open_end.search(p)]
             known.update(dict.fromkeys(new))
