@@ -118,6 +118,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def columns_of(df: DataFrame) -> list:
+    """All columns, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def ascii_lower(column):
     """Lower-case A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -85,7 +85,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is contained; rows without doc_id stay."""
-    return docs.join(contained(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(contained(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(common.columns_of(docs))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,7 +203,7 @@ def hex_fingerprint(fp="fp"):
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is the least of its group; rows without doc_id stay."""
     dropped = near_components(docs).filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select(common.columns_of(docs))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

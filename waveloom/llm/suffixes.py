@@ -138,7 +138,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         return out.filter(pa.array([bool(t.strip()) or not g.any() for t, g in zip(left, gone, strict=True)], pa.bool_()))
 
     kept = [c for c in base.columns if c != "z"]
-    schema = base.select(*kept, F.lit("").alias("text"), F.lit(True).alias("cut")).schema
+    schema = base.select(*kept, F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("cut")).schema
     done = passages.finished(base, attached, copied, confirmed, schema, emit)
     rest = {c: F.col("rest")[c] for c in docs.columns if c not in ("doc_id", "text")}
     if "n_chars" in rest:
