@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -13,10 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from waveloom.session import ship
+
 #: Words are runs of anything but these ASCII white-space bytes; ``bytes.split()`` cuts at the same six.
 WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
 
+def ready(spark: SparkSession) -> None:
+    """Small Arrow batches, unless the session has its own size: rows here are texts, and a batch of them is held whole in the
+    executor and in its Python worker. And the package itself, for executors that have no copy of it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    ship(spark)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI; set here only where the session has none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -40,7 +51,9 @@ def staged(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     if release:
-        df.sparkSession._jvm.System.gc()
+        for _ in range(2):
+            time.sleep(0.5)  # the listeners still hold a job that has just ended
+            df.sparkSession._jvm.System.gc()
     back.staged_at = path
     return back
 

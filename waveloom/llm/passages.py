@@ -47,9 +47,10 @@ def texts_of(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` as (doc_id, z, rest), dealt by doc_id: z is the compressed text, rest a struct of the other columns."""
+    """``docs`` as (doc_id, z, k, rest), dealt by k: z is the compressed text, k the doc_id or, where there is none, a hash of
+    the text, and rest a struct of the other columns. k is never null, so every join on it reads the same shuffle."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    whole = docs.select("doc_id", F.col("text").cast("binary").alias("z"), *([F.struct(*rest).alias("rest")] if rest else []))
+    whole = docs.select("doc_id", F.col("text").cast("binary").alias("z"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("k"), *([F.struct(*rest).alias("rest")] if rest else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deflate = zstandard.ZstdCompressor(level=1).compress
@@ -57,7 +58,7 @@ def spread(docs: DataFrame) -> DataFrame:
             packed = pa.array([deflate(t) if t is not None else None for t in batch.column("z").to_pylist()], pa.binary())
             yield batch.set_column(1, "z", packed)
 
-    return whole.mapInArrow(run, whole.schema).repartition("doc_id")
+    return whole.mapInArrow(run, whole.schema).repartition("k")
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -95,7 +96,7 @@ def owned_runs(base: DataFrame, found: DataFrame, recurring: DataFrame, copied:
 
     Written as a table: a few rows a document."""
     hits = found.join(recurring, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"), (F.min("key") != F.max("key")).alias("several"))
-    asked = base.join(hits, "doc_id").join(copied, "doc_id", "left")
+    asked = joined(joined(base, hits, "inner"), copied)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "z", SLICE):
@@ -115,8 +116,9 @@ def owned_runs(base: DataFrame, found: DataFrame, recurring: DataFrame, copied:
                 yield pa.RecordBatch.from_arrays([pa.array(common.signed(c[lo : lo + (1 << 16)]) if c.dtype == np.uint64 else c[lo : lo + (1 << 16)]) for c in cols], names=["w1", "w2", "doc_id", "key", "start"])
 
     windows = asked.mapInArrow(run, "w1 long, w2 long, doc_id long, key long, start long").withColumn("start", F.col("start").cast("int"))
-    # Any place of the window in its owner will do.
-    owner = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.min_by("start", "doc_id").alias("owner_start"), F.max("doc_id").alias("last")).filter("last > owner").drop("last")
+    # The first place in the smallest document: a text that repeats itself then maps to one stretch of its owner again and again.
+    owner = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("o"), F.max("doc_id").alias("last")).filter("last > o.doc_id")
+    owner = owner.select("w1", "w2", F.col("o.doc_id").alias("owner"), F.col("o.start").alias("owner_start"))
     shared = windows.join(owner, ["w1", "w2"]).filter("doc_id > owner").select("doc_id", "key", "start", "owner", "owner_start").distinct()
     order = Window.partitionBy("doc_id", "key").orderBy("start", "owner", "owner_start")
     fresh = (F.col("start") == F.lag("start").over(order) + 1) & (F.col("owner") == F.lag("owner").over(order)) & (F.col("owner_start") == F.lag("owner_start").over(order) + 1)
@@ -126,39 +128,53 @@ def owned_runs(base: DataFrame, found: DataFrame, recurring: DataFrame, copied:
 
 
 def with_words(runs: DataFrame, base: DataFrame) -> DataFrame:
-    """Add ``passage``, the words of each run as its owner has them, joined by one space. The owner's text is read once
-    for all runs, however many documents share them."""
+    """(doc_id, attached): for each document the distinct stretches (owner, owner_start, n, passage) that its runs name, passage
+    being the words as the owner has them, joined by one space. The owner's text is opened once for all of them."""
     asked = runs.groupBy("owner").agg(F.collect_set(F.struct("owner_start", "n")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "z", SLICE):
-            for owner, text, asked in zip(batch.column("owner").to_pylist(), texts_of(batch), batch.column("asked"), strict=True):
+            for owner, text, asked in zip(batch.column("k").to_pylist(), texts_of(batch), batch.column("asked"), strict=True):
                 words = text.split()
                 rows = [(x["owner_start"], x["n"]) for x in asked.as_py()]
-                for lo in range(0, len(rows), 4096):
-                    part = [(s, n, b" ".join(words[s : s + n])) for s, n in rows[lo : lo + 4096] if s + n <= len(words)]
+                for lo in range(0, len(rows), 256):
+                    part = [(s, n, b" ".join(words[s : s + n])) for s, n in rows[lo : lo + 256] if s + n <= len(words)]
                     yield pa.RecordBatch.from_arrays([pa.array([owner] * len(part), pa.int64()), pa.array([p[0] for p in part], pa.int32()), pa.array([p[1] for p in part], pa.int32()), pa.array([p[2] for p in part], pa.binary())], names=["owner", "owner_start", "n", "passage"])
 
-    fetched = base.withColumnRenamed("doc_id", "owner").join(asked, "owner").mapInArrow(run, "owner long, owner_start int, n int, passage binary")
-    return runs.join(fetched, ["owner", "owner_start", "n"])
+    keys = ["owner", "owner_start", "n"]
+    fetched = joined(base, asked.withColumnRenamed("owner", "doc_id"), "inner").mapInArrow(run, "owner long, owner_start int, n int, passage binary")
+    return runs.select("doc_id", *keys).distinct().join(fetched, keys).groupBy("doc_id").agg(F.collect_set(F.struct(*keys, "passage")).alias("attached"))
 
 
-def finished(base: DataFrame, attached: DataFrame, copied: DataFrame, mark: Callable, schema, emit: Callable, slice_bytes: int = SLICE) -> DataFrame:
-    """Give each slice of documents, with what is ``attached`` to them, to ``mark``, which tells the words to remove; ``emit``
+def places(runs: DataFrame) -> DataFrame:
+    """(doc_id, places): where a document has which stretch."""
+    return runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "owner", "owner_start", "n")).alias("places"))
+
+
+def joined(base: DataFrame, other: DataFrame, how: str = "left") -> DataFrame:
+    """``base`` with what ``other`` has, one row at most, for its doc_id."""
+    return base.join(other.withColumnRenamed("doc_id", "k"), "k", how)
+
+
+def finished(base: DataFrame, attached: list[DataFrame], copied: DataFrame, mark: Callable, schema, emit: Callable, slice_bytes: int = SLICE) -> DataFrame:
+    """Give each slice of documents, joined with the tables ``attached``, to ``mark``, which tells the words to remove; ``emit``
     makes a record batch of a slice, its texts and those marks. A copy of ``WINDOW`` words or more loses every word."""
-    joined = base.join(attached, "doc_id", "left").join(copied, "doc_id", "left")
+    whole = base
+    for other in [*attached, copied]:
+        whole = joined(whole, other)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "z", slice_bytes):
             texts = texts_of(batch)
             words = [t.split() for t in texts]
-            gone = mark(batch.column("doc_id").to_pylist(), words, batch.column("attached"))
+            ids = batch.column("doc_id").to_pylist()
+            gone = mark(ids, words, batch)
             for i, copy in enumerate(batch.column("copied").to_pylist()):
-                if copy and len(words[i]) >= WINDOW and text_key(texts[i]) in copy:
+                if copy and ids[i] is not None and len(words[i]) >= WINDOW and text_key(texts[i]) in copy:
                     gone[i] = np.ones(len(words[i]), bool)
             yield emit(batch, texts, words, gone)
 
-    return joined.mapInArrow(run, schema)
+    return whole.mapInArrow(run, schema)
 
 
 def covered(n: int, spans: list[tuple[int, int]]) -> np.ndarray:

@@ -37,10 +37,10 @@ def shards(phrases: dict[bytes, int], most: int = SHARD_CHARS):
         yield automaton
 
 
-def occurrences(doc_ids: list[int | None], words: list[list[bytes]], attached: pa.Array) -> list[np.ndarray]:
+def occurrences(doc_ids: list[int | None], words: list[list[bytes]], batch: pa.RecordBatch) -> list[np.ndarray]:
     """For each document the words that lie in a phrase owned by a smaller document; phrases are those of all the documents."""
     phrases: dict[bytes, int] = {}
-    for one in attached.to_pylist():
+    for one in batch.column("attached").to_pylist():
         for x in one or ():
             phrases[x["passage"]] = min(x["owner"], phrases.get(x["passage"], x["owner"]))
     spans: list[list[tuple[int, int]]] = [[] for _ in words]
@@ -69,8 +69,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     base, copied = passages.spread(docs), passages.copies(docs)
     found = common.staged(passages.anchors(docs), "anchors")
     runs = passages.owned_runs(base, found, passages.recurring_by_count(found), copied)
-    attached = passages.with_words(runs, base).groupBy("doc_id").agg(F.collect_set(F.struct("owner", "passage")).alias("attached"))
-    return passages.finished(base, attached, copied, occurrences, passages.DIGEST_SCHEMA, passages.kept_words)
+    return passages.finished(base, [passages.with_words(runs, base)], copied, occurrences, passages.DIGEST_SCHEMA, passages.kept_words)
 
 
 def op2_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

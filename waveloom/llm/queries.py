@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, lm, phrases, pieces, simhash, suffixes, token_files, topk, warc
+import functools
 
-QUERIES = {
+from . import common, decontaminate, language, lm, phrases, pieces, simhash, suffixes, token_files, topk, warc
+
+_QUERIES = {
     "op3_lm": lm.op3_lm,
     "op7_suffixes": suffixes.op7_suffixes,
     "op2_phrases": phrases.op2_phrases,
@@ -16,6 +18,18 @@ QUERIES = {
     "op9_pieces": pieces.op9_pieces,
     "op10_token_files": token_files.op10_token_files,
 }
+
+
+def _ready(f):
+    @functools.wraps(f)
+    def query(spark, sf_dir):
+        common.ready(spark)
+        return f(spark, sf_dir)
+
+    return query
+
+
+QUERIES = {name: _ready(f) for name, f in sorted(_QUERIES.items(), key=lambda x: int(x[0][2:].split("_")[0]))}
 ORACLE_SQL: dict[str, str] = {
     "op7_suffixes": phrases.ORACLE_SQL,
     "op2_phrases": phrases.ORACLE_SQL,

@@ -85,21 +85,25 @@ def matches(array: DataFrame) -> DataFrame:
     return compared.filter("edge = 0").select("h").union(ends.filter("same_prefix AND same_h AND NOT same_key").select("h")).distinct()
 
 
-def confirmed(doc_ids: list[int | None], words: list[list[bytes]], attached: pa.Array) -> list[np.ndarray]:
-    """The words that lie in an attached passage which the document has, word for word, in its place."""
+def confirmed(doc_ids: list[int | None], words: list[list[bytes]], batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The words that lie in a stretch which the document has, word for word, in its place."""
     out = []
-    for w, one in zip(words, attached, strict=True):
-        rows = one.as_py() or ()
-        spans = [(x["start"], x["n"]) for x in rows if x["start"] + x["n"] <= len(w) and b" ".join(w[x["start"] : x["start"] + x["n"]]) == x["passage"]]
+    for doc_id, w, places, attached in zip(doc_ids, words, batch.column("places"), batch.column("attached"), strict=True):
+        stretch = {(x["owner"], x["owner_start"], x["n"]): x["passage"] for x in attached.as_py() or ()}
+        spans = []
+        for x in (places.as_py() or ()) if doc_id is not None else ():
+            start, n = x["start"], x["n"]
+            if b" ".join(w[start : start + n]) == stretch.get((x["owner"], x["owner_start"], n)):
+                spans.append((start, n))
         out.append(passages.covered(len(w), spans))
     return out
 
 
-def _attached(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _attached(docs: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
     base, copied = passages.spread(docs), passages.copies(docs)
     array = common.staged(suffixes(docs), "suffixes")
     runs = passages.owned_runs(base, array.select("h", "doc_id", "key"), matches(array), copied)
-    return base, passages.with_words(runs, base).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "passage")).alias("attached")), copied
+    return base, [passages.places(runs), passages.with_words(runs, base)], copied
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -137,7 +141,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         out = pa.RecordBatch.from_pydict(columns)
         return out.filter(pa.array([bool(t.strip()) or not g.any() for t, g in zip(left, gone, strict=True)], pa.bool_()))
 
-    kept = [c for c in base.columns if c != "z"]
+    kept = [c for c in base.columns if c not in ("z", "k")]
     schema = base.select(*kept, F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("cut")).schema
     done = passages.finished(base, attached, copied, confirmed, schema, emit)
     rest = {c: F.col("rest")[c] for c in docs.columns if c not in ("doc_id", "text")}
