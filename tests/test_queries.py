@@ -3,7 +3,7 @@
 import pytest
 
 from tests.conftest import same
-from waveloom.plans import registry
+from waveloom.plans import registry, registry_more  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
