@@ -19,10 +19,10 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,38 +110,46 @@ class WordCachedEncoder:
         get = self.pieces.__getitem__
         return [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed in native little-endian order."""
+    def _learn(self, here: list[str]) -> list[bytes | None]:
+        """What is known of each of these distinct stretches, after asking for those that are new."""
         known = self.stretches
-        split = [t.split(" ") for t in texts]
-        here = set().union(*split)
-        new = here - known.keys()
+        new = [p for p in here if p not in known]
         if len(known) + len(new) > self.limit:  # what these texts use is likely to come again
-            known = self.stretches = {k: known[k] for k in here - new}
+            known = self.stretches = {k: known[k] for k in here if k in known}
         if new:
             shut = [p for p in new if not self.open_end.search(p)]
             known.update(dict.fromkeys(new))
             known.update(zip(shut, self._packed([" " + p for p in shut]), strict=True))
-        out: list[bytes | None] = []
-        other: list[tuple[int, list[str]]] = []
-        get = known.__getitem__
-        for i, parts in enumerate(split):
-            if get(parts[0]) is None:
-                found = None
-            else:
-                try:
-                    found = b"".join(islice(map(get, parts), 1, None))
-                except TypeError:  # one is None
-                    found = None
-            out.append(found)
-            if found is None:
-                other.append((i, self.spaces.split(texts[i])))
-        # The first stretch of a text has no space before it; texts with unusual spacing are looked up cut by cut.
-        heads = self._packed([p[0] for p in split])
-        rest = iter(self._packed([c for _, cuts in other for c in cuts]))
-        out = [None if o is None else h + o for h, o in zip(heads, out, strict=True)]
-        for i, cuts in other:
-            out[i] = b"".join(next(rest) for _ in cuts)
+        return list(map(known.__getitem__, here))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text, packed in native little-endian order.
+
+        The stretches of all texts are told apart and put together again by Arrow; Python sees each distinct one once."""
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(texts, " ")
+        offsets = np.asarray(lists.offsets)
+        coded = lists.flatten().dictionary_encode()
+        codes, distinct = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        offsets = offsets - offsets[0]
+        found = self._learn(distinct)
+        is_open = np.array([f is None for f in found])[codes]
+        unusual = np.logical_or.reduceat(is_open, offsets[:-1])
+        # The first stretch of a text has no space before it, so it is looked up as it stands.
+        heads = self._packed([distinct[c] if not odd else "" for c, odd in zip(codes[offsets[:-1]].tolist(), unusual.tolist(), strict=True)])
+        codes = codes.astype(np.int64)
+        codes[offsets[:-1]] = len(distinct) + np.arange(len(texts))
+        joined = pa.array([f or b"" for f in found] + heads, pa.binary()).take(pa.array(codes))
+        ends = np.asarray(pa.Array.from_buffers(pa.int32(), len(joined) + 1, [None, joined.buffers()[1]], offset=joined.offset))[offsets]
+        data = joined.buffers()[2]
+        data = data.to_pybytes() if data is not None else b""
+        out = [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        odd = np.flatnonzero(unusual).tolist()
+        cuts = [self.spaces.split(texts[i].as_py()) for i in odd]
+        rest = iter(self._packed([c for cut in cuts for c in cut]))
+        for i, cut in zip(odd, cuts, strict=True):
+            out[i] = b"".join(next(rest) for _ in cut)
         return out
 
 
@@ -169,7 +177,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         end = array(enc.code, [end_id]).tobytes()
         for batch in common.text_slices(batches):
             ids, rows = batch.column("doc_id").to_pylist(), []
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = pc.fill_null(batch.column("text"), "")
             frames = []
             for doc_id, packed in zip(ids, enc.encode(texts), strict=True):
                 packed += end
