@@ -176,13 +176,15 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is recognised: those that are not ``und``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the columns are called
+    text = f"c{docs.columns.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_slices(batches, limit=4 << 20):
-            found = shared.value.predict(batch.column("text").to_pylist())
+        for batch in common.text_slices(batches, text, 4 << 20):
+            found = shared.value.predict(batch.column(text).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN for lang, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

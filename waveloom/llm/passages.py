@@ -64,7 +64,9 @@ def spread(docs: DataFrame) -> DataFrame:
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, copied): the keys of a document's texts that equal the text of a document with a smaller doc_id."""
     marked = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("digest"))
-    first = marked.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # Written, as every unique side that a skewed one is joined with here: the join then shuffles both sides, and can split a
+    # partition that one very common key fills.
+    first = common.staged(marked.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first").drop("last"), "first-copies")
     return marked.join(first, "digest").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("copied"))
 
 
@@ -95,7 +97,7 @@ def owned_runs(base: DataFrame, found: DataFrame, recurring: DataFrame, copied:
     smallest document that has them; start and n count words. A doc_id with several texts has the runs of each.
 
     Written as a table: a few rows a document."""
-    hits = found.join(recurring, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"), (F.min("key") != F.max("key")).alias("several"))
+    hits = found.join(common.staged(recurring, "recurring", release=True), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"), (F.min("key") != F.max("key")).alias("several"))
     asked = joined(joined(base, hits, "inner"), copied)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +121,7 @@ def owned_runs(base: DataFrame, found: DataFrame, recurring: DataFrame, copied:
     # The first place in the smallest document: a text that repeats itself then maps to one stretch of its owner again and again.
     owner = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("o"), F.max("doc_id").alias("last")).filter("last > o.doc_id")
     owner = owner.select("w1", "w2", F.col("o.doc_id").alias("owner"), F.col("o.start").alias("owner_start"))
+    owner = common.staged(owner, "owners", release=True)
     shared = windows.join(owner, ["w1", "w2"]).filter("doc_id > owner").select("doc_id", "key", "start", "owner", "owner_start").distinct()
     order = Window.partitionBy("doc_id", "key").orderBy("start", "owner", "owner_start")
     fresh = (F.col("start") == F.lag("start").over(order) + 1) & (F.col("owner") == F.lag("owner").over(order)) & (F.col("owner_start") == F.lag("owner_start").over(order) + 1)

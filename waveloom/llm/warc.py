@@ -84,9 +84,9 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, da
     without page_id are revisits if an equal payload has one, else responses. Other columns are ignored.
     """
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload")).withColumn("key", F.sha2("payload", 256))
-    # One head for each payload, whatever the number of its copies; only the html of a very common payload can make a
-    # partition large, and the join splits such a partition.
-    heads = keyed.groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("head"))
+    # One head for each payload, whatever the number of its copies. Written, so that the join shuffles both sides and can
+    # split a partition that the html of a very common payload fills.
+    heads = common.staged(keyed.groupBy("key").agg(F.max(F.struct("page_id", "url")).alias("head")), "payload-heads")
     joined = keyed.join(heads, "key").select("page_id", "url", "payload", F.col("head.page_id").alias("head_id"), F.col("head.url").alias("head_url"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
