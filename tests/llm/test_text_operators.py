@@ -92,6 +92,23 @@ def test_token_files(spark, docs, no_docs, rows):
     assert token_files.with_starts(token_files.write_token_files(no_docs, path, folder)).count() == 0
 
 
+def test_token_files_with_added_tokens(spark):
+    """<|endoftext|> in a text is one id, as the library has it by default; later documents start after it."""
+    from tokenizers import Tokenizer
+
+    path, mark = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    t = Tokenizer.from_file(path)
+    texts = [f"{mark}a b", f"a{mark}b", f"a b{mark}", f"one {mark} two\n{mark}{mark}  x {mark}\n", mark, "<|endoftext |>", "plain text after", None, f"é日{mark}😀"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = common.new_folder(spark, "t")
+    out = token_files.read_token_files(token_files.with_starts(token_files.write_token_files(docs, path, folder)), folder).orderBy("doc_id").collect()
+    at = 0
+    for text, r in zip(texts, out, strict=True):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), text
+        at += len(ids)
+
+
 def test_damage_is_found():
     data = token_files.frame(b"payload")
     assert token_files.unframe(data) == b"payload"

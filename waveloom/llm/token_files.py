@@ -65,6 +65,9 @@ class WordCachedEncoder:
     followed by punctuation, and on either side of a line end between visible characters. So what lies between such
     places encodes on its own. Other text is not cut. Both caches are emptied at ``limit`` entries, which bounds a
     worker's memory.
+
+    A text that holds an added token, such as <|endoftext|>, goes to the library whole: the library takes such tokens out
+    of the text before it pre-tokenizes, with what white space around them they may claim.
     """
 
     def __init__(self, path: str, limit: int = 700_000):
@@ -72,11 +75,14 @@ class WordCachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
         self.spaced[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
+        #: Added tokens as the library finds them in a text; those that it normalizes first may be spelt in other ways.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        assert self.tokenizer.normalizer is None or not any(t.normalized for t in added)
+        self.added = "|".join(re.escape(t.content) for t in added)
         self.limit = limit
         #: Packed ids by the text between two spaces, with a space before it; None where the spaces are no place to cut.
         self.stretches: dict[str, bytes | None] = {}
@@ -123,7 +129,18 @@ class WordCachedEncoder:
         return list(map(known.__getitem__, here))
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text, packed in native little-endian order.
+        """The ids of each text, packed in native little-endian order."""
+        if not self.added or not len(texts):
+            return self._encode_plain(texts)
+        holds = np.asarray(pc.match_substring_regex(texts, self.added))
+        if not holds.any():
+            return self._encode_plain(texts)
+        whole = self.tokenizer.encode_batch_fast(texts.filter(pa.array(holds)).to_pylist(), add_special_tokens=False)
+        whole, rest = iter(whole), iter(self._encode_plain(texts.filter(pa.array(~holds))))
+        return [array(self.code, next(whole).ids).tobytes() if held else next(rest) for held in holds.tolist()]
+
+    def _encode_plain(self, texts: pa.Array) -> list[bytes]:
+        """The ids of texts without added tokens.
 
         The stretches of all texts are told apart and put together again by Arrow; Python sees each distinct one once."""
         if not len(texts):
