@@ -154,6 +154,31 @@ def test_lm(spark, docs, no_docs, rows):
     assert lm.cross_entropy_difference(no_docs, target).count() == 0
 
 
+def test_lm_knows_rare_words(spark, monkeypatch):
+    """Documents that differ only in words beyond the 2000 most frequent ones; the models of plain counting."""
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 1000)
+    common_words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(common_words * 3), *(f"w0 w1 rare{k % 2} w2 Rare{k % 2} w3" for k in range(6))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, spark.createDataFrame([(1,), (3,)], "doc_id long")).collect()}
+    words = [t.lower().split() for t in texts]
+    size = len({w for ws in words for w in ws}) + 1
+
+    def model(which):
+        pairs = Counter(p for d in which for p in zip(["<s>", *words[d]], words[d]))
+        single, seen = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            single[b] += n
+            seen[a] += n
+        return lambda a, b: -math.log((pairs[a, b] + 50 * (single[b] + 1) / (single.total() + size)) / (seen[a] + 50))
+
+    target, background = model([1, 3]), model(range(7))
+    for d, ws in enumerate(words):
+        want = sum(target(*p) - background(*p) for p in zip(["<s>", *ws], ws)) / len(ws)
+        assert out[d]["score"] == pytest.approx(want, abs=1e-9) and out[d]["n_tokens"] == len(ws)
+    assert abs(out[1]["score"] - out[2]["score"]) > 0.01
+
+
 def test_decontamination(spark, docs, no_docs):
     item = phrase(50, 24)
     w = item.split()

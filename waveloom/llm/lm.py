@@ -1,19 +1,20 @@
 """LM scoring by cross-entropy difference.
 
 Two word bigram models of one form are counted: a target model over the documents that are labelled good, a background
-model over all documents. Both use one vocabulary, the ``vocabulary`` most frequent words of all documents and a mark for
-every other word, and the same smoothing, so their losses on a token can be compared. A document's score is the mean of
-target loss minus background loss over its tokens: the lower, the more it is like the target.
-
-Counts cover all documents. A model has at most (vocabulary + 2)^2 counts however large the corpus is, which bounds what
-a task holds, what reaches the driver and what is broadcast.
+model over all documents. Both use one vocabulary, every word of all documents, and the same smoothing, so their losses on
+a token can be compared. A document's score is the mean of target loss minus background loss over its tokens: the lower,
+the more it is like the target.
+
+Words and counts grow with the corpus and are gathered nowhere. Documents are read in blocks of a few megabytes. A block
+sends each of its distinct n-grams, with its counts, to the bucket of the n-gram's hash; a bucket adds them up over all
+blocks and returns the sums to the blocks that asked, where the losses are formed. The number of buckets grows with the
+texts. Blocks and sums are tables in the shared folder; the driver sees five numbers. N-grams are told apart by 62 bits.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,12 @@ from pyspark.sql import functions as F
 from . import common
 from .simhash import FOLD
 
+#: Hashes of the start mark and of words outside a vocabulary that is limited; words are hashed by XXH64.
+START, OTHER = np.uint64(0x5B1D3C9E77A4F02D), np.uint64(0xC3A5D1E90B6F4827)
+BIGRAM, TOKEN, CONTEXT = (np.uint64(k) for k in range(3))
+#: Bytes of text for each bucket.
+BUCKET_BYTES = 16 << 20
+
 
 def top_words(docs: DataFrame, vocabulary: int) -> list[bytes]:
     """The most frequent words of all texts, folded; equals in the words' order."""
@@ -31,87 +38,96 @@ def top_words(docs: DataFrame, vocabulary: int) -> list[bytes]:
     return [r["word"].encode() for r in rows]
 
 
-def token_ids(text: bytes, index: dict[bytes, int]) -> np.ndarray:
-    """The start mark and a document's tokens; 0 is any word outside the vocabulary."""
-    words = text.translate(FOLD).split()
-    return np.concatenate([[len(index) + 1], np.fromiter(map(index.get, words, repeat(0)), np.int64, len(words))])
-
-
-@dataclass
-class BigramModel:
-    """Losses (negative log probabilities) of each token after each token."""
-
-    loss: np.ndarray
-
-    @classmethod
-    def of(cls, counts: np.ndarray, strength: float) -> BigramModel:
-        """Bigram counts, interpolated with unigrams that have one count more each: a context seen n times weighs n / (n + strength)."""
-        counts = counts.astype(np.float64)
-        single = counts.sum(axis=0) + 1
-        single[-1] = 0  # the start mark is never predicted
-        single /= single.sum()
-        seen = counts.sum(axis=1, keepdims=True)
-        with np.errstate(divide="ignore"):
-            return cls((-np.log((counts + strength * single) / (seen + strength))).astype(np.float32))
-
-
-def bigram_counts(docs: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts over the rows of ``docs`` (text, target) that are target, and over all."""
-    size = len(words) + 2
-    index = docs.sparkSession.sparkContext.broadcast({w: i + 1 for i, w in enumerate(words)})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size * size), np.int64)
-        for batch in common.text_slices(batches, limit=4 << 20):
-            for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                ids = token_ids(text or b"", index.value)
-                pairs = ids[:-1] * size + ids[1:]
-                np.add.at(total[1], pairs, 1)
-                if target:
-                    np.add.at(total[0], pairs, 1)
-        at = np.flatnonzero(total[1])
-        for lo in range(0, len(at), 1 << 16):
-            part = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[0, part]), pa.array(total[1, part])], names=["pair", "target", "background"])
-
-    summed = docs.select(F.col("text").cast("binary").alias("text"), "target").mapInArrow(run, "pair int, target long, background long").groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    out = np.zeros((2, size * size), np.int64)
-    found = summed.toArrow()  # size * size rows at most
-    at = np.asarray(found.column("pair"))
-    out[0, at], out[1, at] = np.asarray(found.column("target")), np.asarray(found.column("background"))
-    return out[0].reshape(size, size), out[1].reshape(size, size)
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int = 1024, strength: float = 50.0) -> DataFrame:
+def _key(x: np.ndarray, kind: np.uint64) -> np.ndarray:
+    return (common._mixed(x * np.uint64(0xA0761D6478BD642F) + kind) & ~np.uint64(3)) | kind
+
+
+def _block(texts: list[bytes | None], target: np.ndarray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of some texts: the ascending keys of their n-grams, (all, target) counts of each, the places of each bigram's own,
+    token's and context's key, the bigram of each token, and the tokens of each text."""
+    symbols = [np.r_[START, common.word_hashes((t or b"").translate(FOLD).split())] for t in texts]
+    n = np.array([len(s) - 1 for s in symbols], np.int64)
+    before, after = np.concatenate([s[:-1] for s in symbols]), np.concatenate([s[1:] for s in symbols])
+    if known is not None:
+        after = np.where(np.isin(after, known), after, OTHER)
+        before = np.where((before == START) | np.isin(before, known), before, OTHER)
+    bigrams, at, token = np.unique(_key(common._mixed(before * np.uint64(0xD6E8FEB86659FD93)) + after, BIGRAM), return_index=True, return_inverse=True)
+    grams = np.stack([bigrams, _key(after[at], TOKEN), _key(before[at], CONTEXT)])
+    keys, places = np.unique(grams, return_inverse=True)
+    places = places.reshape(3, -1)
+    counts = np.zeros((len(keys), 2), np.int64)
+    for column, weights in enumerate((None, np.repeat(target, n).astype(np.float64))):
+        found = np.bincount(token, weights, minlength=len(bigrams)).astype(np.int64)
+        for place in places:
+            np.add.at(counts[:, column], place, found)
+    return keys, counts, places.astype(np.int32), token.astype(np.int32), n
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None, strength: float = 50.0) -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score) of each row of ``docs`` (doc_id, text).
 
     ``target_ids`` (doc_id) names the target documents; null ids and ids of no document are ignored, and with no target
     the target model knows nothing but the vocabulary. Losses are nats a token. Texts without words, and null, have no
-    losses and no score. Rows that repeat count each. Other columns are ignored.
+    losses and no score. Rows that repeat count each. Other columns are ignored. ``vocabulary`` limits the words to the
+    most frequent ones; without it there is no limit. A context seen n times weighs n / (n + strength) against unigrams
+    that have one count more each.
     """
-    spark = docs.sparkSession
-    words = top_words(docs, vocabulary)
+    known = None if vocabulary is None else common.word_hashes(top_words(docs, vocabulary))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(3, (size // BUCKET_BYTES).bit_length())
     # Labels grow with the documents, so the plan is the same join at every size and never a broadcast of them.
     target = target_ids.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(target.hint("merge"), "doc_id", "left")
-    counts = bigram_counts(marked, words)
-    shared = spark.sparkContext.broadcast(({w: i + 1 for i, w in enumerate(words)}, *(BigramModel.of(c, strength).loss.ravel() for c in counts)))
+    marked = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(target.hint("merge"), "doc_id", "left")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, of_target, of_background = shared.value
-        size = len(index) + 2
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, limit=4 << 20):
-            n, a, b = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = token_ids(text or b"", index)
-                pairs = ids[:-1] * size + ids[1:]
-                n.append(len(pairs))
-                a.append(float(of_target[pairs].mean(dtype=np.float64)) if len(pairs) else None)
-                b.append(float(of_background[pairs].mean(dtype=np.float64)) if len(pairs) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())], names=["doc_id", "n_tokens", "loss_target", "loss_background"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double")
+            good = np.array([bool(t) for t in batch.column("target").to_pylist()])
+            keys, counts, places, token, n = _block(batch.column("text").to_pylist(), good, known)
+            buckets, starts = np.unique((keys >> np.uint64(64 - bits)).astype(np.int32), return_index=True)
+            ends = [*starts[1:].tolist(), len(keys)]
+            cells = [(keys[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(starts.tolist(), ends, strict=True)]
+            rows, block = len(cells) + 1, uuid.uuid4().int >> 65
+            ids = batch.column("doc_id")
+            lists = pa.ListArray.from_arrays(pa.array([0] * rows + [len(ids)], pa.int32()), ids)
+            whole = (places.tobytes(), token.tobytes(), n.tobytes(), int(n.sum()), int(n[good].sum()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * rows, pa.int64()), pa.array([*buckets.tolist(), None], pa.int32()), pa.array([*(c[0] for c in cells), None], pa.binary()), pa.array([*(c[1] for c in cells), None], pa.binary()), lists]
+                + [pa.array([None] * len(cells) + [x], t) for x, t in zip(whole, (pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)],
+                names=["block", "bucket", "keys", "counts", "ids", "places", "token", "n", "background", "good"],
+            )
+
+    blocks = common.staged(marked.mapInArrow(cut, f"block long, bucket int, keys binary, counts binary, ids array<{kind}>, places binary, token binary, n binary, background long, good long"), "lm-blocks", release=True)
+
+    def add(cells: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in cells.column("keys").to_pylist()]
+        keys, back = np.unique(np.concatenate(parts), return_inverse=True)
+        counts = np.frombuffer(b"".join(cells.column("counts").to_pylist()), np.int64).reshape(-1, 2)
+        sums = np.stack([np.bincount(back, counts[:, c]) for c in range(2)], axis=1).astype(np.int64)
+        ends = np.cumsum([0, *map(len, parts)])
+        words = [int((keys & np.uint64(3) == TOKEN).sum())] + [0] * (len(parts) - 1)
+        replies = [sums[back[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"block": cells.column("block"), "bucket": cells.column("bucket"), "sums": pa.array(replies, pa.binary()), "words": pa.array(words, pa.int64())})
+
+    asked = blocks.filter("bucket IS NOT NULL").select("block", "bucket", "keys", "counts")
+    replies = common.staged(asked.groupBy("bucket").applyInArrow(add, "block long, bucket int, sums binary, words long"), "lm-sums", release=True)
+    totals = np.array([x or 0 for x in blocks.agg(F.sum("background"), F.sum("good")).first()], np.float64)
+    words = (replies.agg(F.sum("words")).first()[0] or 0) if known is None else len(known)
+
+    def score(sums: pa.Table, whole: pa.Table) -> pa.Table:
+        cells = sorted(zip(sums.column("bucket").to_pylist(), sums.column("sums").to_pylist(), strict=True))
+        counts = np.frombuffer(b"".join(c for _, c in cells), np.int64).reshape(-1, 2).astype(np.float64)
+        row = {c: np.frombuffer(whole.column(c)[0].as_py(), t) for c, t in (("places", np.int32), ("token", np.int32), ("n", np.int64))}
+        of_bigram, of_token, of_context = (counts[p] for p in row["places"].reshape(3, -1))
+        single = (of_token + 1) / (totals + words + 1)
+        loss = -np.log((of_bigram + strength * single) / (of_context + strength))
+        n, doc = row["n"], np.repeat(np.arange(len(row["n"])), row["n"])
+        means = [np.bincount(doc, loss[row["token"], c], minlength=len(n)) / np.maximum(n, 1) for c in (1, 0)]
+        ids = whole.column("ids").combine_chunks().flatten()
+        return pa.table([ids, pa.array(n), *(pa.array(m, mask=n == 0) for m in means)], names=["doc_id", "n_tokens", "loss_target", "loss_background"])
+
+    wholes = blocks.filter("bucket IS NULL").select("block", "ids", "places", "token", "n")
+    scored = replies.select("block", "bucket", "sums").groupBy("block").cogroup(wholes.groupBy("block")).applyInArrow(score, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double")
     return scored.withColumn("score", F.col("loss_target") - F.col("loss_background"))
 
 
