@@ -72,7 +72,6 @@ def test_token_files(spark, docs, no_docs, rows):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     folder = common.new_folder(spark, "t")
     index = token_files.write_token_files(docs, path, folder, roll_bytes=2000)
     assert index.select("file").distinct().count() > 1
@@ -119,39 +118,38 @@ def test_damage_is_found():
             token_files.unframe(bytes(broken))
 
 
-def test_lm(spark, docs, no_docs, rows):
+def plain_scores(texts, good, strength=50):
+    """Scores by plain counting; texts are lists of words."""
+    size = len({w for ws in texts for w in ws}) + 1
+
+    def model(which):
+        pairs = Counter(p for k in which for p in zip(["<s>", *texts[k]], texts[k]))
+        single, seen = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            single[b] += n
+            seen[a] += n
+        total = single.total()
+        return lambda a, b: -math.log((pairs[a, b] + strength * (single[b] + 1) / (total + size)) / (seen[a] + strength))
+
+    target, background = model(good), model(range(len(texts)))
+    return [sum(target(*p) - background(*p) for p in zip(["<s>", *ws], ws)) / len(ws) if ws else None for ws in texts]
+
+
+def test_lm(spark, docs, no_docs, rows, monkeypatch):
+    """Awkward rows, among them texts of 30,000 words, in blocks of many sizes."""
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 30_000)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2_000)
     target = spark.createDataFrame([(1,), (2,), (2,), (None,), (999,)], "doc_id long")
-    out = lm.cross_entropy_difference(docs, target, vocabulary=20).collect()
-    assert len(out) == len(rows)
-    folded = [(r[0], (r[1] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()) for r in rows]
-    counts = Counter(w for _, ws in folded for w in ws)
-    index = {w: i + 1 for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20])}
-    pairs = {True: Counter(), False: Counter()}
-    for d, ws in folded:
-        ids = [21, *(index.get(w, 0) for w in ws)]
-        for p in zip(ids, ids[1:]):
-            pairs[False][p] += 1
-            pairs[True][p] += d in (1, 2)
-
-    def loss(c, a, b):
-        single = {k: sum(n for (_, y), n in c.items() if y == k) + 1 for k in range(21)}
-        seen = sum(n for (x, _), n in c.items() if x == a)
-        return -math.log((c[a, b] + 50 * single[b] / sum(single.values())) / (seen + 50))
-
-    want = {}
-    for d, ws in folded:
-        if len(ws) in range(1, 300):
-            ids = [21, *(index.get(w, 0) for w in ws)]
-            want.setdefault(d, []).append(sum(loss(pairs[True], *p) - loss(pairs[False], *p) for p in zip(ids, ids[1:])) / len(ws))
-    got = {}
-    for r in out:
-        if 0 < r["n_tokens"] < 300:
-            got.setdefault(r["doc_id"], []).append(r["score"])
-        assert (r["score"] is None) == (r["n_tokens"] == 0)
-    assert got.keys() == want.keys()
-    for d in want:
-        assert sorted(got[d]) == pytest.approx(sorted(want[d]), abs=1e-5)
+    out = lm.cross_entropy_difference(docs, target).collect()
+    texts = [(r[1] or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split() for r in rows]
+    scores = plain_scores(texts, [k for k, r in enumerate(rows) if r[0] in (1, 2)])
+    order = lambda x: (x[0] is None, x[0] or 0, x[1], x[2] or 0)
+    want = sorted(((r[0], len(t), s) for r, t, s in zip(rows, texts, scores)), key=order)
+    got = sorted(((r["doc_id"], r["n_tokens"], r["score"]) for r in out), key=order)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == [None if x[2] is None else pytest.approx(x[2], abs=1e-9) for x in want]
     assert lm.cross_entropy_difference(no_docs, target).count() == 0
+    assert lm.cross_entropy_difference(docs, target.limit(0)).count() == len(rows)
 
 
 def test_lm_knows_rare_words(spark, monkeypatch):
@@ -162,20 +160,8 @@ def test_lm_knows_rare_words(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     out = {r["doc_id"]: r for r in lm.cross_entropy_difference(docs, spark.createDataFrame([(1,), (3,)], "doc_id long")).collect()}
     words = [t.lower().split() for t in texts]
-    size = len({w for ws in words for w in ws}) + 1
-
-    def model(which):
-        pairs = Counter(p for d in which for p in zip(["<s>", *words[d]], words[d]))
-        single, seen = Counter(), Counter()
-        for (a, b), n in pairs.items():
-            single[b] += n
-            seen[a] += n
-        return lambda a, b: -math.log((pairs[a, b] + 50 * (single[b] + 1) / (single.total() + size)) / (seen[a] + 50))
-
-    target, background = model([1, 3]), model(range(7))
-    for d, ws in enumerate(words):
-        want = sum(target(*p) - background(*p) for p in zip(["<s>", *ws], ws)) / len(ws)
-        assert out[d]["score"] == pytest.approx(want, abs=1e-9) and out[d]["n_tokens"] == len(ws)
+    for d, want in enumerate(plain_scores(words, [1, 3])):
+        assert out[d]["score"] == pytest.approx(want, abs=1e-9) and out[d]["n_tokens"] == len(words[d])
     assert abs(out[1]["score"] - out[2]["score"]) > 0.01
 
 

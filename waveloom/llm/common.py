@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,17 +21,21 @@ WORD_REGEX = r"[^\x20\x09-\x0D]+"
 
 
 def ready(spark: SparkSession) -> None:
-    """Small Arrow batches, unless the session has its own size: rows here are texts, and a batch of them is held whole in the
+    """Small Arrow batches, unless someone has set a size: rows here are texts, and a batch of them is held whole in the
     executor and in its Python worker. And the package itself, for executors that have no copy of it."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if size not in spark.conf.getAll:
+        spark.conf.set(size, "2000")
     ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as a URI; set here only where the session has none."""
+    """The folder that the driver and all executors share, as a URI. Only a session on one machine may lack the setting; it
+    gets a folder of its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file:///tmp/waveloom-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", found)
     return (found if "://" in found or found.startswith("file:") else f"file://{found}").rstrip("/")
@@ -42,18 +46,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
-
-    ``release`` has the driver collect its garbage afterwards, upon which Spark deletes the shuffle files of the finished job
-    that nothing refers to any more; else they stay until the driver happens to do so, beside those of the next job."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    if release:
-        for _ in range(2):
-            time.sleep(0.5)  # the listeners still hold a job that has just ended
-            df.sparkSession._jvm.System.gc()
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs no
+    recomputation. Spark deletes the shuffle files of the job when it ends, as nothing else reads them."""
+    spark, path, clean = df.sparkSession, new_folder(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean, "false")
+    spark.conf.set(clean, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    back = spark.read.schema(df.schema).parquet(path)
     back.staged_at = path
     return back
 
@@ -87,6 +90,25 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             start = stop
 
 
+def compressed(docs: DataFrame, *columns: str) -> DataFrame:
+    """(columns.., z) of each row of ``docs``: z is the zstd-compressed UTF-8 text, null where the text is; texts are small to shuffle so."""
+    whole = docs.select(*columns, F.col("text").cast("binary").alias("z"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deflate = zstandard.ZstdCompressor(level=1).compress
+        for batch in text_slices(batches, "z", 4 << 20):
+            packed = pa.array([deflate(t) if t is not None else None for t in batch.column("z").to_pylist()], pa.binary())
+            yield batch.set_column(len(columns), "z", packed)
+
+    return whole.mapInArrow(run, whole.schema)
+
+
+def inflated(column: pa.Array) -> list[bytes]:
+    """The texts of a column that ``compressed`` made; null is empty."""
+    inflate = zstandard.ZstdDecompressor().decompress
+    return [inflate(z) if z is not None else b"" for z in column.to_pylist()]
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
