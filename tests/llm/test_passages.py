@@ -7,7 +7,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from waveloom.llm import passages, phrases, suffixes
+from tests.llm.conftest import phrase
+from waveloom.llm import common, passages, phrases, suffixes
 
 
 def plain(rows):
@@ -48,11 +49,81 @@ def test_cut_keeps_the_rest(docs, rows):
     assert out.filter(F.col("`a.b`").isNotNull()).count() == 0
 
 
-def test_small_automata(spark, rows, monkeypatch):
+def near_copies(seed, n):
+    """Documents that share passages in many ways: copies with words replaced, parts, parts of parts, and a hot passage."""
+    import random
+
+    r = random.Random(seed)
+    base = [phrase(1000 * seed + k, 120).split() for k in range(5)]
+    hot = phrase(1000 * seed + 99, 57).split()
+    rows = []
+    for i in range(n):
+        w = list(r.choice(base))
+        for _ in range(r.choice((0, 0, 1, 2, 3))):
+            w[r.randrange(len(w))] = f"x{r.randrange(40)}"
+        cut = r.randrange(0, 60)
+        w = w[cut : cut + r.randrange(50, 120)]
+        if r.random() < 0.4:
+            at = r.randrange(len(w))
+            w = w[:at] + hot + w[at:]
+        if r.random() < 0.2:
+            w += w[:70]
+        rows.append((r.randrange(n), " ".join(w), None))
+    return rows
+
+
+@pytest.mark.parametrize("operator", [phrases.without_repeats, suffixes.without_repeats])
+def test_many_ways(spark, operator, monkeypatch):
+    """Small shards, cells, pieces and chunks, so that every border is crossed."""
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(phrases, "CELL_DOCS", 20)
+    monkeypatch.setattr(phrases, "PIECE_WORDS", 60)
+    rows = near_copies(1, 200) + near_copies(2, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rest string").withColumns({"cut": F.lit(1), "z": F.lit(2), "k": F.lit(3), "found": F.lit(4)}).repartition(4)
+    assert Counter(tuple(r) for r in passages.digests(operator(docs)).collect()) == plain(rows)
+
+
+def test_neighbours_in_chunks(monkeypatch):
+    """One group of suffixes that is larger than a chunk, and groups that borders cut: chunks of any size find the same windows."""
     import pyarrow as pa
 
-    monkeypatch.setattr(phrases, "SHARD_CHARS", 10)
-    words = [b" ".join([b"w%d" % k for k in range(60)]).split(), [b"x", *(b"w%d" % k for k in range(60)), b"y"]]
-    attached = pa.array([None, [{"owner": 1, "passage": b" ".join(words[0])}, {"owner": 1, "passage": b" ".join(words[0][5:57])}]])
-    gone = phrases.occurrences([1, 2], words, pa.RecordBatch.from_arrays([attached], names=["attached"]))
-    assert not gone[0].any() and gone[1].sum() == 60
+    rows = []
+    for d, text, _ in near_copies(3, 60):
+        words = text.encode().split()
+        h = common.word_hashes(words)
+        for at, g in zip(*(x.tolist() for x in suffixes.selected(h)), strict=True):
+            rows.append((b" ".join([*words[at : at + 50], b""]), b" ".join([*words[max(0, at - 34) : at][::-1], b""]), d, g >> 1, int(suffixes.contexts(h)[at] >> 1)))
+    rows = sorted(rows)
+    context = {r[3:]: (r[1].split()[::-1] + r[0].split(), len(r[1].split())) for r in rows}
+
+    def found(chunk):
+        monkeypatch.setattr(suffixes, "CHUNK", chunk)
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
+        whole = pa.RecordBatch.from_arrays(columns, names=["suffix", "left", "doc_id", "g", "c"])
+        out = [x for b in suffixes.compare_neighbours(iter([whole.slice(i, 7) for i in range(0, len(rows), 7)])) for x in b.to_pylist()]
+        bits = {(x["g"], x["c"], o) for x in out if x["mask"] for o in range(35) if x["mask"] >> o & 1}
+        first = {}
+        for x in out:
+            if x["o"] is not None:
+                first[x["w1"], x["w2"]] = min(x["doc_id"], first.get((x["w1"], x["w2"]), x["doc_id"]))
+        bits |= {(x["g"], x["c"], x["o"]) for x in out if x["o"] is not None and first[x["w1"], x["w2"]] < x["doc_id"]}
+        return {tuple(words[n - o : n - o + 50]) for g, c, o in bits for words, n in [context[g, c]]}
+
+    want = found(1 << 15)
+    assert want and all(found(c) == want for c in (1, 10, 100))
+
+
+def test_one_doc_id_with_two_texts(spark):
+    """Passages of either text of document 1 go from a later document."""
+    p, q = phrase(1, 60), phrase(2, 60)
+    rows = [(1, f"a {p} b"), (1, f"{phrase(3, 70)} {q}"), (2, f"x {p} {phrase(4, 9)} {q} y"), (3, f"{q} z"), (1, f"{q} {p}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for operator in (phrases.without_repeats, suffixes.without_repeats):
+        assert Counter(tuple(r) for r in passages.digests(operator(docs)).collect()) == plain(rows)
+
+
+def test_automaton_finds_words_only():
+    automaton = phrases.compiled({b"b c": (2, 1), b"c": (1, 5)})
+    assert sorted(phrases.occurrences(automaton, b"b c bc b c".split(), 3)) == [(0, 2), (3, 2)]
+    assert sorted(phrases.occurrences(automaton, b"b c".split(), 9)) == [(0, 2), (1, 1)]
+    assert phrases.occurrences(automaton, b"b c".split(), 1) == []

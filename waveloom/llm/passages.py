@@ -1,12 +1,4 @@
-"""Passages of ``WINDOW`` words or more that occur in several documents: what the two passage operators share.
-
-A document's words are hashed, and of each window the least hash of its ``GRAM``-word runs is taken: equal windows have
-equal minima, and neighbouring windows mostly share one. Minima that occur in two different texts mark candidates; only
-the windows over those are compared, as 128-bit hashes, and the smallest (doc_id, place) of equal windows owns them.
-Windows of a later document that follow one another in the owner too are one run, and a run's words are fetched from the
-owner so that the operators can confirm it. Texts that are equal as wholes are recognised by their digest and only the
-first takes part.
-"""
+"""What the two passage operators share besides word hashes: texts on their way through shuffles, and what is done with the words to remove."""
 
 from __future__ import annotations
 
@@ -14,17 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from . import common
 
+#: Words of the least passage, and of the runs by whose hashes positions in it are selected.
 WINDOW = 50
 GRAM = 16
 #: Compressed bytes of text that a task opens at once, or one document.
 SLICE = 640 << 10
+DIGEST_SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
 
 
 def text_key(text: bytes) -> int:
@@ -33,151 +26,34 @@ def text_key(text: bytes) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
-def minima(h: np.ndarray) -> np.ndarray:
-    """The least run hash of each window, in order of the windows' starts."""
-    return common.sliding_min(common.sequence_hashes(h, GRAM), WINDOW - GRAM + 1)
-
-
-def texts_of(batch: pa.RecordBatch) -> list[bytes]:
-    """The UTF-8 texts of a batch that has them as ``text`` or, compressed, as ``z``; null is empty."""
-    if "text" in batch.schema.names:
-        return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-    inflate = zstandard.ZstdDecompressor().decompress
-    return [inflate(z) if z is not None else b"" for z in batch.column("z").to_pylist()]
-
-
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` as (doc_id, z, k, rest), dealt by k: z is the compressed text, k the doc_id or, where there is none, a hash of
+    """``docs`` as (doc_id, k, [rest,] z), dealt by k: z is the compressed text, k the doc_id or, where there is none, a hash of
     the text, and rest a struct of the other columns. k is never null, so every join on it reads the same shuffle."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    whole = docs.select("doc_id", F.col("text").cast("binary").alias("z"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("k"), *([F.struct(*rest).alias("rest")] if rest else []))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deflate = zstandard.ZstdCompressor(level=1).compress
-        for batch in common.text_slices(batches, "z", 4 << 20):
-            packed = pa.array([deflate(t) if t is not None else None for t in batch.column("z").to_pylist()], pa.binary())
-            yield batch.set_column(1, "z", packed)
-
-    return whole.mapInArrow(run, whole.schema).repartition("k")
-
-
-def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, copied): the keys of a document's texts that equal the text of a document with a smaller doc_id."""
-    marked = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("digest"))
-    # Written, as every unique side that a skewed one is joined with here: the join then shuffles both sides, and can split a
-    # partition that one very common key fills.
-    first = common.staged(marked.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("last > first").drop("last"), "first-copies")
-    return marked.join(first, "digest").filter("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("copied"))
-
-
-def anchors(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, key): the window minima of each document, each run of equal ones once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_slices(batches, limit=4 << 20):
-            found, ids, keys = [np.empty(0, np.uint64)], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                m = minima(common.word_hashes(text.split()))
-                if len(m):
-                    m = m[np.r_[True, m[1:] != m[:-1]]]
-                    found.append(m)
-                    ids += [doc_id] * len(m)
-                    keys += [text_key(text)] * len(m)
-            yield pa.RecordBatch.from_arrays([pa.array(common.signed(np.concatenate(found))), pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], names=["h", "doc_id", "key"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "h long, doc_id long, key long")
-
-
-def recurring_by_count(found: DataFrame) -> DataFrame:
-    """The values of h that occur in two different texts."""
-    return found.groupBy("h").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a != b").select("h")
-
-
-def owned_runs(base: DataFrame, found: DataFrame, recurring: DataFrame, copied: DataFrame) -> DataFrame:
-    """(doc_id, start, n, owner, owner_start): the longest runs of windows that a document shares, in step, with the
-    smallest document that has them; start and n count words. A doc_id with several texts has the runs of each.
-
-    Written as a table: a few rows a document."""
-    hits = found.join(common.staged(recurring, "recurring", release=True), "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"), (F.min("key") != F.max("key")).alias("several"))
-    asked = joined(joined(base, hits, "inner"), copied)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_slices(batches, "z", SLICE):
-            parts = [[np.empty(0, np.uint64)] * 2 + [np.empty(0, np.int64)] * 3]
-            for doc_id, text, hit, several, copy in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("hits"), batch.column("several").to_pylist(), batch.column("copied").to_pylist(), strict=True):
-                key = text_key(text)
-                if key in (copy or ()):
-                    continue
-                h = common.word_hashes(text.split())
-                m = common.signed(minima(h))
-                known = np.sort(np.asarray(hit.values))
-                at = np.flatnonzero(known[np.minimum(np.searchsorted(known, m), len(known) - 1)] == m) if len(m) else np.empty(0, np.int64)
-                if len(at):
-                    parts.append([common.sequence_hashes(h, WINDOW)[at], common.sequence_hashes(h, WINDOW, 0x5851F42D4C957F2D)[at], np.full(len(at), doc_id), np.full(len(at), key if several else 0), at])
-            cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            for lo in range(0, len(cols[0]), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(common.signed(c[lo : lo + (1 << 16)]) if c.dtype == np.uint64 else c[lo : lo + (1 << 16)]) for c in cols], names=["w1", "w2", "doc_id", "key", "start"])
-
-    windows = asked.mapInArrow(run, "w1 long, w2 long, doc_id long, key long, start long").withColumn("start", F.col("start").cast("int"))
-    # The first place in the smallest document: a text that repeats itself then maps to one stretch of its owner again and again.
-    owner = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("o"), F.max("doc_id").alias("last")).filter("last > o.doc_id")
-    owner = owner.select("w1", "w2", F.col("o.doc_id").alias("owner"), F.col("o.start").alias("owner_start"))
-    owner = common.staged(owner, "owners", release=True)
-    shared = windows.join(owner, ["w1", "w2"]).filter("doc_id > owner").select("doc_id", "key", "start", "owner", "owner_start").distinct()
-    order = Window.partitionBy("doc_id", "key").orderBy("start", "owner", "owner_start")
-    fresh = (F.col("start") == F.lag("start").over(order) + 1) & (F.col("owner") == F.lag("owner").over(order)) & (F.col("owner_start") == F.lag("owner_start").over(order) + 1)
-    numbered = shared.withColumn("fresh", F.when(fresh, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(order))
-    runs = numbered.groupBy("doc_id", "key", "run").agg(F.min("start").alias("start"), (F.count("*") + WINDOW - 1).cast("int").alias("n"), F.first("owner").alias("owner"), F.min("owner_start").alias("owner_start"))
-    return common.staged(runs.select("doc_id", "start", "n", "owner", "owner_start"), "runs", release=True)
-
-
-def with_words(runs: DataFrame, base: DataFrame) -> DataFrame:
-    """(doc_id, attached): for each document the distinct stretches (owner, owner_start, n, passage) that its runs name, passage
-    being the words as the owner has them, joined by one space. The owner's text is opened once for all of them."""
-    asked = runs.groupBy("owner").agg(F.collect_set(F.struct("owner_start", "n")).alias("asked"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_slices(batches, "z", SLICE):
-            for owner, text, asked in zip(batch.column("k").to_pylist(), texts_of(batch), batch.column("asked"), strict=True):
-                words = text.split()
-                rows = [(x["owner_start"], x["n"]) for x in asked.as_py()]
-                for lo in range(0, len(rows), 256):
-                    part = [(s, n, b" ".join(words[s : s + n])) for s, n in rows[lo : lo + 256] if s + n <= len(words)]
-                    yield pa.RecordBatch.from_arrays([pa.array([owner] * len(part), pa.int64()), pa.array([p[0] for p in part], pa.int32()), pa.array([p[1] for p in part], pa.int32()), pa.array([p[2] for p in part], pa.binary())], names=["owner", "owner_start", "n", "passage"])
-
-    keys = ["owner", "owner_start", "n"]
-    fetched = joined(base, asked.withColumnRenamed("owner", "doc_id"), "inner").mapInArrow(run, "owner long, owner_start int, n int, passage binary")
-    return runs.select("doc_id", *keys).distinct().join(fetched, keys).groupBy("doc_id").agg(F.collect_set(F.struct(*keys, "passage")).alias("attached"))
-
-
-def places(runs: DataFrame) -> DataFrame:
-    """(doc_id, places): where a document has which stretch."""
-    return runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "owner", "owner_start", "n")).alias("places"))
+    named = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("k"), *([F.struct(*rest).alias("rest")] if rest else []), "text")
+    return common.compressed(named, *named.columns[:-1]).repartition("k")
 
 
 def joined(base: DataFrame, other: DataFrame, how: str = "left") -> DataFrame:
-    """``base`` with what ``other`` has, one row at most, for its doc_id."""
+    """``base`` with what ``other`` has for its doc_id."""
     return base.join(other.withColumnRenamed("doc_id", "k"), "k", how)
 
 
-def finished(base: DataFrame, attached: list[DataFrame], copied: DataFrame, mark: Callable, schema, emit: Callable, slice_bytes: int = SLICE) -> DataFrame:
-    """Give each slice of documents, joined with the tables ``attached``, to ``mark``, which tells the words to remove; ``emit``
-    makes a record batch of a slice, its texts and those marks. A copy of ``WINDOW`` words or more loses every word."""
-    whole = base
-    for other in [*attached, copied]:
-        whole = joined(whole, other)
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows that can have or own a passage; text is binary."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
+
+def finished(base: DataFrame, marks: DataFrame, mark: Callable, schema, emit: Callable) -> DataFrame:
+    """Give each slice of documents, joined with ``marks``, to ``mark``, which tells the words to remove; ``emit`` makes a
+    record batch of a slice, its texts and those words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.text_slices(batches, "z", slice_bytes):
-            texts = texts_of(batch)
-            words = [t.split() for t in texts]
-            ids = batch.column("doc_id").to_pylist()
-            gone = mark(ids, words, batch)
-            for i, copy in enumerate(batch.column("copied").to_pylist()):
-                if copy and ids[i] is not None and len(words[i]) >= WINDOW and text_key(texts[i]) in copy:
-                    gone[i] = np.ones(len(words[i]), bool)
-            yield emit(batch, texts, words, gone)
+        for batch in common.text_slices(batches, "z", SLICE):
+            found = common.inflated(batch.column("z"))
+            words = [t.split() for t in found]
+            yield emit(batch, found, words, mark(batch, found, words))
 
-    return whole.mapInArrow(run, schema)
+    return joined(base, marks).mapInArrow(run, schema)
 
 
 def covered(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -189,9 +65,6 @@ def covered(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-DIGEST_SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
-
-
 def kept_words(batch: pa.RecordBatch, texts: list[bytes], words: list[list[bytes]], gone: list[np.ndarray]) -> pa.RecordBatch:
     """(doc_id, n_words, n_removed, kept): kept words joined by one space."""
     kept = [b" ".join(w) if not g.any() else b" ".join([x for x, out in zip(w, g.tolist(), strict=True) if not out]) for w, g in zip(words, gone, strict=True)]
@@ -200,4 +73,3 @@ def kept_words(batch: pa.RecordBatch, texts: list[bytes], words: list[list[bytes
 
 def digests(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
