@@ -46,16 +46,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **conf: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and a lost executor costs no
-    recomputation. Spark deletes the shuffle files of the job when it ends, as nothing else reads them."""
-    spark, path, clean = df.sparkSession, new_folder(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, "false")
-    spark.conf.set(clean, "true")
+    recomputation. Spark deletes the shuffle files of the job when it ends, as nothing else reads them. ``conf`` holds
+    for the job."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    conf = {k.replace("__", "."): v for k, v in conf.items()} | {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(clean, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     back = spark.read.schema(df.schema).parquet(path)
     back.staged_at = path
     return back
@@ -153,6 +157,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def tasks_for(spark: SparkSession, size: int, each: int) -> int:
+    """A number of tasks for ``size`` bytes: ``each`` a task, and as many as there are cores before that."""
+    return max(size // each, min(size // (1 << 20), spark.sparkContext.defaultParallelism)) + 1
+
+
 def columns_of(df: DataFrame) -> list:
     """All columns, whatever their names."""
     return [F.col(f"`{c}`") for c in df.columns]

@@ -141,9 +141,11 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         found = [{"g": g[at], "c": c[at], "mask": mask[at]}]
         for k in np.flatnonzero(open_[:whole]).tolist():
             h = common.word_hashes([*left[k][::-1], *suffix[k]])
-            w1, w2 = common.sequence_hashes(h, WINDOW), common.sequence_hashes(h, WINDOW, SECOND_SALT)
-            n = len(w1)
-            found.append({"g": np.full(n, g[k]), "c": np.full(n, c[k]), "w1": common.signed(w1), "w2": common.signed(w2), "doc_id": np.full(n, doc[k]), "o": (n_left[k] - np.arange(n)).astype(np.int32)})
+            o = n_left[k] - np.arange(max(0, len(h) - WINDOW + 1))
+            own = np.flatnonzero(mask[k] >> o & 1 == 0)  # of equal windows here only the smallest document's is sent on
+            w1, w2 = common.sequence_hashes(h, WINDOW)[own], common.sequence_hashes(h, WINDOW, SECOND_SALT)[own]
+            n = len(own)
+            found.append({"g": np.full(n, g[k]), "c": np.full(n, c[k]), "w1": common.signed(w1), "w2": common.signed(w2), "doc_id": np.full(n, doc[k]), "o": o[own].astype(np.int32)})
         out = []
         for part in (found[:1], *(found[lo : lo + 1024] for lo in range(1, len(found), 1024))):
             names = part[0].keys()
@@ -174,7 +176,7 @@ def repeated(docs: DataFrame, base: DataFrame) -> DataFrame:
     several = classes.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("g")
     array = common.staged(suffix_texts(base, classes.join(common.staged(several, "several"), "g")), "suffix-array")
     ordered = array.repartitionByRange("suffix", "left").sortWithinPartitions("suffix", "left")
-    compared = common.staged(ordered.mapInArrow(compare_neighbours, "g long, c long, mask long, w1 long, w2 long, doc_id long, o int"), "neighbours")
+    compared = common.staged(ordered.mapInArrow(compare_neighbours, "g long, c long, mask long, w1 long, w2 long, doc_id long, o int"), "neighbours", spark__sql__execution__rangeExchange__sampleSizePerPartition="20")
     cut = compared.filter("o IS NOT NULL")
     first = common.staged(cut.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"), "cut-groups")
     late = cut.join(first, ["w1", "w2"]).filter("doc_id > first").select("g", "c", F.expr("shiftleft(1L, o)").alias("mask"))
