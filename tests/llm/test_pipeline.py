@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from tests.llm.test_simhash import joined, plain_fingerprint
+from tests.llm.test_near_copies import plain as near_copies_of
 from waveloom.llm import pieces
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -14,16 +14,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def plain(rows, items):
     """rows: (doc_id, text)"""
     rows = [(d, t) for d, t in rows if t and any(c.isalpha() for c in t)]
-    fps = {}
-    for d, t in rows:
-        if d is not None:
-            f = plain_fingerprint(t)
-            fps[f] = min(d, fps.get(f, d))
-    of = joined([(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3], fps)
-    least = {}
-    for f, d in fps.items():
-        least[of[f]] = min(d, least.get(of[f], d))
-    lost = {d for d, t in rows if d is not None and least[of[plain_fingerprint(t)]] != d}
+    lost = near_copies_of(rows)
     rows = [(d, t) for d, t in rows if d not in lost]
     words = [(d, t, [m.span() for m in WORD.finditer(t)]) for d, t in rows]
     first = {}

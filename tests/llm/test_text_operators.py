@@ -41,6 +41,37 @@ def test_language(docs, no_docs, rows):
     assert language.identify(no_docs, model).count() == 0
 
 
+def test_letters():
+    model = language.LanguageModel.of({"a": "abc", "b": "xyz"})
+    texts = ["²", "½ ²", "Ⅷ", "12_3 ٣", "", None, "²a", "ª", "日本", "1 é"]
+    assert [x[0] == "und" for x in model.predict(texts)] == [not (t and any(c.isalpha() for c in t)) for t in texts]
+
+
+def test_sample_is_whole_and_bounded(spark, docs):
+    rows = [(i, f"{phrase(i, 30)} end{i}", "xx") for i in range(300)] + [(1000 + i, phrase(i, 900), "yy") for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    language.LanguageModel.of, old = lambda texts: seen.update(texts), language.LanguageModel.of
+    try:
+        language.fit(table.union(table.limit(9)), sample_docs=6, usual_chars=400)
+    finally:
+        language.LanguageModel.of = old
+    by_text = {t: (i, lang) for i, t, lang in rows}
+    for lang in ("xx", "yy"):
+        parts = seen[lang].strip("\n").split("\n")
+        assert {by_text[p][1] for p in parts} == {lang} and all(zlib.crc32(str(by_text[p][0]).encode()) % 3 != 1 for p in parts)
+        assert len(parts) == 6 or lang == "yy" and len(parts) == sum(zlib.crc32(str(1000 + i).encode()) % 3 != 1 for i in range(5))
+
+
+def test_long_texts_are_parsed_in_stretches():
+    """Phrases end where a stretch does: a long text's entropy is that of its stretches, by their phrases."""
+    model = language.LanguageModel.of({"a": "abracadabra", "b": "bcdbcdbcd"})
+    text = (b"abrbcdzabracad" * 300)[: 3 * language.STRETCH + 17]
+    parts = [text[i : i + language.STRETCH] for i in range(0, len(text), language.STRETCH)]
+    want = sum(model.entropies([p])[:, 0] * len(p) for p in parts) / len(text)
+    assert model.entropies([text])[:, 0] == pytest.approx(want)
+
+
 def test_language_on_held_out(spark, sf_dir):
     out = language.op8_language(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out")
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
@@ -170,13 +201,15 @@ def test_decontamination(spark, docs, no_docs):
     w = item.split()
     texts = {100: f"{phrase(51, 4000)} {item.upper()} {phrase(52, 4000)}", 101: " ".join(w[:19] + ["zz"] + w[19:]), 102: " ".join(w[:15]), 103: item, 104: " ".join(w[:20]), 105: phrase(53, 40)}
     more = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string")
-    items = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (None, item), (4, item), (5, phrase(54, 400))], "item_id long, text string")
+    texts |= {106: "QUITE  short", 107: f"{phrase(55, 9)} is quite short\tand {phrase(56, 700)}", 108: "quite shorter than a quite, short one", 109: "quite"}
+    more = spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "quite Short"), (3, None), (None, item), (4, item), (5, phrase(54, 400)), (6, " \n"), (7, "a quite, short one")], "item_id long, text string")
 
     def shingles(t):
         x = (t or "").lower().split()
         return {" ".join(x[i : i + 5]) for i in range(len(x) - 4)}
 
-    want = {(d, i) for d, t in texts.items() for i in (1, 4) if len(shingles(t) & shingles(item)) >= 0.8 * len(shingles(item))}
+    want = {(d, i) for d, t in texts.items() for i in (1, 4) if len(shingles(t) & shingles(item)) >= 0.8 * len(shingles(item))} | {(106, 2), (107, 2), (108, 7)}
     everything = docs.unionByName(more, allowMissingColumns=True)
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contained(everything, items).collect()}
     assert got == want and {100, 101, 103} <= {d for d, _ in want} and 102 not in {d for d, _ in want}

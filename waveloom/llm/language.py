@@ -11,7 +11,6 @@ stretch does, in every language alike. A letter that a language never showed end
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,6 +55,10 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
     return step
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def folded(text: str) -> bytes:
     return text.lower().encode()
 
@@ -127,8 +130,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """The language of each text and how far it leads, from 0 to 1. Texts without letters, and null, are ``und``."""
-        letter = re.compile(r"[^\W\d_]")
-        use = [i for i, t in enumerate(texts) if t and self.languages and letter.search(t)]
+        use = [i for i, t in enumerate(texts) if t and self.languages and has_letter(t)]
         out = [(UNKNOWN, 0.0)] * len(texts)
         found = self.entropies([folded(texts[i]) for i in use])
         for i, column in zip(use, found.T, strict=True):
@@ -144,25 +146,32 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = 48, sample_chars: int = 400) -> LanguageModel:
-    """Learn from a bounded sample: of each language the ``sample_docs`` labelled documents with the least hash of doc_id,
-    ``sample_chars`` characters of each. Documents held out, and those without text, lang or doc_id, are not used."""
+def fit(docs: DataFrame, sample_docs: int = 24, usual_chars: int = 1500) -> LanguageModel:
+    """Learn from a bounded sample of whole documents: of each language ``sample_docs`` labelled ones, those of at most
+    ``usual_chars`` characters first, in an order that their doc_id's hash gives, then the shortest of the longer ones.
+
+    Documents held out, and those without text, lang or doc_id, are not used; rows that repeat count once, and an empty
+    table gives a model that knows no language. The model's size is bounded by the sample, whatever the number of rows.
+    """
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
     # First within many cuts of each language, then among what those leave: a language may hold most of the rows.
-    order = F.xxhash64("doc_id"), F.col("doc_id")
-    some = usable.select("doc_id", "lang").distinct().withColumn("cut", F.pmod(F.hash("doc_id"), F.lit(64)))
+    order = "chars", F.xxhash64("doc_id"), "doc_id", "key"
+    some = usable.select("doc_id", "lang", F.greatest(F.length("text"), F.lit(usual_chars)).alias("chars"), F.xxhash64("text").alias("key")).distinct().withColumn("cut", F.pmod(F.hash("doc_id"), F.lit(64)))
     some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang", "cut").orderBy(*order))).filter(F.col("place") <= sample_docs)
-    chosen = some.select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("place")).filter(F.col("place") <= sample_docs)
+    chosen = some.select("doc_id", "lang", "key", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("place")).filter(F.col("place") <= sample_docs)
     # At most sample_docs rows a language.
-    rows = usable.select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("sample")).join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "place", "sample").distinct().collect()
+    rows = usable.select("doc_id", "lang", F.xxhash64("text").alias("key"), "text").join(F.broadcast(chosen), ["doc_id", "lang", "key"]).select("lang", "place", "text").distinct().collect()
     texts: dict[str, str] = {}
-    for lang, _, sample in sorted(rows):
-        texts[lang] = texts.get(lang, "") + sample + "\n"
+    for lang, _, text in sorted(rows):
+        texts[lang] = texts.get(lang, "") + text + "\n"
     return LanguageModel.of(texts)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``lang_pred`` and ``score`` of each row of ``docs`` (doc_id, text); only the text is looked at, other columns are ignored."""
+    """``lang_pred`` and ``score`` of each row of ``docs`` (doc_id, text); only the text is looked at, other columns are ignored.
+
+    Rows are independent: null doc_ids stay, rows that repeat give rows that repeat, texts of any length are parsed whole, and
+    an empty table gives an empty result. Null and empty texts, and those without letters, are ``und`` with score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +183,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is recognised: those that are not ``und``."""
+    """The rows of ``docs``, all columns, whose language is recognised: those that are not ``und``. Nulls, repeats, very long
+    texts and empty tables as in ``identify``; columns may have any names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the columns are called
     text = f"c{docs.columns.index('text')}"

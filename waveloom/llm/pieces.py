@@ -23,6 +23,8 @@ from . import common
 
 #: The mark that stands for a space, and that the library puts before a text.
 SPACE = "▁"
+#: Characters of the longest text that an encoder remembers; with the number of entries this bounds its memory in bytes.
+CACHED_CHARS = 64
 
 
 class PieceEncoder:
@@ -126,9 +128,11 @@ class PieceEncoder:
                 atom = s[start:k]
                 found = atoms.get(atom)
                 if found is None:
-                    if len(atoms) >= self.limit:
-                        atoms.clear()
-                    found = atoms[atom] = array(self.code, self.encode_atom(atom)).tobytes()
+                    found = array(self.code, self.encode_atom(atom)).tobytes()
+                    if len(atom) <= CACHED_CHARS:
+                        if len(atoms) >= self.limit:
+                            atoms.clear()
+                        atoms[atom] = found
                 out.append(found)
                 start = k
         return b"".join(out)
@@ -147,9 +151,11 @@ class PieceEncoder:
         for key in keys:
             found = chunks.get(key)
             if found is None:
-                if len(chunks) >= self.limit:
-                    chunks.clear()
-                found = chunks[key] = self._chunk(key)
+                found = self._chunk(key)
+                if len(key) <= CACHED_CHARS:
+                    if len(chunks) >= self.limit:
+                        chunks.clear()
+                    chunks[key] = found
             out.append(found)
         return b"".join(out)
 
@@ -183,7 +189,7 @@ def encode_decode(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """One row of counts and digests for each encoded row."""
+    """One row of counts and digests for each row of ``encode_decode``, whose ids and texts are never null."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -1,7 +1,7 @@
 """SimHash near-dedup with BK-trees.
 
-Two fingerprints that differ in at most ``radius`` bits agree in one of ``radius + 1`` blocks of bits. So distinct
-fingerprints are dealt into shards by (block, value); each shard has a BK-tree whose children are keyed by their Hamming
+Two fingerprints that differ in at most ``radius`` bits agree in two of ``radius + 2`` blocks of bits. So distinct
+fingerprints are dealt into shards by (two blocks, their values), of some 26 bits; each shard has a BK-tree whose children are keyed by their Hamming
 distance to the parent, and a search follows only edges within the radius. A shard of more than ``tree_size``
 fingerprints is cut into trees of about that size, and each of its fingerprints visits every tree: a cell holds one tree
 and the fingerprints of one other, so no task holds an unbounded group. A cell returns a spanning set of its links, not all
@@ -12,6 +12,7 @@ The trees of many cells are built and searched together, level by level, as arra
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,9 +142,10 @@ def spanning_links(values: np.ndarray, cell: np.ndarray, in_tree: np.ndarray, as
 
 def near_links(fps: DataFrame, radius: int = RADIUS, tree_size: int = 4096) -> DataFrame:
     """Links (a, b) among the distinct values ``fp`` that connect all pairs within ``radius`` bits."""
-    blocks = radius + 1
-    width = 64 // blocks
-    parts = F.array(*(F.struct(F.lit(k).alias("block"), (F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1)).alias("value")) for k in range(blocks)))
+    edges = [64 * k // (radius + 2) for k in range(radius + 3)]
+    bits = [(F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1), hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+    pairs = [F.shiftleft(a, width) + b for (a, _), (b, width) in itertools.combinations(bits, 2)]
+    parts = F.array(*(F.struct(F.lit(k).alias("block"), value.alias("value")) for k, value in enumerate(pairs)))
     posts = fps.select("fp", F.explode(parts).alias("p")).select("fp", "p.block", "p.value")
     large = posts.groupBy("block", "value").count().filter(F.col("count") > tree_size).select("block", "value", F.ceil(F.col("count") / tree_size).cast("int").alias("trees"))
     cut = posts.join(large, ["block", "value"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
@@ -201,7 +203,8 @@ def hex_fingerprint(fp="fp"):
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is the least of its group; rows without doc_id stay."""
+    """The rows of ``docs``, all columns, whose doc_id is the least of its group; rows without doc_id stay, rows that repeat
+    the kept doc_id stay too, and an empty table stays empty."""
     dropped = near_components(docs).filter("doc_id != component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(common.columns_of(docs))
 

@@ -58,13 +58,17 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
+#: Characters of the longest text that an encoder remembers.
+CACHED_CHARS = 64
+
+
 class WordCachedEncoder:
     """Encodes whole texts with the tokenizers library, asking it once for each distinct piece of text.
 
     A byte-level pre-tokenizer always starts anew at a space between two visible characters, where a Latin letter is
     followed by punctuation, and on either side of a line end between visible characters. So what lies between such
-    places encodes on its own. Other text is not cut. Both caches are emptied at ``limit`` entries, which bounds a
-    worker's memory.
+    places encodes on its own. Other text is not cut. Both caches are emptied at ``limit`` entries and take no text of
+    more than ``CACHED_CHARS`` characters, which bounds a worker's memory in bytes.
 
     A text that holds an added token, such as <|endoftext|>, goes to the library whole: the library takes such tokens out
     of the text before it pre-tokenizes, with what white space around them they may claim.
@@ -114,7 +118,11 @@ class WordCachedEncoder:
         for piece, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
             self.pieces[piece] = array(self.code, found.ids).tobytes()
         get = self.pieces.__getitem__
-        return [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
+        out = [get(c[0]) if len(c) == 1 else b"".join(map(get, c)) for c in cut]
+        for piece in new:
+            if len(piece) > CACHED_CHARS:
+                del self.pieces[piece]
+        return out
 
     def _learn(self, here: list[str]) -> list[bytes | None]:
         """What is known of each of these distinct stretches, after asking for those that are new."""
@@ -126,7 +134,11 @@ class WordCachedEncoder:
             shut = [p for p in new if not self.open_end.search(p)]
             known.update(dict.fromkeys(new))
             known.update(zip(shut, self._packed([" " + p for p in shut]), strict=True))
-        return list(map(known.__getitem__, here))
+        out = list(map(known.__getitem__, here))
+        for p in new:
+            if len(p) > CACHED_CHARS:
+                del known[p]
+        return out
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, packed in native little-endian order."""
@@ -232,7 +244,9 @@ def with_starts(index: DataFrame) -> DataFrame:
 def read_token_files(index: DataFrame, folder: str, chunk_bytes: int = 8 << 20) -> DataFrame:
     """Read the records that ``index`` (with ``start``) lists; neighbours are fetched by one read of ``chunk_bytes`` or so.
 
-    Every length and checksum is verified. Returns doc_id, start, n_tokens and the CRC-32 of the ids as 32-bit integers.
+    Every length and checksum is verified. Returns doc_id, start, n_tokens and the CRC-32 of the ids as 32-bit integers;
+    a record as often as it is listed, null doc_ids as null, nothing for an empty index. Other columns are ignored. Files
+    are dealt to tasks by their bytes, not by the few bytes that the index has of them.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = common.opened(folder)
@@ -254,7 +268,8 @@ def read_token_files(index: DataFrame, folder: str, chunk_bytes: int = 8 << 20)
                 i = j
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = index.select("file", "offset", "length", "start", F.expr(f"offset div {chunk_bytes}").alias("chunk")).repartition("file", "chunk").sortWithinPartitions("file", "offset")
+    tasks = common.tasks_for(index.sparkSession, index.agg(F.sum("length")).first()[0] or 0, 4 * chunk_bytes)
+    placed = index.select("file", "offset", "length", "start", F.expr(f"offset div {chunk_bytes}").alias("chunk")).repartition(tasks, "file", "chunk").sortWithinPartitions("file", "offset")
     return placed.select("file", "offset", "length", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -23,6 +23,8 @@ from . import common
 
 BINS = 512
 EXACT = 2.0**53
+#: Greatest score that is searched; histograms need room for twice as much.
+LARGEST = 1 << 61
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -42,7 +44,9 @@ def scored(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     if bound < EXACT:
         return (queries @ vectors.T).astype(np.int64)
     exact = np.array([[int(x) for x in row] for row in queries], object) @ np.array([[int(x) for x in row] for row in vectors], object).T
-    return exact.astype(np.int64)  # raises if a score does not fit
+    if exact.size and max(exact.max(), -exact.min()) > LARGEST:
+        raise OverflowError("a score is beyond the range of 64-bit integers that can be searched")
+    return exact.astype(np.int64)
 
 
 def blocks(vectors: DataFrame, id_column: str, vector_column: str, scale: float, size: int) -> DataFrame:
@@ -50,7 +54,7 @@ def blocks(vectors: DataFrame, id_column: str, vector_column: str, scale: float,
 
     Rows without id, and vectors that are null or hold null or non-finite components, take no part."""
     usable = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).filter(
-        "id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity'))"
+        f"id IS NOT NULL AND v IS NOT NULL AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity') OR abs(x * {scale}D) = double('Infinity'))"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +165,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str =
 
     A row never answers a query of its own id. Rows that repeat count each, as queries and as answers; a query with fewer
     than k candidates gets them all. A query meets vectors of its own length only. Empty tables give an empty result.
+    Components that are infinite once scaled are non-finite, and take no part; scores beyond ``LARGEST`` raise an error.
     Other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -170,7 +175,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int, id_column: str =
     # Few enough blocks a bucket to buffer one bucket, and at least as many buckets as partitions.
     buckets = max(1, min(n_blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 64)))
     stored = stored.withColumn("bucket", F.pmod(F.col("block"), F.lit(buckets)).cast("int"))
-    top = int(norm * (asked.agg(F.coalesce(F.max("norm"), F.lit(0.0))).first()[0]) * (1 + 1e-9)) + 1
+    top = int(min(float(LARGEST), norm * asked.agg(F.coalesce(F.max("norm"), F.lit(0.0))).first()[0] * (1 + 1e-9))) + 1
     span = 2 * top + 1
     width = -(-span // BINS)
     state = asked.select("qblock", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("qpos")).withColumns({"lo": F.lit(-top).cast("long"), "rank": F.lit(k).cast("long"), "all": F.lit(False)})

@@ -131,7 +131,9 @@ def ranges(offsets: list[int], lengths: list[int], gap: int, most: int) -> Itera
 
 
 def read_records(selected: DataFrame, folder: str, with_payload: bool = True, gap: int = 64 << 10, chunk_bytes: int = 8 << 20) -> DataFrame:
-    """Read the records that ``selected``, rows of an index, names. A revisit has no payload here, but its length and digest."""
+    """Read the records that ``selected``, rows of an index, names: each as often as it is named, none for an empty table.
+    A revisit has no payload here, but its length and digest; a null page_id comes back as null. Other columns are ignored.
+    Archives are dealt to tasks by their bytes, not by the few bytes that the index has of them."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = common.opened(folder)
         for batch in batches:
@@ -162,7 +164,9 @@ def read_records(selected: DataFrame, folder: str, with_payload: bool = True, ga
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
                 lo = hi
 
-    placed = selected.select("file", "offset", "length", F.expr(f"offset div {chunk_bytes}").alias("chunk")).repartition("file", "chunk").sortWithinPartitions("file", "offset")
+    size = selected.agg(F.sum("length")).first()[0] or 0
+    tasks = common.tasks_for(selected.sparkSession, size, 4 * chunk_bytes)
+    placed = selected.select("file", "offset", "length", F.expr(f"offset div {chunk_bytes}").alias("chunk")).repartition(tasks, "file", "chunk").sortWithinPartitions("file", "offset")
     return placed.select("file", "offset", "length").mapInArrow(read, RECORD_SCHEMA)
 
 
