@@ -52,7 +52,7 @@ def test_numbers(spark):
     tokens = ["1,234", "45%", "3-5", "--", "n/a", "±2.5", "12°", "VIII", None, ""]
     df = spark.createDataFrame([(t,) for t in tokens], "x string")
     rows = df.select(T.plain_number("x").alias("p"), T.loose_number("x").alias("l"), T.share("x").alias("s"), T.version_number("x").alias("v")).collect()
-    assert [r["p"] for r in rows] == [1234, 45, None, None, None, None, None, None, None, None]
+    assert [r["p"] for r in rows] == [1234, 45, None, None, None, 2.5, 12, None, None, None]
     assert [r["l"] for r in rows] == [None, None, 4, None, None, 2.5, 12, None, None, None]
     assert rows[1]["s"] == 0.45 and rows[7]["v"] == 8
 

@@ -81,61 +81,99 @@ def eta_squared(df: DataFrame, label: str, value: str, by: list[str]) -> DataFra
     return total.select(*by, F.try_divide(F.col("between") - F.col("n") * F.col("mean") * F.col("mean"), F.col("sq") - F.col("n") * F.col("mean") * F.col("mean")).alias("eta_squared"))
 
 
-def least_squares(df: DataFrame, predictors: list[str], target: str, by: list[str]) -> DataFrame:
-    """(by, n, r2, adj_r2, b0, b1, ...) of each group with at least max(12, p + 5) complete rows, else NULL.
+def _names_of_sums(p: int) -> list[str]:
+    return [f"x{i}_{j}" for i in range(p + 1) for j in range(i, p + 1)] + [f"y{i}" for i in range(p + 1)] + ["yy"]
 
-    The normal equations' sums are one aggregate over the cluster; what is solved is one matrix of (p + 1)^2 numbers a group.
+
+def solved(sums: DataFrame, by: list[str], p: int, least: int = 12) -> DataFrame:
+    """(by, n, r2, adj_r2, b0, b1, ...) from the sums of the normal equations; NULL under max(least, p + 5) rows.
+
+    A row is one system of p + 1 equations; the systems of a batch are solved together.
     """
     import pandas as pd
 
-    names = ["_one", *predictors]
-    rows = df.dropna(subset=[*predictors, target]).withColumn("_one", F.lit(1.0))
-    p = len(predictors)
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"x{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
-    sums += [F.sum(F.col(a) * F.col(target)).alias(f"y{i}") for i, a in enumerate(names)] + [F.sum(F.col(target) * F.col(target)).alias("yy")]
-    grouped = rows.groupBy(*by).agg(*sums)
-
     def solve(frames):
         import numpy as np
 
         for frame in frames:
-            out = []
-            for _, r in frame.iterrows():
-                a = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)])
-                b = np.array([r[f"y{i}"] for i in range(p + 1)])
-                n = int(a[0, 0])
-                fit = [None] * (p + 3)
-                if n >= max(12, p + 5):
-                    beta = np.linalg.lstsq(a, b, rcond=None)[0]
-                    total = r["yy"] - b[0] ** 2 / n
-                    rest = r["yy"] - 2 * beta @ b + beta @ a @ beta
-                    if total > 0:
-                        r2 = float(1 - rest / total)
-                        fit = [r2, 1 - (1 - r2) * (n - 1) / (n - p - 1), *map(float, beta)]
-                out.append([*(r[c] for c in by), n, *fit])
-            yield pd.DataFrame(out, columns=[*by, "n", "r2", "adj_r2", *(f"b{i}" for i in range(p + 1))])
-
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in grouped.select(*by).schema)
+            if not len(frame):
+                continue
+            get = lambda c: frame[c].to_numpy(float)
+            a = np.stack([np.stack([get(f"x{min(i, j)}_{max(i, j)}") for j in range(p + 1)], -1) for i in range(p + 1)], -2)
+            b, yy, n = np.stack([get(f"y{i}") for i in range(p + 1)], -1), get("yy"), a[:, 0, 0]
+            # Scaled to a unit diagonal, so that predictors of any size are told apart from those that depend on others.
+            scale = np.sqrt(np.where(np.diagonal(a, axis1=1, axis2=2) > 0, np.diagonal(a, axis1=1, axis2=2), 1.0))
+            beta = (np.linalg.pinv(a / (scale[:, :, None] * scale[:, None, :]), hermitian=True) @ (b / scale)[:, :, None])[:, :, 0] / scale
+            total = yy - b[:, 0] ** 2 / np.where(n > 0, n, 1)
+            rest = yy - 2 * (beta * b).sum(1) + np.einsum("ki,kij,kj->k", beta, a, beta)
+            fit = (n >= max(least, p + 5)) & (total > 0)
+            r2 = 1 - rest / np.where(fit, total, 1)
+            columns = {"r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / np.where(fit, n - p - 1, 1), **{f"b{i}": beta[:, i] for i in range(p + 1)}}
+            yield pd.DataFrame({**{c: frame[c] for c in by}, "n": n.astype("int64"), **{c: pd.Series(pd.arrays.FloatingArray(np.where(fit, v, 0.0), ~fit), index=frame.index) for c, v in columns.items()}})
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.select(*by).schema)
     schema = ", ".join(x for x in (keys, "n long, r2 double, adj_r2 double", ", ".join(f"b{i} double" for i in range(p + 1))) if x)
-    return grouped.mapInPandas(solve, schema)
+    return sums.mapInPandas(solve, schema)
 
 
-def bootstrap_r2(df: DataFrame, predictors: list[str], target: str, by: list[str], rounds: int = 300, seed: int = 42) -> DataFrame:
-    """Median, 10th and 90th percentile of adjusted R2 over resamples, and the share of positive first slopes.
+def least_squares(df: DataFrame, predictors: list[str], target: str, by: list[str]) -> DataFrame:
+    """(by, n, r2, adj_r2, b0, b1, ...) of each group with at least max(12, p + 5) complete rows, else NULL.
 
-    Each row draws a Poisson(1) weight for each round, seeded by its own hash, so resampling needs no group in one place:
-    all rounds are weighted sums of one aggregate.
+    The normal equations' sums are one aggregate over the cluster; what is solved is one matrix of (p + 1)^2 numbers a group.
     """
+    rows, p = df.dropna(subset=[*predictors, target]).withColumn("_one", F.lit(1.0)), len(predictors)
+    terms = ["_one", *predictors]
+    products = [(a, b) for i, a in enumerate(terms) for b in terms[i:]] + [(a, target) for a in terms] + [(target, target)]
+    return solved(rows.groupBy(*by).agg(*(F.sum(F.col(a) * F.col(b)).alias(n) for n, (a, b) in zip(_names_of_sums(p), products, strict=True))), by, p)
+
+
+#: Cumulative Poisson(1) probabilities.
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+
+
+def bootstrap_r2(df: DataFrame, predictors: list[str], target: str, by: list[str], ident: list[str], rounds: int = 300, seed: int = 42) -> DataFrame:
+    """Median, 10th and 90th percentile of adjusted R2 over resamples, and the share of positive first slopes; groups of
+    fewer than max(20, p + 5) complete rows have none.
+
+    ``ident`` tells rows apart: each draws a Poisson(1) weight for each round, seeded by it, so equal rows draw apart and a
+    task that runs twice draws the same. A task adds up the weighted sums of all rounds as matrix products; what is
+    shuffled is one row a task, group and round.
+    """
+    import pyarrow as pa
+
+    p, names = len(predictors), _names_of_sums(len(predictors))
     complete = df.dropna(subset=[*predictors, target])
-    hashed = F.xxhash64(*by, *predictors, target, F.lit(seed))
-    drawn = complete.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    u = F.pmod(F.xxhash64(hashed, "round"), F.lit(1 << 30)) / float(1 << 30)
-    # Cumulative Poisson(1) probabilities.
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    weighted = drawn.withColumn("w", weight).filter("w > 0").withColumn("w", F.explode(F.sequence(F.lit(1), F.col("w"))))
-    fits = least_squares(weighted, predictors, target, [*by, "round"])
-    return fits.filter("adj_r2 IS NOT NULL").groupBy(*by).agg(F.count("*").alias("rounds"), F.median("adj_r2").alias("adj_r2_median"), F.percentile("adj_r2", 0.1).alias("adj_r2_p10"), F.percentile("adj_r2", 0.9).alias("adj_r2_p90"), F.avg((F.col("b1") > 0).cast("double")).alias("positive_share"))
+    rows = complete.select(F.struct(*by).alias("k"), F.xxhash64(*ident, F.lit(seed)).alias("s"), *(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*predictors, target])))
+
+    def add(batches):
+        import numpy as np
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = pa.Table.from_batches([batch]).column("k").combine_chunks()
+            keys = coded.to_pylist()
+            place: dict[tuple, int] = {}
+            group = np.array([place.setdefault(tuple(k.values()), len(place)) for k in keys])
+            x = np.stack([np.ones(len(keys)), *(np.asarray(batch.column(f"c{i}")) for i in range(p + 1))], axis=1)
+            y, x = x[:, -1], x[:, :-1]
+            products = np.stack([*(x[:, i] * x[:, j] for i in range(p + 1) for j in range(i, p + 1)), *(x[:, i] * y for i in range(p + 1)), y * y], axis=1)
+            h = np.asarray(batch.column("s")).view(np.uint64)[:, None] + np.arange(rounds, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            weight = np.searchsorted(POISSON, ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2**53, side="right").astype(np.float64)
+            first = {g: i for i, g in reversed(list(enumerate(group.tolist())))}
+            for g in range(len(place)):
+                mine = group == g
+                sums = weight[mine].T @ products[mine]
+                yield pa.RecordBatch.from_arrays([coded.take(pa.array([first[g]] * rounds)), pa.array(np.arange(rounds), pa.int32()), *(pa.array(sums[:, c]) for c in range(sums.shape[1]))], names=["k", "round", *names])
+
+    kind = rows.schema["k"].dataType.simpleString()
+    parts = rows.mapInArrow(add, f"k {kind}, round int, " + ", ".join(f"{n} double" for n in names))
+    sums = parts.groupBy("k", "round").agg(*(F.sum(n).alias(n) for n in names)).select("k.*", "round", *names)
+    fits = solved(sums, [*by, "round"], p)
+    large = complete.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= max(20, p + 5)).drop("_n")
+    return fits.filter("adj_r2 IS NOT NULL").join(large, by).groupBy(*by).agg(F.count("*").alias("rounds"), F.median("adj_r2").alias("adj_r2_median"), F.percentile("adj_r2", 0.1).alias("adj_r2_p10"), F.percentile("adj_r2", 0.9).alias("adj_r2_p90"), F.avg((F.col("b1") > 0).cast("double")).alias("positive_share"))
 
 
 def quantile_band(df: DataFrame, value: str, by: list[str], out: str = "band") -> DataFrame:

@@ -40,20 +40,22 @@ def unique_names(df, name: str, order: list[str], out: str = "unique_name", with
     return df.withColumn(out, F.when(place == 1, F.col(name)).otherwise(F.concat_ws("_", name, place.cast("string"))))
 
 
-#: Ordered rewrites of a model-family name: year, research mark, test kind, hyphens, blanks.
+#: What goes from the name of a test, in this order: the year, what follows `` into ``, remarks, test kind, research mark;
+#: then one blank stands for each hyphen and run of white space.
 FAMILY_STEPS = (
-    (r"^\s*\d{4}\s+", ""),
-    (r"\(R&D\)", " "),
-    (r"(?i)\s*-\s*small overlap.*$", ""),
-    (r"[-_/]+", " "),
+    (r"^\d{4}\s+", ""),
+    (r"(?s) into .*$", ""),
+    (r"\([^)]*\)", ""),
+    (r"(?i)\bSmall Overlap\b", ""),
+    (r"(?i)\bR&D\b", ""),
+    (r"\s*-\s*", " "),
     (r"\s+", " "),
 )
 
 
 def family(c: str | Column) -> Column:
-    """The model family in the name of a test: what stands before `` into ``, without year, marks and test kind."""
-    start = F.element_at(F.split(_col(c), " into "), 1)
-    return F.btrim(reduce(lambda x, step: F.regexp_replace(x, *step), FAMILY_STEPS, start), F.lit(" ,"))
+    """The model family in the name of a test."""
+    return F.btrim(reduce(lambda x, step: F.regexp_replace(x, *step), FAMILY_STEPS, F.trim(_col(c))), F.lit(" ,"))
 
 
 def rewritten(c: str | Column, aliases: list[tuple[str, str]]) -> Column:
@@ -61,8 +63,11 @@ def rewritten(c: str | Column, aliases: list[tuple[str, str]]) -> Column:
     return collapse(reduce(lambda x, a: F.regexp_replace(x, f"(?i){a[0]}", a[1]), aliases, F.lower(collapse(c))))
 
 
-def cohort(era: str, side: str, state: str) -> Column:
-    return F.concat_ws("|", era, side, state)
+def cohort(era: str, side: str, ready: str) -> Column:
+    """Era, side and whether signals are ready; a part that is missing is named so."""
+    named = lambda c, other: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(other))
+    state = F.when(F.coalesce(F.col(ready).cast("int"), F.lit(0)) != 0, "signal-ready").otherwise("signal-missing")
+    return F.concat_ws("|", named(era, "unknown-era"), named(side, "unknown"), state)
 
 
 def side_factor(c: str | Column) -> Column:
@@ -75,16 +80,16 @@ def locator_sheet(c: str | Column) -> Column:
     return F.when(_col(c).ilike("sheet:%"), F.substring_index(F.substr(_col(c), F.lit(7)), "|", 1)).otherwise("")
 
 
-def plain_number(c: str | Column) -> Column:
-    """Commas and stray signs go; dashes and n/a are missing."""
-    bare = F.regexp_replace(F.trim(_col(c)), r"[,\s%*]", "")
-    return F.when(~F.lower(bare).isin("", "--", "-", "n/a", "na", "nan"), number(bare))
+def plain_number(c: str | Column, exponent: bool = True) -> Column:
+    """The number that is left when all but digits, signs, points and, with ``exponent``, e is taken out."""
+    kept = F.regexp_replace(_col(c), "[^0-9.+eE-]" if exponent else "[^0-9.+-]", "")
+    return number(F.nullif(kept, F.lit("")))
 
 
 def loose_number(c: str | Column) -> Column:
     """As printed in reports: plus-minus, degree and star signs go, a range is its midpoint, commas are not accepted."""
-    bare = F.regexp_replace(F.trim(_col(c)), r"[±°*\s]", "")
-    low, high = (number(F.regexp_extract(bare, r"^(-?\d+(?:\.\d+)?)-(\d+(?:\.\d+)?)$", k)) for k in (1, 2))
+    bare = F.regexp_replace(F.regexp_replace(_col(c), r"[°*\s]", ""), "^±", "")
+    low, high = (number(F.regexp_extract(bare, r"^(-?\d+(?:\.\d+)?)-(-?\d+(?:\.\d+)?)$", k)) for k in (1, 2))
     return F.when(low.isNotNull() & high.isNotNull(), (low + high) / 2).otherwise(number(F.nullif(bare, F.lit(""))))
 
 
@@ -100,8 +105,29 @@ def version_number(c: str | Column) -> Column:
 
 def share(c: str | Column) -> Column:
     """``45%`` is 0.45, other numbers are themselves."""
-    text = F.trim(_col(c))
-    return F.when(text.endswith("%"), number(F.rtrim(text, F.lit("%"))) / 100).otherwise(number(text))
+    return F.when(F.trim(_col(c)).endswith("%"), plain_number(c) / 100).otherwise(plain_number(c))
+
+
+def banded(c: str | Column, edges: list[float], labels: list[str]) -> Column:
+    """The label of the interval, open to the left and closed to the right, that a value lies in; NULL beyond the ends."""
+    out, value = F.lit(None).cast("string"), _col(c)
+    for low, high, label in reversed(list(zip(edges, edges[1:], labels, strict=True))):
+        out = F.when((value > low) & (value <= high), label).otherwise(out)
+    return out
+
+
+def metres_per_second(actual: str, target: str) -> Column:
+    """A speed in km/h, the actual one or else the one aimed at, as m/s."""
+    return F.coalesce(actual, target) / 3.6
+
+
+def mode_set(text: str, allowed: list[str]) -> list[str]:
+    """The modes that a comma-separated text names, each once and in order; an unknown one raises."""
+    asked = list(dict.fromkeys(x.strip() for x in text.split(",") if x.strip()))
+    unknown = [x for x in asked if x not in allowed]
+    if unknown:
+        raise ValueError(f"unknown modes: {', '.join(sorted(unknown))}")
+    return asked
 
 
 def numbers_in(c: str | Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def case_master(cases: DataFrame, signals: DataFrame, documents: DataFrame, key:
     by_kind = documents.groupBy(key).agg(*(F.max((F.col("kind") == k).cast("int")).alias(f"{k}_flag") for k in ("pdf", "excel")))
     out = cases.join(by_mode, key, "left").join(by_kind, key, "left")
     flags = ["standard_baseline_flag", "strict_origin_flag", "pdf_flag", "excel_flag"]
-    return out.fillna(0, flags).withColumns({"family": family("title"), "cohort": cohort("era", "test_side", "state")})
+    return out.fillna(0, flags).withColumns({"family": family("title"), "cohort": cohort("era", "test_side", "standard_baseline_flag")})
 
 
 def coverage_summary(mart: DataFrame, columns: list[str]) -> DataFrame:
@@ -90,24 +91,34 @@ def coverage_summary(mart: DataFrame, columns: list[str]) -> DataFrame:
     return mart.agg(*(F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in columns)).unpivot([], columns, "metric", "coverage")
 
 
-#: Penalties of a result row's flags; fixed values.
-ROW_PENALTIES: Mapping[str, float] = {"missing_label": 0.45, "short_label": 0.15, "no_value": 0.35, "noisy_label": 0.2, "unit_missing": 0.05}
+#: Penalties of a result row's flags, and of a cell that cannot be read; fixed values.
+ROW_PENALTIES: Mapping[str, float] = {"missing_label": 0.45, "missing_primary_value": 0.35, "label_numeric_prefix": 0.15, "label_table_prefix": 0.15, "residual_ocr_fragment": 0.15}
+UNPARSED_PENALTY = 0.1
 
 
-def row_quality(rows: DataFrame, label: str, values: list[str], unit: str, penalties: Mapping[str, float] = ROW_PENALTIES, review_below: float = 0.6) -> DataFrame:
-    """Flags, score and status of each row: 1 less the penalties of its flags, at least 0; review below a limit."""
-    text = F.coalesce(F.trim(F.col(label)), F.lit(""))
+def row_quality(rows: DataFrame, label: str, normalized: str, values: list[str], cells: Mapping[str, tuple[str, str]], times: tuple[str, ...] = ()) -> DataFrame:
+    """Flags, score and status of each row: 1 less the penalties of its flags, at least 0; review if there is any flag.
+
+    ``values`` are the texts of which one must be there; ``cells`` names, for each kind of cell, its text and its number,
+    and those in ``times`` hold times.
+    """
+    from waveloom.functions import labels
+    from waveloom.functions.text import collapse
+
+    text = labels.clean_label(label)
+    blank = lambda c: collapse(F.coalesce(F.col(c), F.lit(""))) == ""
     tests = {
-        "missing_label": text == "",
-        "short_label": (text != "") & (F.length(text) < 4),
-        "no_value": F.coalesce(*values).isNull(),
-        "noisy_label": text.rlike(r"[^\w\s()/%.,#-]{2,}"),
-        "unit_missing": F.coalesce(F.trim(F.col(unit)), F.lit("")) == "",
+        "missing_label": blank(normalized),
+        "label_numeric_prefix": text.rlike(labels.NUMERIC_PREFIX),
+        "label_table_prefix": text.rlike(labels.TABLE_PREFIX),
+        "residual_ocr_fragment": text.rlike(labels.RESIDUE),
+        "missing_primary_value": reduce(lambda a, b: a & b, (blank(c) for c in values)),
+        **{f"unparsed_{kind}": labels.unparsed(*cell, time=kind in times) for kind, cell in cells.items()},
     }
-    flags = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items())))
-    lost = sum((F.when(test, penalties[name]).otherwise(0.0) for name, test in tests.items()), F.lit(0.0))
-    scored = rows.withColumns({"quality_flags": F.array_join(F.array_sort(flags), ","), "quality_score": F.greatest(F.lit(0.0), F.round(1.0 - lost, 3))})
-    return scored.withColumn("quality_status", F.when(F.col("quality_score") < review_below, "review").otherwise("ok"))
+    flags = F.array_sort(F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests.items()))))
+    lost = sum((F.when(test, ROW_PENALTIES.get(name, UNPARSED_PENALTY)).otherwise(0.0) for name, test in tests.items()), F.lit(0.0))
+    scored = rows.withColumns({"quality_flags": F.array_join(flags, ","), "quality_score": F.greatest(F.lit(0.0), F.round(1.0 - lost, 3))})
+    return scored.withColumn("quality_status", F.when(F.col("quality_flags") != "", "review").otherwise("ok"))
 
 
 def composites(df: DataFrame, scores: Mapping[str, list[str]], by: list[str] | None = None, alone: Mapping[str, str] | None = None) -> DataFrame:

@@ -102,14 +102,58 @@ def top_share(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(best.alias("_best"), F.sum("_n").alias("_all")).select(*keys, F.col("_best.v").alias(value), (-F.col("_best.n")).alias("n"), (-F.col("_best.n") / F.col("_all")).alias("share"))
 
 
-def extreme_pairs(df: DataFrame, family: str, side: str, value: str, ident: str) -> DataFrame:
-    """In each (family, side) with two rows or more, the lowest and highest row; a family without such a side pairs over all its rows."""
-    usable = df.filter(F.col(value).isNotNull())
-    low, high = F.min(F.struct(F.col(value).alias("v"), F.col(ident).alias("id"))), F.max(F.struct(F.col(value).alias("v"), (-F.col(ident)).alias("id")))
-    by_side = usable.groupBy(family, side).agg(F.count("*").alias("n"), low.alias("lo"), high.alias("hi")).filter("n >= 2")
-    whole = usable.groupBy(family).agg(F.count("*").alias("n"), low.alias("lo"), high.alias("hi")).filter("n >= 2").join(by_side.select(family).distinct(), family, "left_anti").withColumn(side, F.lit("[any]"))
-    both = by_side.unionByName(whole)
-    return both.select(family, side, F.col("lo.id").alias("low_id"), F.col("lo.v").alias("low_value"), (-F.col("hi.id")).alias("high_id"), F.col("hi.v").alias("high_value"), (F.col("hi.v") - F.col("lo.v")).alias("gap"))
+def extreme_pairs(df: DataFrame, family: str, side: str, value: str, ident: str, year: str, ratio: str, most: int = 12) -> DataFrame:
+    """The ``most`` pairs with the widest gap between the lowest and the highest row of a family and side, by (value, year, id).
+
+    A family no side of which has two rows pairs over all its rows, as ``mixed`` if their sides differ. Rows without
+    family, value or ratio take no part; a pair counts once.
+    """
+    usable = df.dropna(subset=[family, value, ratio]).withColumns({"_row": F.struct(F.col(value).alias("v"), F.col(year).alias("y"), F.col(ident).alias("id"), F.col(side).alias("side"), F.col(ratio).alias("r"))})
+    ends = [F.count("*").alias("n"), F.min("_row").alias("lo"), F.max("_row").alias("hi")]
+    by_side = usable.filter(F.col(side).isNotNull()).groupBy(family, side).agg(*ends).filter("n >= 2").drop(side)
+    whole = usable.groupBy(family).agg(*ends).filter("n >= 2").join(by_side.select(family).distinct(), family, "left_anti")
+    both = by_side.unionByName(whole).filter("lo.id != hi.id").dropDuplicates([family, "lo", "hi"])
+    named = F.when(F.col("lo.side").eqNullSafe(F.col("hi.side")), F.col("lo.side")).otherwise("mixed")
+    out = both.select(family, named.alias(side), F.col("lo.id").alias("low_id"), F.col("lo.v").alias("low_value"), F.col("hi.id").alias("high_id"), F.col("hi.v").alias("high_value"), (F.col("hi.v") - F.col("lo.v")).alias("gap"), (F.col("hi.r") - F.col("lo.r")).alias("ratio_gap"))
+    return out.orderBy(F.desc("gap"), F.desc("ratio_gap"), family, "low_id").limit(most)
+
+
+def complement(df: DataFrame, column: str, value: object, out: str = "is_rest") -> DataFrame:
+    """Whether a row is in the complement of those that equal ``value``; rows without a value are."""
+    return df.withColumn(out, not_equal(column, value))
+
+
+def merged_with_fallback(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join in which a column of both sides takes the right one's value where the left one's is missing. Missing keys equal one another."""
+    shared = [c for c in left.columns if c in right.columns and c not in on]
+    right = right.select(*(F.col(c).alias(f"_r_{c}") for c in right.columns))
+    joined = left.join(right, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on)), "left")
+    own = [F.coalesce(c, f"_r_{c}").alias(c) if c in shared else F.col(c) for c in left.columns]
+    return joined.select(*own, *(F.col(c).alias(c[3:]) for c in right.columns if c[3:] not in (*on, *shared)))
+
+
+def case_rank(c: str, order: list[str]) -> Column:
+    """The place of a value in a fixed order; others come last."""
+    out = F.lit(len(order))
+    for k, v in reversed(list(enumerate(order))):
+        out = F.when(F.col(c) == v, k).otherwise(out)
+    return out
+
+
+def asset_flags(files: DataFrame, key: str, path: str, prefixes: Mapping[str, str], extensions: Mapping[str, str]) -> DataFrame:
+    """For each case a flag for every prefix and extension (any case) that one of its files' paths has."""
+    tests = {n: F.lower(path).startswith(p.lower()) for n, p in prefixes.items()} | {n: F.lower(path).endswith(e.lower()) for n, e in extensions.items()}
+    return files.groupBy(key).agg(*(F.max(F.coalesce(t, F.lit(False)).cast("int")).alias(n) for n, t in tests.items()))
+
+
+def summary_rows(df: DataFrame, metrics: Mapping[str, Column]) -> DataFrame:
+    """(metric, value): one row for each aggregate, whatever its type, as text."""
+    return df.agg(*(m.cast("string").alias(n) for n, m in metrics.items())).unpivot([], list(metrics), "metric", "value")
+
+
+def capped(df: DataFrame, test: Column, order: list, most: int = 25) -> DataFrame:
+    """The first ``most`` rows that pass, in a total order."""
+    return df.filter(test).orderBy(*order).limit(most)
 
 
 def resolved(wanted: DataFrame, channels: DataFrame) -> tuple[DataFrame, DataFrame]:

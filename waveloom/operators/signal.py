@@ -261,12 +261,17 @@ def lag_features(peaks_of: DataFrame, case: str, channel: str, value: str, base:
 
 
 PHASES = ("build", "rebound", "settle")
+LANDMARKS = ("onset", "peak", "rebound", "settle")
 
 
 def phase_points(df: DataFrame, by: Sequence[str], points: int = 32, settle_share: float = 0.1, settle_run: int = 20) -> DataFrame:
-    """Landmarks of each series, and its build, rebound and settle phases scaled by the peak and resampled to ``points``.
+    """The times of each series' landmarks, and its build, rebound and settle phases, each scaled by its own greatest size
+    and resampled to ``points``.
 
-    A series is one group of bounded length (its samples); the walk over it is sequential, so it runs in pandas.
+    Onset: first of a tenth of the peak. Rebound: the first turning point inside the tail that is on the other side of zero
+    and of 15 % of the peak, else the greatest of the tail, which two samples make at least. Settle: where the first run of
+    ``settle_run`` quiet samples behind peak and rebound starts, else the last sample. A phase has two samples at least; one
+    that takes no time has no curve. A series is one group of bounded length, and the walk over it is sequential.
     """
     keys = list(by)
 
@@ -275,33 +280,61 @@ def phase_points(df: DataFrame, by: Sequence[str], points: int = 32, settle_shar
 
         frame = frame.sort_values("idx").dropna(subset=["t", "v"])
         x, y = frame["t"].to_numpy(), frame["v"].to_numpy()
-        if len(x) < 2 or not np.abs(y).max() > 0:
-            return pd.DataFrame(columns=[*keys, "onset", "peak", "rebound", "settle", *(f"{p}_curve" for p in PHASES)])
-        size = np.abs(y)
+        n, size = len(x), np.abs(y)
+        if not n:
+            return pd.DataFrame(columns=[*keys, *LANDMARKS, *(f"{p}_curve" for p in PHASES)])
         peak = int(size.argmax())
-        onset = int(np.flatnonzero(size >= 0.1 * size[peak])[0])
-        tail = np.arange(peak + 1, len(y))
-        opposite = tail[(np.sign(y[tail]) == -np.sign(y[peak])) & (size[tail] >= 0.15 * size[peak])]
-        turning = [k for k in opposite if k + 1 >= len(y) or size[k] > size[k + 1]]
-        rebound = int(turning[0]) if turning else int(tail[size[tail].argmax()]) if len(tail) else peak
-        quiet = size[rebound:] <= settle_share * size[peak]
-        edges = np.flatnonzero(np.diff(np.r_[0, quiet.astype(int), 0]))
-        runs = [s for s, e in zip(edges[::2], edges[1::2], strict=True) if e - s >= settle_run]
-        settle = rebound + int(runs[0]) if runs else len(y) - 1
+        onset, rebound = int((size >= 0.1 * size[peak]).argmax()), peak
+        if peak + 2 < n:
+            inner = np.arange(peak + 1, n - 1)
+            before, here, after = y[inner - 1], y[inner], y[inner + 1]
+            turns = ((here >= before) & (here > after)) | ((here <= before) & (here < after))
+            other_side = (here < 0) if y[peak] >= 0 else (here > 0)
+            found = inner[turns & other_side & (np.abs(here) >= 0.15 * size[peak])]
+            rebound = int(found[0]) if len(found) else peak + 1 + int(size[peak + 1 :].argmax())
+        start = max(peak + 1, rebound)
+        quiet = np.r_[0, (size[start:] <= max(settle_share * size[peak], 1e-9)).astype(int), 0]
+        first, last = np.flatnonzero(np.diff(quiet) == 1), np.flatnonzero(np.diff(quiet) == -1)
+        runs = first[last - first >= settle_run]
+        settle = start + int(runs[0]) if len(runs) else n - 1
 
         def resampled(lo: int, hi: int):
-            if hi <= lo:
+            part, values = x[lo : max(lo + 1, hi) + 1], y[lo : max(lo + 1, hi) + 1]
+            if len(part) < 2 or part[-1] - part[0] <= 1e-12:
                 return None
-            part = x[lo : hi + 1]
-            at = (part - part[0]) / (part[-1] - part[0]) if part[-1] > part[0] else np.linspace(0, 1, len(part))
-            return np.interp(np.linspace(0, 1, points), at, y[lo : hi + 1] / size[peak]).tolist()
+            top = np.abs(values).max()
+            return np.interp(np.linspace(0, 1, points), (part - part[0]) / (part[-1] - part[0]), values / top if top > 1e-9 else values).tolist()
 
-        row = {**{k: frame[k].iloc[0] for k in keys}, "onset": x[onset], "peak": x[peak], "rebound": x[rebound], "settle": x[settle]}
-        row |= dict(zip((f"{p}_curve" for p in PHASES), (resampled(onset, peak), resampled(peak, rebound), resampled(rebound, settle)), strict=True))
-        return pd.DataFrame([row])
+        row = {**{k: frame[k].iloc[0] for k in keys}, **dict(zip(LANDMARKS, x[[onset, peak, rebound, settle]].tolist(), strict=True))}
+        curves = resampled(onset, peak), resampled(peak, rebound), resampled(rebound, max(settle, rebound))
+        return pd.DataFrame([row | {f"{p}_curve": c for p, c in zip(PHASES, curves, strict=True)}])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    return df.groupBy(*keys).applyInPandas(walk, f"{schema}, onset double, peak double, rebound double, settle double, " + ", ".join(f"{p}_curve array<double>" for p in PHASES))
+    return df.groupBy(*keys).applyInPandas(walk, f"{schema}, " + ", ".join(f"{m} double" for m in LANDMARKS) + ", " + ", ".join(f"{p}_curve array<double>" for p in PHASES))
+
+
+#: Derived channels: their source and how they are made of it; fixed values.
+DERIVED = {
+    "vehicle_longitudinal_accel_g__jerk": ("vehicle_longitudinal_accel_g", "slope"), "vehicle_resultant_accel_g__jerk": ("vehicle_resultant_accel_g", "slope"),
+    "foot_left_x_accel_g__jerk": ("foot_left_x_accel_g", "slope"), "foot_right_x_accel_g__jerk": ("foot_right_x_accel_g", "slope"),
+    "seat_mid_deflection_mm__rate": ("seat_mid_deflection_mm", "slope"), "seat_inner_deflection_mm__rate": ("seat_inner_deflection_mm", "slope"),
+    "vehicle_longitudinal_accel_g__delta_v": ("vehicle_longitudinal_accel_g", "sum"), "vehicle_resultant_accel_g__delta_v": ("vehicle_resultant_accel_g", "sum"),
+}
+
+
+def derived_signals(df: DataFrame, case: str, channel: str, specs: dict[str, tuple[str, str]] = DERIVED) -> DataFrame:
+    """(case, channel, idx, t, v) of the derived channels: slopes over time, and running trapezoid sums, of the samples that are present."""
+    have, by = df.filter("v IS NOT NULL"), [case, channel]
+    made = {"slope": gradient(have, by, "_d"), "sum": cumulative_trapezoid(have, by, "_d")}
+    parts = []
+    for how, rows in made.items():
+        names = [F.when(F.col(channel) == source, F.lit(name)) for name, (source, kind) in specs.items() if kind == how]
+        if names:
+            parts.append(rows.select(case, F.explode(F.array_compact(F.array(*names))).alias(channel), "idx", "t", F.col("_d").alias("v")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def channel_features(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -318,4 +351,6 @@ def channel_features(df: DataFrame, by: Sequence[str]) -> DataFrame:
     rebound = tail.groupBy(*by).agg(F.max(F.struct(F.abs("v").alias("x"), (-F.col("idx")).alias("i"), "t")).alias("r")).select(*by, F.col("r.x").alias("rebound_abs"), F.col("r.t").alias("rebound_t"))
     late = integrals(df.join(peaks(df, by).select(*by, "peak_abs_t"), keys).filter("t >= peak_abs_t"), by).select(*by, F.col("energy").alias("late_energy"))
     out = out.join(rebound, keys, "left").join(late, keys, "left")
-    return out.withColumn("late_energy_ratio", F.try_divide("late_energy", "energy")).drop("late_energy")
+    marks = phase_points(df, by)
+    times = marks.select(*by, F.col("settle").alias("settle_time_abs"), (F.col("peak") - F.col("onset")).alias("onset_to_peak_s"), (F.col("rebound") - F.col("peak")).alias("peak_to_rebound_s"), (F.col("settle") - F.col("peak")).alias("peak_to_settle_s"))
+    return out.withColumn("late_energy_ratio", F.try_divide("late_energy", "energy")).drop("late_energy").join(times, keys, "left")

@@ -185,11 +185,13 @@ def top_share(spark, sf_dir):
     return rounded(relational.top_share(table(spark, sf_dir, "part"), ["p_brand"], "p_type"))
 
 
-@query("""WITH o AS (SELECT o_orderpriority AS family, o_orderstatus AS side, o_totalprice AS v, o_orderkey AS id FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')
- SELECT family, side, arg_min(id, (v, id)) AS low_id, min(v) AS low_value, arg_max(id, (v, -id)) AS high_id, max(v) AS high_value, round(max(v) - min(v), 4) AS gap FROM o GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query("""WITH o AS (SELECT o_custkey AS family, o_orderstatus AS side, floor(o_totalprice / 50000) AS v, year(o_orderdate) AS y, o_orderkey AS id, (o_orderkey % 97)::DOUBLE AS r FROM orders), n AS (SELECT *, count(*) OVER (PARTITION BY family, side) AS n FROM o),
+ u AS (SELECT *, side AS grp FROM n WHERE n >= 2 UNION ALL SELECT *, '' FROM n WHERE family NOT IN (SELECT family FROM n WHERE n >= 2)),
+ g AS (SELECT family, grp, arg_min({'id': id, 'v': v, 's': side, 'r': r}, (v, y, id)) AS lo, arg_max({'id': id, 'v': v, 's': side, 'r': r}, (v, y, id)) AS hi FROM u GROUP BY 1, 2 HAVING count(*) >= 2)
+ SELECT family, CASE WHEN lo.s = hi.s THEN lo.s ELSE 'mixed' END AS side, lo.id AS low_id, lo.v AS low_value, hi.id AS high_id, hi.v AS high_value, hi.v - lo.v AS gap, hi.r - lo.r AS ratio_gap FROM g ORDER BY gap DESC, ratio_gap DESC, family, low_id LIMIT 12""")
 def extremes_pairing(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz"))
-    return rounded(relational.extreme_pairs(o, "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderkey").withColumnsRenamed({"o_orderpriority": "family", "o_orderstatus": "side"}), 4)
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("family"), F.col("o_orderstatus").alias("side"), F.floor(F.col("o_totalprice") / 50000).cast("double").alias("value"), F.year("o_orderdate").alias("year"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 97).cast("double").alias("ratio"))
+    return relational.extreme_pairs(o, "family", "side", "value", "id", "year", "ratio")
 
 
 @query("""SELECT p_partkey, CASE WHEN regexp_matches(p_name, 'ring') THEN 'round' WHEN regexp_matches(p_name, 'bolt|screw') THEN 'fastener' ELSE 'other' END AS kind, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS k,
@@ -198,25 +200,31 @@ def classify_rules(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.classified("p_name", [("ring", "round"), ("bolt|screw", "fastener")], "other").alias("kind"), T.key("p_name").alias("k"), T.slug("p_brand").alias("slug"), T.signature("p_name", "p_brand", "p_size").alias("signature"), T.first_match("p_name", r"^(\S+)").alias("colour"))
 
 
-@query("""SELECT c_custkey, trim(regexp_replace(regexp_replace(concat(c_mktsegment, ' - Small Overlap'), '\\s*-\\s*small overlap.*$', '', 'i'), '\\s+', ' ', 'g'), ' ,') AS family, concat_ws('|', c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'driver' ELSE 'passenger' END, c_nationkey::VARCHAR) AS cohort, CASE WHEN c_custkey % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS factor FROM customer""")
+@query(r"""WITH c AS (SELECT *, CASE c_custkey % 5 WHEN 0 THEN '2013 ' || c_mktsegment || ' 4-door (LX) - Small Overlap retest' WHEN 1 THEN c_mktsegment || ' 1500/2500 into pole into wall' WHEN 2 THEN ' ' || c_mktsegment || ' small overlap R&D, ' WHEN 3 THEN '(x) - ' || c_mktsegment || ' - (y) z' ELSE c_mktsegment || ' Small Overlapped - 2' END AS title FROM customer)
+ SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(regexp_replace(trim(title), '^\d{4}\s+', ''), ' into ', 1), '\([^)]*\)', '', 'g'), '\bSmall Overlap\b', '', 'gi'), '\bR&D\b', '', 'gi'), '\s*-\s*', ' ', 'g'), '\s+', ' ', 'g'), ' ,') AS family,
+ concat(CASE WHEN c_nationkey % 7 > 0 THEN c_mktsegment ELSE 'unknown-era' END, '|', CASE WHEN c_custkey % 3 = 0 THEN 'unknown' WHEN c_custkey % 2 = 0 THEN 'driver' ELSE 'passenger' END, '|', CASE WHEN c_custkey % 4 > 1 THEN 'signal-ready' ELSE 'signal-missing' END) AS cohort, CASE WHEN c_custkey % 3 > 0 AND c_custkey % 2 = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM c""")
 def family_label(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumns({"side": F.when(F.col("c_custkey") % 2 == 0, "driver").otherwise("passenger"), "title": F.concat("c_mktsegment", F.lit(" - Small Overlap")), "state": F.col("c_nationkey").cast("string")})
-    return c.select("c_custkey", T.family("title").alias("family"), T.cohort("c_mktsegment", "side", "state").alias("cohort"), T.side_factor("side").alias("factor"))
+    k, seg = F.col("c_custkey"), F.col("c_mktsegment")
+    shapes = [("2013 ", " 4-door (LX) - Small Overlap retest"), ("", " 1500/2500 into pole into wall"), (" ", " small overlap R&D, "), ("(x) - ", " - (y) z"), ("", " Small Overlapped - 2")]
+    title = F.coalesce(*(F.when(k % 5 == i, F.concat(F.lit(a), seg, F.lit(b))) for i, (a, b) in enumerate(shapes)))
+    c = table(spark, sf_dir, "customer").withColumns({"title": title, "era": F.when(F.col("c_nationkey") % 7 > 0, seg), "side": F.when(k % 3 == 0, F.lit(None)).when(k % 2 == 0, "driver").otherwise("passenger"), "ready": F.when(k % 4 > 1, 1).when(k % 4 == 1, 0)})
+    return c.select("c_custkey", T.family("title").alias("family"), T.cohort("era", "side", "ready").alias("cohort"), T.side_factor("side").alias("factor"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '-?\d+(?:\.\d+)?')) AS numbers, round(coalesce(list_sum(list_transform(regexp_extract_all(text, '-?\d{1,9}(?:\.\d+)?\b'), lambda x: CAST(x AS DOUBLE) * 0)), 0), 3) AS zero, nullif(regexp_extract(text, '([A-Za-z0-9._]+@[A-Za-z0-9.]+)', 1), '') AS address, len(string_split(text, chr(10))) AS lines, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS chars FROM documents""")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '-?\d+(?:\.\d+)?')) AS numbers, nullif(regexp_extract(text, '([A-Za-z0-9._]+@[A-Za-z0-9.]+)', 1), '') AS address, len(string_split(text, chr(10))) AS lines, length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS chars FROM documents""")
 def number_scan(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.size(T.numbers_in("text")).cast("long").alias("numbers"), F.lit(0.0).alias("zero"), T.first_match("text", r"([A-Za-z0-9._]+@[A-Za-z0-9.]+)").alias("address"), F.size(F.split("text", "\n")).cast("long").alias("lines"), F.length(T.collapse("text")).cast("long").alias("chars"))
+    return d.select("doc_id", F.size(T.numbers_in("text")).cast("long").alias("numbers"), T.first_match("text", r"([A-Za-z0-9._]+@[A-Za-z0-9.]+)").alias("address"), F.size(F.split("text", "\n")).cast("long").alias("lines"), F.length(T.collapse("text")).cast("long").alias("chars"))
 
 
-@query(r"""WITH n AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '1,' || o_orderkey::VARCHAR WHEN 1 THEN o_orderkey::VARCHAR || '%' WHEN 2 THEN '3-5' WHEN 3 THEN '--' WHEN 4 THEN '±' || o_orderkey::VARCHAR ELSE 'VIII' END AS raw FROM orders)
- SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST('1' || o_orderkey::VARCHAR AS DOUBLE) WHEN 1 THEN o_orderkey::DOUBLE END AS plain, CASE o_orderkey % 6 WHEN 2 THEN 4.0 WHEN 4 THEN o_orderkey::DOUBLE END AS loose, CASE o_orderkey % 6 WHEN 1 THEN round(o_orderkey / 100.0, 6)::DOUBLE END AS share, CASE o_orderkey % 6 WHEN 5 THEN 8.0::DOUBLE END AS version FROM n""")
+@query(r"""WITH n AS (SELECT o_orderkey, o_orderkey::VARCHAR AS k, o_orderkey % 9 AS m FROM orders)
+ SELECT o_orderkey, CASE m WHEN 0 THEN ('1' || k)::DOUBLE WHEN 1 THEN k::DOUBLE WHEN 4 THEN k::DOUBLE WHEN 6 THEN (k || '.5')::DOUBLE WHEN 8 THEN 20.0 END AS plain, CASE m WHEN 0 THEN ('1' || k)::DOUBLE WHEN 1 THEN k::DOUBLE WHEN 4 THEN k::DOUBLE WHEN 6 THEN (k || '.5')::DOUBLE WHEN 8 THEN 21.0 END AS sheet,
+ CASE m WHEN 2 THEN 4.0 WHEN 4 THEN k::DOUBLE WHEN 7 THEN -1.0 WHEN 8 THEN 20.0 END AS loose, CASE m WHEN 0 THEN ('1' || k)::DOUBLE WHEN 1 THEN round(o_orderkey / 100.0, 6)::DOUBLE WHEN 4 THEN k::DOUBLE WHEN 6 THEN (k || '.5')::DOUBLE WHEN 8 THEN 20.0 END AS share, CASE m WHEN 5 THEN 8.0::DOUBLE WHEN 8 THEN 20.0 END AS version FROM n""")
 def number_parse(spark, sf_dir):
     k = F.col("o_orderkey")
-    raw = F.when(k % 6 == 0, F.concat(F.lit("1,"), k)).when(k % 6 == 1, F.concat(k, F.lit("%"))).when(k % 6 == 2, "3-5").when(k % 6 == 3, "--").when(k % 6 == 4, F.concat(F.lit("±"), k)).otherwise("VIII")
-    n = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
-    return n.select("o_orderkey", T.plain_number("raw").alias("plain"), T.loose_number("raw").alias("loose"), F.round(T.share("raw"), 6).alias("share"), T.version_number("raw").alias("version"))
+    shapes = [F.concat(F.lit("1,"), k), F.concat(k, F.lit("%")), F.lit("3-5"), F.lit("--"), F.concat(F.lit("±"), k), F.lit("VIII"), F.concat(k, F.lit(".5mm")), F.lit("3--5"), F.lit("2e1")]
+    n = table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(*(F.when(k % 9 == i, x) for i, x in enumerate(shapes))).alias("raw"))
+    return n.select("o_orderkey", T.plain_number("raw").alias("plain"), T.plain_number("raw", exponent=False).alias("sheet"), T.loose_number("raw").alias("loose"), F.round(T.share("raw"), 6).alias("share"), T.version_number("raw").alias("version"))
 
 
 @query(f"""WITH {ROWS}, q AS (SELECT table_type, quantile_cont(left_number, 0.25) AS q1, quantile_cont(left_number, 0.75) AS q3 FROM r GROUP BY 1)
@@ -279,7 +287,9 @@ def ols_multi(spark, sf_dir):
 
 @query()
 def bootstrap_r2(spark, sf_dir):
-    return stats.bootstrap_r2(result_rows(spark, sf_dir), ["left_number"], "result_number", ["table_type"], rounds=40)
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    rows = line.join(part, line.l_partkey == part.p_partkey).select(F.col("p_type").alias("table_type"), F.col("l_quantity").alias("left_number"), F.col("l_extendedprice").alias("result_number"), "l_orderkey", "l_linenumber")
+    return stats.bootstrap_r2(rows, ["left_number"], "result_number", ["table_type"], ["l_orderkey", "l_linenumber"])
 
 
 @query(f"""WITH {ROWS}, q AS (SELECT table_type, quantile_cont(time_number, 0.25) AS q1, quantile_cont(time_number, 0.75) AS q3 FROM r GROUP BY 1)
@@ -301,11 +311,16 @@ def scenario_winner(spark, sf_dir):
     return rounded(marts.winners(scores, "table_type", "normalized_label", "v").withColumnRenamed("table_type", "scenario"), 4)
 
 
-@query("""SELECT p_partkey, list_aggregate(list_sort(list_filter([CASE WHEN length(p_name) < 9 THEN 'short_label' END, CASE WHEN p_size > 40 THEN 'no_value' END, CASE WHEN p_brand = 'Brand#1' THEN 'unit_missing' END], lambda x: x IS NOT NULL)), 'string_agg', ',') AS quality_flags,
- greatest(0, round(1.0 - CASE WHEN length(p_name) < 9 THEN 0.15 ELSE 0 END - CASE WHEN p_size > 40 THEN 0.35 ELSE 0 END - CASE WHEN p_brand = 'Brand#1' THEN 0.05 ELSE 0 END, 3))::DOUBLE AS quality_score FROM part""")
+@query(r"""WITH p AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '12 ' || p_name WHEN 1 THEN 'Table 3 ' || p_name WHEN 2 THEN p_name || ' do or' WHEN 3 THEN '2013' ELSE p_name END AS label, CASE WHEN p_partkey % 5 > 0 THEN p_name END AS norm, CASE p_partkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN 'abc' ELSE 'n/a' END AS res, CASE p_partkey % 7 WHEN 0 THEN '12-x' WHEN 1 THEN '15' WHEN 2 THEN '-3' END AS tim FROM part),
+ f AS (SELECT p_partkey, list_sort(list_filter([CASE WHEN norm IS NULL THEN 'missing_label' END, CASE WHEN p_partkey % 6 = 0 THEN 'label_numeric_prefix' END, CASE WHEN p_partkey % 6 = 1 THEN 'label_table_prefix' END, CASE WHEN trim(res) = '' AND tim IS NULL THEN 'missing_primary_value' END, CASE WHEN res = 'abc' THEN 'unparsed_result' END, CASE WHEN tim IN ('12-x', '-3') THEN 'unparsed_time' END], lambda x: x IS NOT NULL)) AS flags FROM p)
+ SELECT p_partkey, coalesce(list_aggregate(flags, 'string_agg', ','), '') AS quality_flags, greatest(0, round(1.0 - list_sum(list_transform(list_concat(['none'], flags), lambda x: CASE x WHEN 'none' THEN 0 WHEN 'missing_label' THEN 0.45 WHEN 'missing_primary_value' THEN 0.35 WHEN 'unparsed_result' THEN 0.1 WHEN 'unparsed_time' THEN 0.1 ELSE 0.15 END)), 3))::DOUBLE AS quality_score, CASE WHEN len(flags) > 0 THEN 'review' ELSE 'ok' END AS quality_status FROM f""")
 def row_quality(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.length("p_name") < 9, "abc").otherwise(F.col("p_name")).alias("label"), F.when(F.col("p_size") <= 40, F.col("p_size")).alias("value"), F.when(F.col("p_brand") != "Brand#1", F.col("p_brand")).alias("unit"))
-    return marts.row_quality(p, "label", ["value"], "unit").select("p_partkey", F.nullif("quality_flags", F.lit("")).alias("quality_flags"), "quality_score")
+    k, name = F.col("p_partkey"), F.col("p_name")
+    label = F.when(k % 6 == 0, F.concat(F.lit("12 "), name)).when(k % 6 == 1, F.concat(F.lit("Table 3 "), name)).when(k % 6 == 2, F.concat(name, F.lit(" do or"))).when(k % 6 == 3, "2013").otherwise(name)
+    found = F.when(k % 4 == 0, " ").when(k % 4 == 1, F.col("p_size").cast("string")).when(k % 4 == 2, "abc").otherwise("n/a")
+    rows = table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), F.when(k % 5 > 0, name).alias("normalized"), found.alias("result_text"), F.when(k % 4 == 1, F.col("p_size").cast("double")).alias("result_number"), F.when(k % 7 == 0, "12-x").when(k % 7 == 1, "15").when(k % 7 == 2, "-3").alias("time_text"), F.lit(None).cast("double").alias("time_number"))
+    out = marts.row_quality(rows, "label", "normalized", ["result_text", "time_text"], {"result": ("result_text", "result_number"), "time": ("time_text", "time_number")}, ("time",))
+    return out.select("p_partkey", "quality_flags", "quality_score", "quality_status")
 
 
 @query("""WITH s AS (SELECT s_suppkey, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'N') AS a, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity > 49.5 AND l_discount > 0.09) AS b, s_acctbal > 5000 AS c FROM supplier)
@@ -515,8 +530,9 @@ def silhouette_exact(spark, sf_dir):
     return rounded(similarity.silhouette(pairs, v.select(F.col("id").alias("case"), "label")))
 
 
-@query(f"""WITH {VECTORS}, p AS (SELECT a.id AS a, b.id AS b, a.label AS l, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.id <> b.id AND a.label = b.label), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM p), n AS (SELECT a, any_value(l) AS l, avg(d) AS knn FROM k WHERE rn <= 5 GROUP BY 1), z AS (SELECT k.a, avg(n.knn) AS kb FROM k JOIN n ON k.b = n.a WHERE rn <= 5 GROUP BY 1)
- SELECT a, l AS label, round(knn, 6) AS knn, round(knn / kb, 6) AS density_ratio, round(1 / (1 + knn), 6) AS stability FROM n JOIN z USING (a)""")
+@query(f"""WITH {VECTORS}, c AS (SELECT label, count(*) AS m FROM v GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, a.label AS l, m, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.id <> b.id AND a.label = b.label JOIN c ON c.label = a.label WHERE m > 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM p) WHERE rn <= least(greatest(5, ceil(m * 0.12)), m - 1)),
+ n AS (SELECT a, any_value(l) AS l, avg(d) AS knn FROM k GROUP BY 1), z AS (SELECT k.a, avg(1 / greatest(n.knn, 1e-6)) AS db FROM k JOIN n ON k.b = n.a GROUP BY 1)
+ SELECT a, l AS label, round(knn, 6) AS knn, round(db / greatest(1 / greatest(knn, 1e-6), 1e-6), 6) AS density_ratio, round(1 / (1 + knn), 6) AS stability FROM n JOIN z USING (a) UNION ALL SELECT id, label, NULL, 1.0, 1.0 FROM v JOIN c USING (label) WHERE m <= 2""")
 def density_outliers(spark, sf_dir):
     v = vectors(spark, sf_dir)
     pairs = similarity.vector_scores(v, "id", "e", ordered=True)

@@ -42,13 +42,13 @@ def rule_overlay(spark, sf_dir):
 
 @query("""WITH o AS (SELECT o_custkey, max((o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT')::INT) AS a, max((o_orderstatus = 'O' AND o_orderpriority <> '1-URGENT')::INT) AS b, max(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS id FROM orders GROUP BY 1),
  d AS (SELECT o_custkey, max((o_orderpriority = '2-HIGH')::INT) AS p, max((o_orderpriority = '3-MEDIUM')::INT) AS x FROM orders GROUP BY 1)
- SELECT c_custkey AS filegroup_id, coalesce(a, 0) AS standard_baseline_flag, coalesce(b, 0) AS strict_origin_flag, id AS preprocessing_case_id, coalesce(p, 0) AS pdf_flag, coalesce(x, 0) AS excel_flag, concat_ws('|', c_mktsegment, 'driver', c_nationkey::VARCHAR) AS cohort FROM customer LEFT JOIN o ON c_custkey = o.o_custkey LEFT JOIN d ON c_custkey = d.o_custkey""")
+ SELECT c_custkey AS filegroup_id, coalesce(a, 0) AS standard_baseline_flag, coalesce(b, 0) AS strict_origin_flag, id AS preprocessing_case_id, coalesce(p, 0) AS pdf_flag, coalesce(x, 0) AS excel_flag, c_name AS family, concat(c_mktsegment, '|driver|', CASE WHEN coalesce(a, 0) = 1 THEN 'signal-ready' ELSE 'signal-missing' END) AS cohort FROM customer LEFT JOIN o ON c_custkey = o.o_custkey LEFT JOIN d ON c_custkey = d.o_custkey""")
 def case_master(spark, sf_dir):
-    cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("filegroup_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("era"), F.lit("driver").alias("test_side"), F.col("c_nationkey").cast("string").alias("state"))
+    cases = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("filegroup_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("era"), F.lit("driver").alias("test_side"))
     o = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "filegroup_id")
     signals = o.select("filegroup_id", F.when(F.col("o_orderstatus") == "F", "standard_baseline").when(F.col("o_orderstatus") == "O", "strict_origin").alias("mode"), F.when(F.col("o_orderpriority") == "1-URGENT", "error").otherwise("done").alias("status"), F.col("o_orderkey").alias("preprocessing_case_id"))
     papers = o.select("filegroup_id", F.when(F.col("o_orderpriority") == "2-HIGH", "pdf").when(F.col("o_orderpriority") == "3-MEDIUM", "excel").otherwise("other").alias("kind"))
-    return marts.case_master(cases, signals, papers).select("filegroup_id", "standard_baseline_flag", "strict_origin_flag", "preprocessing_case_id", "pdf_flag", "excel_flag", "cohort")
+    return marts.case_master(cases, signals, papers).select("filegroup_id", "standard_baseline_flag", "strict_origin_flag", "preprocessing_case_id", "pdf_flag", "excel_flag", "family", "cohort")
 
 
 @query(f"""WITH {SERIES}, d AS (SELECT case_id, channel, t - lag(t) OVER w AS dt, t, v FROM e WINDOW w AS (PARTITION BY case_id, channel ORDER BY idx)) SELECT case_id, channel, count(*) AS samples, count(v) AS present, round(min(t), 6) AS start_t, round(max(t), 6) AS end_t, round(median(dt), 6) AS step, round(coalesce(stddev_samp(v), 0), 6) AS std FROM d GROUP BY 1, 2""")
@@ -76,11 +76,11 @@ def json_fields(spark, sf_dir):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k_sum"), F.max("p.k").alias("k_max"))
 
 
-@query("""WITH s AS (SELECT c_mktsegment AS label, c_custkey AS id, c_acctbal AS v, median(c_acctbal) OVER (PARTITION BY c_mktsegment) AS m FROM customer), d AS (SELECT label, median(abs(v - m)) * 1.4826 AS s FROM s GROUP BY 1)
- SELECT id, round((v - m) / d.s, 6) AS robust_distance, ((v - m) / d.s >= 1.2)::INT AS is_outlier FROM s JOIN d USING (label)""")
+@query("""WITH s AS (SELECT c_mktsegment AS label, c_custkey AS id, c_acctbal AS v, 1 + (c_custkey % 10) / 10.0 AS ratio, median(c_acctbal) OVER (PARTITION BY c_mktsegment) AS m FROM customer), d AS (SELECT label, median(abs(v - m)) * 1.4826 AS s FROM s GROUP BY 1)
+ SELECT id, round((v - m) / d.s, 6) AS robust_distance, ((v - m) / d.s >= 1.2 OR ratio >= 1.65)::INT AS is_outlier, round(greatest((v - m) / d.s, (ratio - 1) * 5), 6) AS outlier_score FROM s JOIN d USING (label)""")
 def outlier_flags(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), F.lit(None).cast("double").alias("ratio"))
-    return rounded(similarity.outliers(c, "v", "ratio", "label", far=1.2).select("id", "robust_distance", "is_outlier"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), (1 + (F.col("c_custkey") % 10) / 10).alias("ratio"))
+    return rounded(similarity.outliers(c, "v", "ratio", "label", far=1.2).select("id", "robust_distance", "is_outlier", "outlier_score"))
 
 
 @query(f"""WITH {VECTORS}, c AS (SELECT label, avg(e[1]) AS a, avg(e[2]) AS b FROM v GROUP BY 1) SELECT id, round(sqrt((e[1] - a) * (e[1] - a) + (e[2] - b) * (e[2] - b)), 6) AS centroid_distance FROM v JOIN c USING (label)""")
