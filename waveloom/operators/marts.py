@@ -165,3 +165,65 @@ def sensitivity(frame: DataFrame, components: dict[str, list[str]], driver: str,
         one = scored.agg(*(stats.pearson(f"{d}_s", driver).alias(d) for d in components)).unpivot([], list(components), "domain", "r").withColumn("scenario", F.lit(skip or "all"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+#: Components of domain scores: the columns of which the greatest counts, and the sign of its robust z-score; fixed values.
+COMPONENTS = {
+    "leg_index_max": (("leg_foot_index_left", "leg_foot_index_right"), 1), "foot_accel_max": (("foot_resultant_accel_left_g", "foot_resultant_accel_right_g"), 1), "thigh_proxy": (("thigh_hip_risk_proxy",), 1),
+    "intrusion_max": (("intrusion_max_resultant_cm",), 1), "intrusion_footrest": (("intrusion_footrest_resultant_cm",), 1), "intrusion_toepan": (("intrusion_left_toepan_resultant_cm",), 1), "intrusion_brake": (("intrusion_brake_pedal_resultant_cm",), 1),
+    "dummy_clearance_inverse": (("dummy_clearance_min_mm",), -1), "pretensioner_time": (("pretensioner_time_ms",), 1), "airbag_contact_time": (("airbag_first_contact_time_ms",), 1), "airbag_inflation_time": (("airbag_full_inflation_time_ms",), 1),
+    "head_hic15": (("head_hic15",), 1), "neck_nij": (("neck_tension_extension_nij",), 1), "chest_rib_compression": (("chest_rib_compression_mm",), 1), "chest_vc": (("chest_viscous_criteria_ms",), 1),
+}
+#: What each scenario puts in the place of a domain's score; fixed values.
+SCENARIOS = {
+    "baseline": {},
+    "structure_intrusion_only": {"structure_intrusion": ("intrusion_max", "intrusion_footrest", "intrusion_toepan", "intrusion_brake")},
+    "structure_no_clearance": {"structure_intrusion": ("intrusion_max", "intrusion_footrest", "intrusion_brake", "dummy_clearance_inverse")},
+    "lower_leg_foot_only": {"lower_extremity": ("leg_index_max", "foot_accel_max")},
+    "lower_foot_only": {"lower_extremity": ("foot_accel_max",)},
+    "restraint_contact_only": {"restraint_kinematics": ("pretensioner_time", "airbag_contact_time")},
+    "head_neck_core": {"head_neck_chest": ("head_hic15", "neck_nij", "chest_rib_compression")},
+}
+#: Variants of the lower-extremity score; the first is the score itself; fixed values.
+LOWER_VARIANTS = {
+    "current": (), "leg_foot_only": ("leg_index_max", "foot_accel_max"), "leg_thigh_only": ("leg_index_max", "thigh_proxy"), "foot_thigh_only": ("foot_accel_max", "thigh_proxy"),
+    "leg_only": ("leg_index_max",), "foot_only": ("foot_accel_max",), "thigh_only": ("thigh_proxy",),
+}
+
+
+def component_scores(frame: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``frame`` with a column z_<name> for each component, over all rows or within ``by``."""
+    largest = {f"_m_{n}": F.greatest(*cols) if len(cols) > 1 else F.col(cols[0]) for n, (cols, _) in COMPONENTS.items()}
+    z = stats.robust_z(frame.withColumns(largest), {f"z_{n}": f"_m_{n}" for n in COMPONENTS}, by)
+    return z.withColumns({f"z_{n}": -F.col(f"z_{n}") for n, (_, sign) in COMPONENTS.items() if sign < 0}).drop(*largest)
+
+
+def _fits(frame: DataFrame, predictors: list[str], targets: Mapping[tuple[str, str], Column], first: str, second: str) -> DataFrame:
+    """One regression for each target, all from one aggregate, with the best by adjusted R2 of each ``first`` and its lead."""
+    every = F.array(*(F.struct(F.lit(a).alias(first), F.lit(b).alias(second), t.cast("double").alias("_target")) for (a, b), t in targets.items()))
+    tall = frame.select(*predictors, F.explode(every).alias("_x")).select(*predictors, "_x.*")
+    return _with_winner(stats.least_squares(tall, predictors, "_target", [first, second]), first, second)
+
+
+def _with_winner(fits: DataFrame, first: str, second: str) -> DataFrame:
+    best = winners(fits, first, second, "adj_r2").withColumnsRenamed({"best": "winner_adj_r2", "margin": "winner_margin"})
+    return fits.join(best, first, "left")
+
+
+def domain_scenarios(frame: DataFrame, predictors: list[str]) -> DataFrame:
+    """(scenario, domain, n, r2, adj_r2, b.., winner, winner_adj_r2, winner_margin): each domain's score regressed on the
+    predictors in each of seven scenarios that form it in another way. ``frame`` has outcomes and <domain>_score columns."""
+    scored = component_scores(frame)
+    targets = {(s, d): stats.row_mean(*(f"z_{c}" for c in parts[d])) if d in parts else F.col(f"{d}_score") for s, parts in SCENARIOS.items() for d in DOMAINS}
+    return _fits(scored, predictors, targets, "scenario", "domain")
+
+
+def lower_extremity_variants(frame: DataFrame, predictors: list[str]) -> DataFrame:
+    """(scope, variant, n, r2, ..): seven forms of the lower-extremity score over all cases, the passenger side and one era;
+    a scope's z-scores are formed within it."""
+    scopes = {"overall": F.lit(True), "test_side=passenger": F.col("test_side") == "passenger", "era=2015-2017": F.col("era") == "2015-2017"}
+    scoped = frame.withColumn("scope", F.explode(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in scopes.items())))))
+    scored = component_scores(scoped, ["scope"])
+    every = F.array(*(F.struct(F.lit(v).alias("variant"), (stats.row_mean(*(f"z_{c}" for c in parts)) if parts else F.col("lower_extremity_score")).cast("double").alias("_target")) for v, parts in LOWER_VARIANTS.items()))
+    tall = scored.select("scope", *predictors, F.explode(every).alias("_x")).select("scope", *predictors, "_x.*")
+    return _with_winner(stats.least_squares(tall, predictors, "_target", ["scope", "variant"]), "scope", "variant")

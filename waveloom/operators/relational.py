@@ -36,13 +36,21 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str], n:
     return out if rank else out.drop(place)
 
 
-def pending(jobs: DataFrame, status: str = "status", states: tuple[str, ...] = ("pending", "error"), order: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """Jobs still to do, in order."""
-    out = jobs.filter(F.col(status).isin(*states))
+def pending(jobs: DataFrame, status: str = "status", states: tuple[str, ...] = ("pending", "error"), order: list | None = None, limit: int | None = None, include_done: bool = False, key: str | None = None, ids: list | None = None) -> DataFrame:
+    """Jobs still to do, in order; ``include_done`` takes all, ``ids`` those alone whatever their state."""
+    if ids:
+        out = jobs.filter(F.col(key).isin(ids))
+    else:
+        out = jobs if include_done else jobs.filter(F.col(status).isin(*states))
     out = out.orderBy(*order) if order else out
     return out.limit(limit) if limit else out
 
 
+def case_set(cases: DataFrame, key: str, ids: list | None, others: DataFrame) -> DataFrame:
+    """The cases of the given ids, or, where there are none, those that ``others`` names."""
+    return cases.filter(F.col(key).isin(ids)) if ids else cases.join(others.select(key).distinct(), key, "left_semi")
+
+
 def pending_sets(wanted: DataFrame, done: DataFrame, key: str, mode: str, modes: Iterable[str]) -> DataFrame:
     """Keys whose set of done modes is not the wanted set; keys with nothing done are pending."""
     goal = F.array_sort(F.array(*map(F.lit, sorted(set(modes)))))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from waveloom.functions import stats
 from waveloom.functions import text as T
-from waveloom.operators import documents, marts, relational, signal, similarity
+from waveloom.operators import clusters, documents, marts, relational, signal, similarity
 from waveloom.plans import audit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -502,8 +502,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {VECTORS}, p AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.e, b.e) / (CASE WHEN a.n > 0 THEN a.n ELSE 1 END * CASE WHEN b.n > 0 THEN b.n ELSE 1 END) AS c, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.id < b.id)
  SELECT a, count(*) AS pairs, round(max(c), 6) AS best_cosine, round(avg(c), 6) AS mean_cosine, round(min(d), 6) AS least_distance, round(avg(d), 6) AS mean_distance FROM p GROUP BY 1""")
 def cosine_pairs(spark, sf_dir):
-    pairs = similarity.vector_scores(vectors(spark, sf_dir), "id", "e")
-    return rounded(pairs.groupBy("a").agg(F.count("*").alias("pairs"), F.max("cosine").alias("best_cosine"), F.avg("cosine").alias("mean_cosine"), F.min("distance").alias("least_distance"), F.avg("distance").alias("mean_distance")))
+    return rounded(clusters.pair_summary(vectors(spark, sf_dir), "id", "e"))
 
 
 @query(f"""WITH {VECTORS}, p AS (SELECT a.id AS a, b.id AS b, list_inner_product(a.e, b.e) / (a.n * b.n) AS c, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.id <> b.id),
@@ -525,18 +524,15 @@ def centroids(spark, sf_dir):
 @query(f"""WITH {VECTORS}, m AS (SELECT a.id AS a, a.label AS la, b.label AS lb, avg(list_distance(a.e, b.e)) AS m FROM v a JOIN v b ON a.id <> b.id GROUP BY 1, 2, 3), s AS (SELECT a, la, max(m) FILTER (la = lb) AS own, min(m) FILTER (la <> lb) AS other FROM m GROUP BY 1, 2)
  SELECT a, la AS label, round(coalesce((other - own) / greatest(own, other), 0), 6) AS silhouette FROM s""")
 def silhouette_exact(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    pairs = similarity.vector_scores(v, "id", "e", ordered=True)
-    return rounded(similarity.silhouette(pairs, v.select(F.col("id").alias("case"), "label")))
+    out = clusters.silhouette(vectors(spark, sf_dir), "id", "e", "label")
+    return rounded(out.withColumn("label", F.col("label").cast("int")))
 
 
 @query(f"""WITH {VECTORS}, c AS (SELECT label, count(*) AS m FROM v GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, a.label AS l, m, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.id <> b.id AND a.label = b.label JOIN c ON c.label = a.label WHERE m > 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM p) WHERE rn <= least(greatest(5, ceil(m * 0.12)), m - 1)),
  n AS (SELECT a, any_value(l) AS l, avg(d) AS knn FROM k GROUP BY 1), z AS (SELECT k.a, avg(1 / greatest(n.knn, 1e-6)) AS db FROM k JOIN n ON k.b = n.a GROUP BY 1)
  SELECT a, l AS label, round(knn, 6) AS knn, round(db / greatest(1 / greatest(knn, 1e-6), 1e-6), 6) AS density_ratio, round(1 / (1 + knn), 6) AS stability FROM n JOIN z USING (a) UNION ALL SELECT id, label, NULL, 1.0, 1.0 FROM v JOIN c USING (label) WHERE m <= 2""")
 def density_outliers(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    pairs = similarity.vector_scores(v, "id", "e", ordered=True)
-    return rounded(similarity.local_density(pairs, v.select(F.col("id").alias("case"), "label")))
+    return rounded(clusters.local_density(vectors(spark, sf_dir), "id", "e", "label"))
 
 
 @query(f"""WITH {VECTORS}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n, id) AS a, row_number() OVER (PARTITION BY label ORDER BY n DESC, id) AS b, row_number() OVER (ORDER BY n DESC, id) AS g FROM v)
@@ -544,24 +540,3 @@ def density_outliers(spark, sf_dir):
 def representatives(spark, sf_dir):
     v = vectors(spark, sf_dir).withColumn("n", F.sqrt(similarity.dot("e", "e")))
     return similarity.representatives(v, "label", "id", {"least": [F.col("n")], "most": [F.desc("n")]}, overall=("most", 10))
-
-
-@query()
-def dtw_neighbors(spark, sf_dir):
-    thin = signal.thinned(series(spark, sf_dir).filter("channel = 'click'"), BY, 3)
-    z = thin.groupBy(F.col("case_id").alias("case")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "z"))), lambda x: x["z"]).alias("z"))
-    pairs = similarity.block_pairs(z.select("case"), "case", [])
-    return similarity.dtw(pairs, z)
-
-
-@query()
-def kmedoids(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    pairs = similarity.vector_scores(v, "id", "e", ordered=True).select("a", "b", "distance").persist()
-    return similarity.kmedoids(pairs, v.select(F.col("id").alias("case")), 4, rounds=10)
-
-
-@query()
-def kmeans_sweep(spark, sf_dir):
-    per = rounded(signal.peaks(series(spark, sf_dir), BY)).groupBy("case_id").pivot("channel", ["click", "view", "purchase"]).agg(F.first("peak_abs"))
-    return similarity.kmeans(per, ["click", "view", "purchase"], 3, tries=2).select("case_id", "cluster")

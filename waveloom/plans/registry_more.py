@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waveloom.functions import stats
 from waveloom.operators import marts, relational, signal, similarity
 from waveloom.plans import audit
 from waveloom.plans.registry import BY, ROWS, SERIES, VECTORS, query, result_rows, rounded, series, table, vectors
@@ -141,27 +140,3 @@ def minor_cluster(spark, sf_dir):
 @query()
 def pca_reduced(spark, sf_dir):
     return similarity.reduced(vectors(spark, sf_dir), "id", "e", 64)
-
-
-@query()
-def window_sweep(spark, sf_dir):
-    """Silhouette, eta squared against an outcome and their composite for each window and number of clusters."""
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import VectorAssembler
-
-    from waveloom.plans.registry import wide_series
-
-    w = signal.window_metrics(wide_series(spark, sf_dir), ["case_id"], "side", "v0", (60, 100, 150)).persist()
-    outcome = result_rows(spark, sf_dir).groupBy("case_id").agg(F.avg("result_number").alias("outcome"))
-    rows = []
-    for ms in (60, 100, 150):
-        names = [f"window_{ms:03d}_{n}" for n in ("max_abs_ax_g", "max_abs_ay_g", "max_abs_az_g")]
-        for k in (2, 3):
-            found = similarity.kmeans(w.select("case_id", *names), names, k, tries=1)
-            ready = VectorAssembler(inputCols=names, outputCol="f", handleInvalid="skip").transform(found)
-            score = ClusteringEvaluator(featuresCol="f", predictionCol="cluster").evaluate(ready)
-            eta = stats.eta_squared(found.join(outcome, "case_id").withColumn("g", F.lit(1)), "cluster", "outcome", ["g"]).first()
-            sizes = [r["count"] for r in found.groupBy("cluster").count().collect()]
-            rows.append((ms, k, float(score), float(eta["eta_squared"] or 0) if eta else 0.0, max(sizes) / min(sizes)))
-    out = spark.createDataFrame(rows, "window_ms int, k int, silhouette double, eta_squared double, size_ratio double")
-    return out.withColumn("composite", similarity.run_score(F.col("silhouette"), F.col("size_ratio"), 0.03, F.col("eta_squared"), 0.20))
