@@ -111,7 +111,7 @@ def share(c: str | Column) -> Column:
 def banded(c: str | Column, edges: list[float], labels: list[str]) -> Column:
     """The label of the interval, open to the left and closed to the right, that a value lies in; NULL beyond the ends."""
     out, value = F.lit(None).cast("string"), _col(c)
-    for low, high, label in reversed(list(zip(edges, edges[1:], labels, strict=True))):
+    for low, high, label in reversed(list(zip(edges[:-1], edges[1:], labels, strict=True))):
         out = F.when((value > low) & (value <= high), label).otherwise(out)
     return out
 

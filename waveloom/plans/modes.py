@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waveloom.functions import stats
 from waveloom.operators import clusters
 from waveloom.operators.signal import WINDOWS_MS
+from waveloom.session import kept
 
 #: The features of a window that are clustered; fixed values.
 SUFFIXES = (
@@ -24,6 +25,7 @@ def ready(features: DataFrame, windows=WINDOWS_MS, coverage: float = 0.65) -> Da
     the median for those that are missing, then scaled to mean 0 and deviation 1; else NULL."""
     cols = {ms: [f"window_{ms:03d}_{s}" for s in SUFFIXES] for ms in windows}
     enough = {ms: (F.col("cluster_input_flag") == 1) & (sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0)) / len(names) >= coverage) for ms, names in cols.items()}
+    features = kept(features, "window-features")
     mid = features.agg(*(F.coalesce(F.median(F.when(enough[ms], F.col(c))), F.lit(0.0)).alias(c) for ms, names in cols.items() for c in names)).first()
     filled = features.withColumns({f"_f_{c}": F.when(enough[ms], F.coalesce(F.col(c), F.lit(mid[c]))) for ms, names in cols.items() for c in names})
     moments = filled.agg(*(f(f"_f_{c}").alias(f"{k}{c}") for names in cols.values() for c in names for k, f in (("a", F.avg), ("s", F.stddev_pop)))).first()
@@ -33,13 +35,15 @@ def ready(features: DataFrame, windows=WINDOWS_MS, coverage: float = 0.65) -> Da
 
 def runs(frame: DataFrame, case: str, windows, ks=KS, tries: int = 20, seed: int = 42) -> tuple[DataFrame, list[dict]]:
     """``frame`` with a column c<window>_<k> a run, and a row for each: cases, silhouette, cost, sizes and their ratio."""
+    frame = kept(frame, "scaled-windows")  # every round reads it
     found = clusters.kmeans_runs(frame, [f"z{ms}" for ms in windows], ks, tries, seed)
-    out = frame.withColumns({f"c{view[1:]}_{k}": F.when(F.col(view).isNotNull(), clusters.nearest_centre(view, c)) for (view, k), (c, _) in found.items()})
-    rows = []
+    out = kept(clusters.with_nearest_centres(frame, {f"c{view[1:]}_{k}": (view, c) for (view, k), (c, _) in found.items()}), "window-clusters")
+    rows, n_blocks = [], clusters.block_count(frame)
     for (view, k), (_, cost) in sorted(found.items(), key=lambda x: (int(x[0][0][1:]), x[0][1])):
         label = f"c{view[1:]}_{k}"
-        sizes = [r["n"] for r in out.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()]  # k rows
-        score = clusters.silhouette(out, case, view, label).agg(F.avg("silhouette")).first()[0] if len(sizes) > 1 else None
+        per = clusters.silhouette(out, case, view, label, n_blocks).groupBy("label").agg(F.count("*").alias("n"), F.sum("silhouette").alias("s")).collect()  # k rows
+        sizes = [r["n"] for r in per]
+        score = sum(r["s"] for r in per) / sum(sizes) if len(sizes) > 1 else None
         rows.append({"window_ms": int(view[1:]), "k": k, "sample_count": sum(sizes), "silhouette": score, "inertia": cost, "smallest": min(sizes), "largest": max(sizes), "size_ratio": max(sizes) / min(sizes)})
     return out, rows
 

@@ -10,6 +10,7 @@ from waveloom.functions import text as T
 from waveloom.operators import channels, clusters, marts, relational, signal
 from waveloom.plans import modes, paths
 from waveloom.plans.registry import BY, ROWS, SERIES, VECTORS, W, query, result_rows, rounded, series, table, vectors, wide_series
+from waveloom.session import kept
 
 
 @query(f"""WITH {SERIES}, s AS (SELECT *, t - lag(t) OVER w AS a, lead(t) OVER w - t AS b, v - lag(v) OVER w AS p, lead(v) OVER w - v AS q, coalesce((t - lag(t) OVER w) * (v + lag(v) OVER w) / 2, 0) AS d FROM e {W}), g AS (SELECT *, coalesce((a * a * (v + q) + (b * b - a * a) * v - b * b * (v - p)) / (a * b * (a + b)), q / b, p / a) AS slope, sum(d) OVER (PARTITION BY case_id, channel ORDER BY idx ROWS UNBOUNDED PRECEDING) AS total FROM s)
@@ -117,11 +118,11 @@ def embedding_outliers(spark, sf_dir):
     return found.crossJoin(F.broadcast(limit)).select("a", "label", F.round("ratio", 6).alias("ratio"), (F.col("ratio") >= F.col("limit")).cast("int").alias("is_outlier"))  # one number
 
 
-def _modes(spark, sf_dir):
+def _modes(spark, sf_dir, windows=signal.WINDOWS_MS):
     features = signal.default_metrics(signal.window_metrics(wide_series(spark, sf_dir), ["case_id"], "side", "v0"), ["case_id"]).withColumn("cluster_input_flag", F.lit(1))
     outcome = result_rows(spark, sf_dir).groupBy("case_id").agg(F.avg("result_number").alias("outcome"))
     # Events have five of the ten channels, so a smaller share of the features is asked for.
-    return modes.ready(features.join(outcome, "case_id", "left"), coverage=0.3)
+    return modes.ready(features.join(outcome, "case_id", "left"), windows, coverage=0.3)
 
 
 @query()
@@ -136,7 +137,7 @@ def window_sweep(spark, sf_dir):
 @query()
 def kmeans_sweep(spark, sf_dir):
     """Clusters of the chosen number at 150 ms, named."""
-    labelled, rows = modes.runs(_modes(spark, sf_dir), "case_id", (150,))
+    labelled, rows = modes.runs(_modes(spark, sf_dir, (150,)), "case_id", (150,))
     best = modes.chosen(rows)
     label = f"c150_{best['k']}"
     return modes.named(labelled.filter(F.col(label).isNotNull()), label, 150, best["k"]).select("case_id", F.col(label).alias("cluster"), "working_mode_label", F.lit(best["k"]).alias("k"))
@@ -186,6 +187,6 @@ def case_neighbours(spark, sf_dir):
 def dtw_neighbors(spark, sf_dir):
     """The five nearest cases by time warping, over all channels that two cases have."""
     s = series(spark, sf_dir).withColumnRenamed("case_id", "case")
-    chosen = clusters.nearest(paths.feature_vectors(s), "case", "vector", 24).select("a", "b")
+    chosen = kept(clusters.nearest(paths.feature_vectors(s), "case", "vector", 24).select("a", "b"), "candidates")
     found = paths.channel_dtw(chosen, s, {})
     return relational.first_per_key(found.filter("dtw IS NOT NULL"), ["a"], ["dtw", "b"], 5, "rank")
