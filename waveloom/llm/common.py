@@ -32,12 +32,13 @@ def ready(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as a URI. Only a session on one machine may lack the setting; it
     gets a folder of its own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file:///tmp/waveloom-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        context.setCheckpointDir(f"file:///tmp/waveloom-{uuid.uuid4().hex}")
+        found = context.getCheckpointDir()
     return (found if "://" in found or found.startswith("file:") else f"file://{found}").rstrip("/")
 
 
