@@ -44,12 +44,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
     Only a session on one machine may lack the setting; it gets a folder of its own."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file:///tmp/waveloom-{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(f"file:///tmp/waveloom-{uuid.uuid4().hex}")
+        root = context.getCheckpointDir()
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
