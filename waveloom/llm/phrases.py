@@ -210,7 +210,7 @@ def located(docs: DataFrame, base: DataFrame) -> DataFrame:
     asking = routes.join(cells, "shard").select("doc_id", "shard", F.pmod(F.hash("doc_id"), F.col("salts")).alias("salt"))
     streamed = passages.joined(base, asking, "inner").select("shard", "salt", F.lit(1).alias("kind"), "k", F.lit(0).alias("n"), "z")
     rows = sent.toDF("shard", "salt", "kind", "doc_id", "n", "data").union(streamed)
-    # A counted repartition: as many tasks as cells, so that no task grows with the input.
+    # A counted repartition: as many tasks as cells, though a task may get several of them by hash.
     tasks = cells.agg(F.sum("salts")).first()[0] or 1
     found = rows.repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(stream, SPANS)
     out = common.staged(common.staged(found, "occurrences").groupBy("doc_id").agg(F.collect_list(F.struct("key", "starts", "counts")).alias("found")), "located")
