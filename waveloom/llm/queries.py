@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from . import common, decontaminate, language, lm, phrases, pieces, simhash, suffixes, token_files, topk, warc
+from . import chat, common, decontaminate, language, lexical, lm, phrases, pieces, repair, simhash, suffixes, token_files, topk, warc
 
 _QUERIES = {
     "op3_lm": lm.op3_lm,
@@ -17,6 +17,9 @@ _QUERIES = {
     "op8_language": language.op8_language,
     "op9_pieces": pieces.op9_pieces,
     "op10_token_files": token_files.op10_token_files,
+    "op11_repair": repair.op11_repair,
+    "op12_chat": chat.op12_chat,
+    "op13_lexical": lexical.op13_lexical,
 }
 
 
@@ -36,4 +39,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_topk": topk.ORACLE_SQL,
     "op4_warc": warc.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_repair": repair.ORACLE_SQL,
+    "op12_chat": chat.ORACLE_SQL,
+    "op13_lexical": lexical.ORACLE_SQL,
 }
