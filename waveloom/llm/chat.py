@@ -63,7 +63,8 @@ def as_chain(rows: DataFrame) -> DataFrame:
 
 
 def _climbed(slim: DataFrame) -> list[DataFrame]:
-    """Tables of (chat, node, up, total, depth), one for each doubling: ``up`` is the 2^k-th message above, and the sums cover the messages below it."""
+    """Tables of (chat, node, up, total, depth), one for each doubling: ``up`` is the 2^k-th message above, or null, and the sums cover
+    the messages below it. A table has only the messages that the one before leaves below another."""
     parents = slim.select("chat", F.col("node").alias("up"))
     first = slim.select("chat", "node", F.col("parent").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.lit(1).cast("long").alias("depth"))
     # A parent that does not exist makes its message a root.
@@ -74,17 +75,19 @@ def _climbed(slim: DataFrame) -> list[DataFrame]:
     while tables[-1].filter("up IS NOT NULL").limit(1).count():
         if len(tables) > limit:
             raise ValueError("a message replies to itself, directly or through others")
-        low = tables[-1]
-        high = low.select("chat", F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
-        grown = low.join(high, ["chat", "up"], "left").select(
-            "chat", "node", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth")
-        )
+        below = tables[-1].filter("up IS NOT NULL")
+        reach = below
+        for done in tables:
+            reach = reach.unionByName(done.filter("up IS NULL"))
+        high = reach.select("chat", F.col("node").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
+        grown = below.join(high, ["chat", "up"]).select("chat", "node", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("deeper")).alias("depth"))
         tables.append(common.staged(grown, "replies"))
     return tables
 
 
-def branches(messages: DataFrame, keep: int | None = 1) -> DataFrame:
-    """(chat, branch, step, node): the messages of the ``keep`` best root-to-leaf branches of each conversation (all if None), from the root down.
+def branches(messages: DataFrame, keep: int | None = 1) -> list[DataFrame]:
+    """(chat, branch, step, node): the messages of the ``keep`` best root-to-leaf branches of each conversation (all if None), from the root
+    down; as tables that have them together, staged.
 
     ``messages`` has (conv_id, node, parent, score). Branches rank by the sum of their scores, then by length, then by smaller
     leaf; ``branch`` counts from 1. A null conv_id is a conversation of its own, a null score counts 0, a parent that does not
@@ -92,21 +95,27 @@ def branches(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     unique in its conversation."""
     slim = _keyed(messages.filter("node IS NOT NULL")).select("chat", "node", "parent", "score")
     tables = _climbed(slim)
-    # Once nothing is left above, the sums of a table cover whole branches.
-    leaves = tables[-1].join(slim.select("chat", F.col("parent").alias("node")), ["chat", "node"], "left_anti")
+    # Where nothing is left above, the sums cover whole branches.
+    whole = None
+    for table in tables:
+        done = table.filter("up IS NULL")
+        whole = done if whole is None else whole.unionByName(done)
+    leaves = whole.join(slim.select("chat", F.col("parent").alias("node")), ["chat", "node"], "left_anti")
     place = F.row_number().over(Window.partitionBy("chat").orderBy(F.desc("total"), F.desc("depth"), "node"))
     ranked = leaves.select("chat", "node", "depth", place.alias("branch"))
     if keep is not None:
         ranked = ranked.filter(F.col("branch") <= keep)
-    found = ranked.select("chat", "branch", "node", (F.col("depth") - 1).alias("step"))
+    found = [common.staged(ranked.select("chat", "branch", (F.col("depth") - 1).alias("step"), "node"), "branches")]
     # Every distance from a leaf is one sum of powers of two, so each message above is reached once.
     for k in range(len(tables) - 2, -1, -1):
+        low = [f.filter(F.col("step") >= 1 << k) for f in found]
+        below = low[0]
+        for more in low[1:]:
+            below = below.unionByName(more)
         up = tables[k].filter("up IS NOT NULL").select("chat", "node", "up")
-        both = F.array(F.struct("node", "step"), F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("step") - (1 << k)).alias("step"))))
-        found = found.join(up, ["chat", "node"], "left").select("chat", "branch", F.explode(F.array_compact(both)).alias("m")).select("chat", "branch", "m.node", "m.step")
-    out = common.staged(found.select("chat", "branch", "step", "node"), "branches")
+        found.append(common.staged(below.join(up, ["chat", "node"]).select("chat", "branch", (F.col("step") - (1 << k)).alias("step"), F.col("up").alias("node")), "branches"))
     common.forget(*tables)
-    return out
+    return found
 
 
 BLOCKS_SCHEMA = "chat string, {conv}, branch int, block int, last boolean, text string, loss array<struct<start:long,end:long>>"
@@ -120,7 +129,10 @@ def formatted(messages: DataFrame, keep: int | None = 1, trained_role: str = "as
     texts of ``trained_role``, without their marks. ``last`` marks a branch's last block; all but very long branches have one.
     Null roles and texts are empty. Empty tables give no rows. A text longer than ``block_chars`` is not cut."""
     spark = messages.sparkSession
-    chosen = branches(messages, keep)
+    found = branches(messages, keep)
+    chosen = found[0]
+    for more in found[1:]:
+        chosen = chosen.unionByName(more)
     conv = f"conv_id {messages.schema['conv_id'].dataType.simpleString()}"
     texts = _keyed(messages.filter("node IS NOT NULL")).select("chat", "conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     # Joined by rows that are dealt by conversation alone, what deals out the turns of as_chain serves the join too. The
@@ -134,7 +146,7 @@ def formatted(messages: DataFrame, keep: int | None = 1, trained_role: str = "as
         out = common.staged(in_order.mapInArrow(_blocks(trained_role, block_chars), BLOCKS_SCHEMA.format(conv=conv)), "chats")
     finally:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
-    common.forget(chosen)
+    common.forget(*found)
     return out
 
 
