@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waveloom.functions.order import average_ranks, quantiles
+
 
 def max_abs(c: str, where: Column | None = None) -> Column:
     value = F.abs(F.col(c))
@@ -33,14 +35,16 @@ def pearson(x: str, y: str) -> Column:
 
 
 def quartiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+    return quantiles(df, {"q1": (value, 0.25), "q3": (value, 0.75)}, by)
 
 
 def robust_z(df: DataFrame, columns: dict[str, str], by: list[str] | None = None) -> DataFrame:
     """For each name: (x - median) / population deviation of its column over ``by`` or all rows; the plain difference where
-    the deviation is nil. However many columns there are, they take one aggregate and one join."""
+    the deviation is nil. However many columns there are, all medians share their passes."""
     by = by or []
-    stats = df.groupBy(*by).agg(*(a for i, c in enumerate(columns.values()) for a in (F.median(c).alias(f"_mid{i}"), F.stddev_pop(c).alias(f"_dev{i}"))))
+    mids = quantiles(df, {f"_mid{i}": (c, 0.5) for i, c in enumerate(columns.values())}, by)
+    devs = df.groupBy(*by).agg(*(F.stddev_pop(c).alias(f"_dev{i}") for i, c in enumerate(columns.values())))
+    stats = devs.join(mids, by) if by else devs.crossJoin(F.broadcast(mids))  # one row a side
     joined = df.join(stats, by) if by else df.crossJoin(F.broadcast(stats))  # one row of two numbers a column
     z = {out: (F.col(c) - F.col(f"_mid{i}")) / F.when(F.col(f"_dev{i}") > 1e-9, F.col(f"_dev{i}")).otherwise(1.0) for i, (out, c) in enumerate(columns.items())}
     return joined.withColumns(z).drop(*(f"_{s}{i}" for s in ("mid", "dev") for i in range(len(columns))))
@@ -48,19 +52,13 @@ def robust_z(df: DataFrame, columns: dict[str, str], by: list[str] | None = None
 
 def robust_scale(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Median and scale of each group: IQR / 1.349, else MAD x 1.4826, else the deviation, else 1."""
-    first = df.groupBy(*by).agg(F.median(value).alias("mid"), F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"), F.stddev_pop(value).alias("dev"))
-    mad = df.join(first.select(*by, "mid"), by).groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("mid"))).alias("mad"))
+    first = quantiles(df, {"mid": (value, 0.5), "q1": (value, 0.25), "q3": (value, 0.75)}, by).join(df.groupBy(*by).agg(F.stddev_pop(value).alias("dev")), by)
+    off = df.join(first.select(*by, "mid"), by).withColumn("_off", F.abs(F.col(value) - F.col("mid")))
+    mad = quantiles(off, {"mad": ("_off", 0.5)}, by)
     iqr, spread = (F.col("q3") - F.col("q1")) / 1.349, F.col("mad") * 1.4826
     return first.join(mad, by).withColumn("scale", F.when(iqr > 1e-9, iqr).when(spread > 1e-9, spread).when(F.col("dev") > 1e-9, F.col("dev")).otherwise(1.0)).select(*by, "mid", "scale", "mad")
 
 
-def average_ranks(df: DataFrame, value: str, out: str, by: list[str]) -> DataFrame:
-    """Ranks from 1, equal values sharing the mean of theirs. Values are counted first, so ties cost one row."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    below = F.sum("_n").over(Window.partitionBy(*by).orderBy(value)) - F.col("_n")
-    return df.join(counts.withColumn(out, below + (F.col("_n") + 1) / 2).drop("_n"), [*by, value], "left")
-
-
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
     ranked = average_ranks(average_ranks(pairs, x, "_rx", by), y, "_ry", by)

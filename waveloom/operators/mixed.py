@@ -160,8 +160,8 @@ class _Histogram(Work):
         return [np.array([f[i] for f in found], t) for i, t in enumerate((np.int32, np.int32, float, np.int64))]
 
 
-def median_distances(blocks: DataFrame, parts: list[Part], bins: int = 1 << 16, few: int = 1 << 14) -> list[float]:
-    """The median of the positive distances of all pairs by each part, 1 where there is none; all parts share the passes.
+def median_distances(blocks: DataFrame, parts: list[Part], bins: int = 1 << 16, few: int = 1 << 14, missing: float | None = 1.0) -> list[float]:
+    """The median of the positive distances of all pairs by each part, ``missing`` where there is none; all parts share the passes.
 
     A pass over the pairs counts distances by bins. The bin that holds the middle ranks is read out if it has few values, and
     cut into bins again if not; of two such bins the greatest and the least value are enough."""
@@ -177,7 +177,7 @@ def median_distances(blocks: DataFrame, parts: list[Part], bins: int = 1 << 16,
     tops = {r["part"]: r["top"] for r in blocks.select("rows").mapInArrow(reach, "part int, top double").groupBy("part").agg(F.max("top").alias("top")).collect()}  # one row a part
     spans: dict[int, Span] = {p: (0.0, 2.0 * tops.get(p, 0.0) * (1 + 1e-9) + 1e-9) for p in range(len(parts))}
     paths: dict[int, list] = {p: [] for p in spans}
-    out, below, ranks = [1.0] * len(parts), [0] * len(parts), {}
+    out, below, ranks = [missing] * len(parts), [0] * len(parts), {}
     todo = list(spans)
 
     def counted(of: list[int], read: list[dict[int, str]] | None) -> dict[int, list]:
@@ -301,6 +301,13 @@ def mixed_frame(vectors: DataFrame, case: str, vector: str, views: dict[str, tup
     return MixedFrame(rows, blocks, Mixed(tuple(parts)), n, shares, scales)
 
 
+def plain_frame(vectors: DataFrame, case: str, vector: str) -> MixedFrame:
+    """Rows by their plain Euclidean distance."""
+    rows = kept(vectors.select(F.col(case).cast("long").alias("case"), F.col(vector).cast("array<double>").alias("v")).filter("case IS NOT NULL AND v IS NOT NULL"), "mixed-rows")
+    n, size = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    return MixedFrame(rows, kept(blocked(rows, max(1, -(-n // BLOCK))), "mixed-blocks"), Mixed((Part("euclidean", tuple(range(size)), 1.0),)), n, np.zeros(0), [1.0])
+
+
 def luck(cases: np.ndarray, seed: int, draw: int) -> np.ndarray:
     """A number in (0, 1] for each case, the same wherever and whenever it is drawn."""
     with np.errstate(over="ignore"):
@@ -310,6 +317,41 @@ def luck(cases: np.ndarray, seed: int, draw: int) -> np.ndarray:
     return (((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) + 1) / 2**53
 
 
+def added(parts: list[np.ndarray]) -> np.ndarray:
+    return sum(parts[1:], parts[0])
+
+
+def triangle(parts: list[np.ndarray]) -> np.ndarray:
+    """The triangle of the QR factors of blocks of rows, from those of the blocks."""
+    return np.linalg.qr(np.concatenate(parts), mode="r")
+
+
+def matrix_over(rows: DataFrame, work: Callable[[np.ndarray], np.ndarray], join: Callable[[list[np.ndarray]], np.ndarray], width: int, column: str = "v") -> np.ndarray | None:
+    """What ``join`` makes of the matrices of ``width`` columns that ``work`` makes of batches of vectors; None without vectors.
+
+    A task joins its own, a few tasks join those, and the driver joins what they send: one matrix each."""
+    def first(batches):
+        total = None
+        for batch in batches:
+            vectors = batch.column(column).drop_null()
+            if len(vectors):
+                part = work(np.asarray(vectors.flatten()).reshape(len(vectors), -1))
+                total = part if total is None else join([total, part])
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(total, float).tobytes()], pa.binary())], ["m"])
+
+    def second(batches):
+        found = [np.frombuffer(m, float).reshape(-1, width) for batch in batches for m in batch.column("m").to_pylist()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(join(found), float).tobytes()], pa.binary())], ["m"])
+
+    parts = rows.select(column).mapInArrow(first, "m binary")
+    if (n := parts.rdd.getNumPartitions()) > 32:
+        parts = parts.repartition(math.isqrt(n)).mapInArrow(second, "m binary")
+    found = [np.frombuffer(r["m"], float).reshape(-1, width) for r in parts.collect()]  # a matrix for each of a few tasks
+    return join(found) if found else None
+
+
 Medoids = dict[int, list[tuple[int, list[float]]]]
 
 

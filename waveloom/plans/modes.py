@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waveloom.functions import stats
+from waveloom.functions.order import quantiles
 from waveloom.operators import clusters
 from waveloom.operators.signal import WINDOWS_MS
 from waveloom.session import kept
@@ -26,7 +27,8 @@ def ready(features: DataFrame, windows=WINDOWS_MS, coverage: float = 0.65) -> Da
     cols = {ms: [f"window_{ms:03d}_{s}" for s in SUFFIXES] for ms in windows}
     enough = {ms: (F.col("cluster_input_flag") == 1) & (sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0)) / len(names) >= coverage) for ms, names in cols.items()}
     features = kept(features, "window-features")
-    mid = features.agg(*(F.coalesce(F.median(F.when(enough[ms], F.col(c))), F.lit(0.0)).alias(c) for ms, names in cols.items() for c in names)).first()
+    given = features.select(*(F.when(enough[ms], F.col(c)).cast("double").alias(c) for ms, names in cols.items() for c in names))
+    mid = {c: m or 0.0 for c, m in quantiles(given, {c: (c, 0.5) for c in given.columns}, []).first().asDict().items()}
     filled = features.withColumns({f"_f_{c}": F.when(enough[ms], F.coalesce(F.col(c), F.lit(mid[c]))) for ms, names in cols.items() for c in names})
     moments = filled.agg(*(f(f"_f_{c}").alias(f"{k}{c}") for names in cols.values() for c in names for k, f in (("a", F.avg), ("s", F.stddev_pop)))).first()
     z = {f"z{ms}": F.when(enough[ms], F.array(*((F.col(f"_f_{c}") - F.lit(moments[f"a{c}"] or 0.0)) / F.lit(moments[f"s{c}"] or 1.0) for c in names))) for ms, names in cols.items()}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waveloom.functions import labels
 from waveloom.functions import text as T
-from waveloom.operators import channels, clusters, marts, relational, signal
+from waveloom.operators import channels, clusters, embedding, marts, mixed, relational, signal, similarity
 from waveloom.plans import modes, paths
 from waveloom.plans.registry import BY, ROWS, SERIES, VECTORS, W, query, result_rows, rounded, series, table, vectors, wide_series
 from waveloom.session import kept
@@ -109,13 +109,48 @@ def work_queue(spark, sf_dir):
     return relational.pending(table(spark, sf_dir, "orders"), "o_orderstatus", ("O", "P"), [F.desc("o_totalprice"), "o_orderkey"], 40).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@query(f"""WITH {VECTORS}, c AS (SELECT label, count(*) AS m FROM v GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, a.label AS l, m, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.id <> b.id AND a.label = b.label JOIN c ON c.label = a.label WHERE m > 2), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM p) WHERE rn <= least(greatest(5, ceil(m * 0.12)), m - 1)),
- n AS (SELECT a, any_value(l) AS l, avg(d) AS knn FROM k GROUP BY 1), z AS (SELECT k.a, avg(1 / greatest(n.knn, 1e-6)) AS db FROM k JOIN n ON k.b = n.a GROUP BY 1), r AS (SELECT a, l AS label, db / greatest(1 / greatest(knn, 1e-6), 1e-6) AS ratio FROM n JOIN z USING (a) UNION ALL SELECT id, label, 1.0 FROM v JOIN c USING (label) WHERE m <= 2)
- SELECT a, label, round(ratio, 6) AS ratio, (ratio >= (SELECT quantile_cont(ratio, 0.96) FROM r))::INT AS is_outlier FROM r""")
+@query(f"""WITH {VECTORS}, c AS (SELECT least(20, greatest(5, count(*) // 20)) AS k FROM v), p AS (SELECT a.id AS a, b.id AS b, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.id <> b.id), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM p), c WHERE rn <= k),
+ h AS (SELECT a AS b, max(d) AS kth FROM n GROUP BY 1), l AS (SELECT n.a, 1 / (avg(greatest(d, kth)) + 1e-10) AS density FROM n JOIN h USING (b) GROUP BY 1), f AS (SELECT n.a, avg(o.density) / any_value(s.density) AS lof FROM n JOIN l o ON o.a = n.b JOIN l s ON s.a = n.a GROUP BY 1)
+ SELECT a, round(lof, 6) AS lof, (lof > (SELECT quantile_cont(lof, 0.96) FROM f))::INT AS is_outlier FROM f""")
 def embedding_outliers(spark, sf_dir):
-    found = clusters.local_density(vectors(spark, sf_dir), "id", "e", "label").select("a", "label", F.col("density_ratio").alias("ratio"))
-    limit = found.agg(F.percentile("ratio", 0.96).alias("limit"))
-    return found.crossJoin(F.broadcast(limit)).select("a", "label", F.round("ratio", 6).alias("ratio"), (F.col("ratio") >= F.col("limit")).cast("int").alias("is_outlier"))  # one number
+    return rounded(clusters.local_outlier_factor(vectors(spark, sf_dir), "id", "e"))
+
+
+@query()
+def embedding_clusters(spark, sf_dir):
+    """Three to twelve k-means clusters over standardised vectors, and how far out each row lies."""
+    return embedding.embedding_clusters(vectors(spark, sf_dir), "id", "e")[0]
+
+
+@query()
+def embedding_views(spark, sf_dir):
+    """Each user's series, resampled and reduced in four views; shares of the views' variance beside the embedding."""
+    s = series(spark, sf_dir).withColumnRenamed("case_id", "case")
+    order = ["click", "view", "purchase", "signup", "error"]
+    specs = {"global": (12, 0.10, (0, 1, 2, 3, 4)), "pulse": (8, 0.55, (0, 1)), "occupant": (6, 0.05, (2, 3)), "lower_extremity": (4, 0.30, (4,))}
+    out, told = embedding.view_embeddings(embedding.resampled(s, ["case", "channel"], 64), order, specs)
+    return out.select("case", "embedding", *(F.lit(t["explained"]).alias(f"{v}_explained") for v, t in told.items()))
+
+
+@query("""WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT id, [e[1:30], e[31:50], e[51:64]] AS w, list_transform(e, lambda x: x - list_avg(e)) AS c FROM v), n AS (SELECT id, list_transform(w, lambda x: list_transform(x, lambda y: y / greatest(sqrt(list_inner_product(x, x)), 1e-8))) AS w, c, sqrt(list_inner_product(c, c)) AS s FROM u),
+ p AS (SELECT a.id AS a, b.id AS b, 0.6 * list_inner_product(a.w[1], b.w[1]) + 0.1 * list_inner_product(a.w[2], b.w[2]) + 0.3 * list_inner_product(a.w[3], b.w[3]) AS views, (list_inner_product(a.c, b.c) / (a.s * b.s) + 1) / 2 AS r FROM n a JOIN n b ON a.id <> b.id),
+ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY views DESC, b) AS rn FROM p) WHERE rn <= 80),
+ f AS (SELECT s_suppkey AS id, 'balance' AS f, s_acctbal AS x, 2000.0 AS s FROM supplier UNION ALL SELECT c_custkey, 'nation', c_nationkey, 5.0 FROM customer), h AS (SELECT k.a, k.b, avg(exp(-abs(x.x - y.x) / x.s)) AS phase FROM k JOIN f x ON x.id = k.a JOIN f y ON y.id = k.b AND y.f = x.f GROUP BY 1, 2),
+ z AS (SELECT k.a, k.b, views, r, phase, 0.82 * views + 0.10 * r + coalesce(0.08 * phase, 0) AS score FROM k LEFT JOIN h ON h.a = k.a AND h.b = k.b), o AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM z)
+ SELECT a, CAST(rank AS INTEGER) AS rank, b, round(score, 6) AS score, round(views, 6) AS views, round(r, 6) AS correlation, round(phase, 6) AS phase FROM o WHERE rank <= 10""")
+def embedding_neighbours(spark, sf_dir):
+    """Neighbours over three weighted views of the vectors, with correlation and phase scores of the candidates."""
+    v = vectors(spark, sf_dir)
+    cut = v.select("id", F.slice("e", 1, 30).alias("one"), F.slice("e", 31, 20).alias("two"), F.slice("e", 51, 14).alias("three"))
+    chosen = kept(embedding.view_candidates(cut, "id", {"one": 0.6, "two": 0.1, "three": 0.3}), "candidates")
+    whole = v.select("id", F.transform("e", lambda x: x - F.aggregate("e", F.lit(0.0), lambda s, y: s + y) / F.size("e")).alias("c"))
+    x, y = (whole.select(F.col("id").alias(s), F.col("c").alias(f"c{s}")) for s in ("a", "b"))
+    norm = F.sqrt(similarity.dot("ca", "ca") * similarity.dot("cb", "cb"))
+    correlation = chosen.select("a", "b").join(x, "a").join(y, "b").select("a", "b", ((F.try_divide(similarity.dot("ca", "cb"), norm) + 1) / 2).alias("correlation"))
+    balance = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("case"), F.lit("balance").alias("feature"), F.col("s_acctbal").cast("double").alias("value"))
+    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case"), F.lit("nation").alias("feature"), F.col("c_nationkey").cast("double").alias("value"))
+    phases = embedding.phase_scores(chosen, balance.unionByName(nation), {"balance": 2000.0, "nation": 5.0})
+    return rounded(embedding.view_neighbours(chosen, correlation, phases))
 
 
 def _modes(spark, sf_dir, windows=signal.WINDOWS_MS):
@@ -148,10 +183,25 @@ def kmedoids(spark, sf_dir):
     return clusters.kmedoids(vectors(spark, sf_dir), "id", "e", 4)
 
 
+#: The views of the given vectors: weights as those of cases, and a share of the components each.
+VECTOR_VIEWS = {"pulse": (paths.VIEW_WEIGHTS["pulse"], list(range(30))), "occupant": (paths.VIEW_WEIGHTS["occupant"], list(range(30, 50))), "lower_extremity": (paths.VIEW_WEIGHTS["lower_extremity"], list(range(50, 64)))}
+
+
 @query()
 def cluster_choice(spark, sf_dir):
-    """The number of clusters from two to ten by silhouette and size, and each case's medoid."""
-    return clusters.choose_clusters(vectors(spark, sf_dir), "id", "e")[0]
+    """Two to ten clusters over the mixed distance, chosen by silhouette and size; each case's medoid, density and outlier score."""
+    frame = mixed.mixed_frame(vectors(spark, sf_dir), "id", "e", VECTOR_VIEWS)
+    return mixed.cluster_rows(frame, mixed.choose(frame))
+
+
+@query()
+def cluster_representatives(spark, sf_dir):
+    """Of each chosen cluster the central, outermost, most stable and best covered cases, and the ten most central of all."""
+    v = vectors(spark, sf_dir)
+    frame = mixed.mixed_frame(v, "id", "e", VECTOR_VIEWS)
+    rows = kept(mixed.cluster_rows(frame, mixed.choose(frame)), "cluster-rows")
+    coverage = v.select(F.col("id").alias("case"), F.aggregate("e", F.lit(0.0), lambda s, x: s + (F.abs(x) > 0.1).cast("double")).alias("coverage"))
+    return mixed.representatives(frame, rows, coverage)
 
 
 def _domain_frame(spark, sf_dir):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from waveloom.functions import order
 from waveloom.operators import marts, relational, signal, similarity
 from waveloom.plans import audit
 from waveloom.plans.registry import BY, ROWS, SERIES, VECTORS, query, result_rows, rounded, series, table, vectors
@@ -54,7 +55,8 @@ def case_master(spark, sf_dir):
 def series_catalog(spark, sf_dir):
     w = Window.partitionBy(*BY).orderBy("idx")
     d = series(spark, sf_dir).withColumn("dt", F.col("t") - F.lag("t").over(w))
-    return rounded(d.groupBy(*BY).agg(F.count("*").alias("samples"), F.count("v").alias("present"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.median("dt").alias("step"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std")))
+    steps = order.quantiles(d, {"step": ("dt", 0.5)}, BY)
+    return rounded(d.groupBy(*BY).agg(F.count("*").alias("samples"), F.count("v").alias("present"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std")).join(steps, BY))
 
 
 @query("""SELECT o_custkey, count_if(o_orderstatus = 'P') AS errors, count(*) AS files, CASE WHEN count_if(o_orderstatus = 'P') > 0 THEN 'error' ELSE 'downloaded' END AS state FROM orders GROUP BY 1""")
