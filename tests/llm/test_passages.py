@@ -96,10 +96,11 @@ def test_neighbours_in_chunks(monkeypatch):
     rows = sorted(rows)
     context = {r[3:]: (r[1].split()[::-1] + r[0].split(), len(r[1].split())) for r in rows}
 
-    def found(chunk):
+    def found(chunk, large):
         monkeypatch.setattr(suffixes, "CHUNK", chunk)
         columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
-        whole = pa.RecordBatch.from_arrays(columns, names=["suffix", "left", "doc_id", "g", "c"])
+        columns.append(pa.array([large] * len(rows), pa.bool_()))
+        whole = pa.RecordBatch.from_arrays(columns, names=["suffix", "left", "doc_id", "g", "c", "large"])
         out = [x for b in suffixes.compare_neighbours(iter([whole.slice(i, 7) for i in range(0, len(rows), 7)])) for x in b.to_pylist()]
         bits = {(x["g"], x["c"], o) for x in out if x["mask"] for o in range(35) if x["mask"] >> o & 1}
         first = {}
@@ -109,8 +110,8 @@ def test_neighbours_in_chunks(monkeypatch):
         bits |= {(x["g"], x["c"], x["o"]) for x in out if x["o"] is not None and first[x["w1"], x["w2"]] < x["doc_id"]}
         return {tuple(words[n - o : n - o + 50]) for g, c, o in bits for words, n in [context[g, c]]}
 
-    want = found(1 << 15)
-    assert want and all(found(c) == want for c in (1, 10, 100))
+    want = found(1 << 15, True)
+    assert want and all(found(c, large) == want for c in (1, 10, 100, 1 << 15) for large in (True, False))
 
 
 def test_one_doc_id_with_two_texts(spark):

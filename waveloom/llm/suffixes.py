@@ -8,9 +8,9 @@ are let go; those that agree in all words within reach are one class, which the
 The suffixes, ``WINDOW`` words of text each and what stands left of them, are sorted over the cluster as text, by range.
 Each range is walked in order: the common prefix of neighbours tells which suffixes agree in how many words to the right,
 and each such stretch of the array is extended word by word to the left. So for every window over a selected position the
-smallest document that has it is found. A group of equal first words that a border of ranges cuts is compared across the
-border by the hashes of its windows instead; that is also how a group too large for one task is spread. Last, the words of
-windows that a smaller document has are cut from the later one.
+smallest document that has it is found. Ranges end between groups of equal first words; only a group of more than ``CHUNK``
+suffixes may be cut, so that tasks can share it, and is compared across the border by the hashes of its windows. Last, the
+words of windows that a smaller document has are cut from the later one.
 """
 
 from __future__ import annotations
@@ -69,8 +69,8 @@ def entries(docs: DataFrame) -> DataFrame:
 
 
 def suffix_texts(base: DataFrame, representatives: DataFrame) -> DataFrame:
-    """(suffix, left, doc_id, g, c): the words from each place on and, last word first, those before it; a space after each."""
-    asked = representatives.groupBy("doc_id").agg(F.collect_list(F.struct("place", "g", "c")).alias("asked"))
+    """(suffix, left, head, doc_id, g, c, large): the words from each place on and, last word first, those before it; a space after each. ``head`` has the first words."""
+    asked = representatives.groupBy("doc_id").agg(F.collect_list(F.struct("place", "g", "c", "large")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, "z", passages.SLICE):
@@ -83,10 +83,11 @@ def suffix_texts(base: DataFrame, representatives: DataFrame) -> DataFrame:
                     part = rows[lo : lo + 4096]
                     right = [b" ".join([*words[x["place"] : x["place"] + WINDOW], b""]) for x in part]
                     left = [b" ".join([*words[max(0, x["place"] - LEFT) : x["place"]][::-1], b""]) for x in part]
-                    columns = [pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array([doc_id] * len(part), pa.int64()), pa.array([x["g"] for x in part], pa.int64()), pa.array([x["c"] for x in part], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["suffix", "left", "doc_id", "g", "c"])
+                    head = [b" ".join([*words[x["place"] : x["place"] + GRAM], b""]) for x in part]
+                    columns = [pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(head, pa.binary()), pa.array([doc_id] * len(part), pa.int64()), *(pa.array([x[f] for x in part], k) for f, k in (("g", pa.int64()), ("c", pa.int64()), ("large", pa.bool_())))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["suffix", "left", "head", "doc_id", "g", "c", "large"])
 
-    return passages.joined(base, asked, "inner").mapInArrow(run, "suffix binary, left binary, doc_id long, g long, c long")
+    return passages.joined(base, asked, "inner").mapInArrow(run, "suffix binary, left binary, head binary, doc_id long, g long, c long, large boolean")
 
 
 def _grid(texts: list[list[bytes]], width: int, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +119,10 @@ COMPARED = {"g": pa.int64(), "c": pa.int64(), "mask": pa.int64(), "w1": pa.int64
 
 
 def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, c, mask) for what a sorted range settles, and a row (g, c, w1, w2, doc_id, o) for each window of groups that its ends may cut."""
-    def compare(rows: pa.Table, cut: bool, last: bool) -> tuple[list[pa.RecordBatch], int]:
-        """What is found, and where the group starts that may go on; ``cut``: the first group may have begun before."""
+    """Rows (g, c, mask) for what a sorted range settles, and a row (g, c, w1, w2, doc_id, o) for each window of groups that its ends may
+    cut: of large groups, and of one that turns out to be more than is compared at once."""
+    def compare(rows: pa.Table, cut: str, last: bool) -> tuple[list[pa.RecordBatch], int]:
+        """What is found, and where the group starts that may go on; ``cut``: the first group may have begun before, in this range (inside) or in the one before it (start)."""
         suffix, left = ([t.split() for t in rows.column(c).to_pylist()] for c in ("suffix", "left"))
         ids: dict[bytes, int] = {}
         (a, n_right), (b, n_left) = _grid(suffix, WINDOW, ids), _grid(left, LEFT, ids)
@@ -129,10 +131,11 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         group = np.cumsum(new) - 1
         whole = int(starts[-1]) if not last else len(suffix)
         open_ = np.zeros(len(suffix), bool)
+        large = np.asarray(rows.column("large").combine_chunks().cast(pa.int8())).astype(bool)
         if cut:
-            open_ |= group == 0
+            open_ |= (group == 0) & (large | (cut == "inside"))
         if last:
-            open_ |= group == group[-1]
+            open_ |= (group == group[-1]) & large
         if not whole:  # one group, larger than what is compared at once
             whole, open_[:] = len(suffix), True
         doc, g, c = (np.asarray(rows.column(x).combine_chunks())[:whole] for x in ("doc_id", "g", "c"))
@@ -153,13 +156,13 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             out.append(pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[x] for p in part]), t) if x in names else pa.nulls(n, t) for x, t in COMPARED.items()], names=list(COMPARED)))
         return out, whole
 
-    held, cut = None, True
+    held, cut = None, "start"
     for batch in batches:
         held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         if held.num_rows >= CHUNK:
             out, whole = compare(held, cut, False)
             yield from out
-            cut, held = whole == held.num_rows, held.slice(whole).combine_chunks()
+            cut, held = "inside" if whole == held.num_rows else "", held.slice(whole).combine_chunks()
     if held is not None and held.num_rows:
         yield from compare(held, cut, True)[0]
 
@@ -173,9 +176,10 @@ def repeated(docs: DataFrame, base: DataFrame) -> DataFrame:
     recurring = common.staged(found.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("g"), "recurring")
     hits = common.staged(found.join(recurring, "g"), "recurring-suffixes")
     classes = common.staged(hits.groupBy("g", "c").agg(F.min(F.struct("doc_id", "place")).alias("o")).select("g", "c", "o.*"), "contexts")
-    several = classes.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("g")
+    several = classes.groupBy("g").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select("g", (F.col("n") > CHUNK).alias("large"))
     array = common.staged(suffix_texts(base, classes.join(common.staged(several, "several"), "g")), "suffix-array")
-    ordered = array.repartitionByRange("suffix", "left").sortWithinPartitions("suffix", "left")
+    within = [F.when(F.col("large"), F.col(c)) for c in ("suffix", "left")]
+    ordered = array.repartitionByRange("head", *within).sortWithinPartitions("suffix", "left").drop("head")
     compared = common.staged(ordered.mapInArrow(compare_neighbours, "g long, c long, mask long, w1 long, w2 long, doc_id long, o int"), "neighbours", spark__sql__execution__rangeExchange__sampleSizePerPartition="20")
     cut = compared.filter("o IS NOT NULL")
     first = common.staged(cut.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last"), "cut-groups")
