@@ -75,5 +75,3 @@ def test_incremental_ingest(spark, tmp_path):
     (tmp_path / "in" / "2.json").write_text('{"k": 2}\n')
     ingest.ingest_new(spark, str(tmp_path / "in"), "k long", str(tmp_path / "cp"), work)
     assert [s for s in seen if s] == [[1], [2]]
-    ingest.record_run(spark, str(tmp_path / "runs"), "x", "a", "b", "ok")
-    assert spark.read.parquet(str(tmp_path / "runs")).count() == 1

@@ -83,7 +83,7 @@ def records(lines: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.select(*keys, "record", "section", text.alias("text"), *named)
 
 
-def _tail(n: int) -> tuple[Column, Column]:
+def _tail(n: Column) -> tuple[Column, Column]:
     """Of ``_t`` (values) and ``_f`` (what lies between them) the label without the last ``n`` values, and those values; empty if there are fewer."""
     m = F.size("_t")
     cut = F.greatest(m - n, F.lit(0))
@@ -99,17 +99,13 @@ def rows_of(found: DataFrame, keys: list[str], title: str | None = None, side: s
     The last values of a record are its cells, the first of them the threshold where the headers name one and there is one value more; the
     rest is the label. Records with too few values or without a label are left out. Where a table has one seat, the column ``title``
     names it, or ``side``."""
-    split = found.withColumns({"_t": F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), "_f": F.split("text", TOKEN, -1)})
     size = F.when(F.col("two_seats") & F.col("two_sides"), 8).when(F.col("two_seats") | F.col("two_sides"), 4).otherwise(2)
-    label, cells, limit = F.lit(""), F.array().cast("array<string>"), F.lit(None).cast("string")
-    for n in (8, 4, 2):
-        with_limit, without = _tail(n + 1), _tail(n)
-        over = F.col("threshold") & (with_limit[0] != "")
-        here = size == n
-        label = F.when(here, F.when(over, with_limit[0]).otherwise(without[0])).otherwise(label)
-        cells = F.when(here, F.when(over, F.slice(with_limit[1], 2, n)).otherwise(without[1])).otherwise(cells)
-        limit = F.when(here & over, F.element_at(with_limit[1], 1)).otherwise(limit)
-    split = split.select(*keys, "record", "section", "two_seats", "two_sides", *([title] if title and title not in keys else []), *([side] if side and side not in keys else []), label.alias("label"), cells.alias("_c"), limit.alias("threshold_text")).filter("label != ''")
+    split = found.withColumns({"_t": F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), "_f": F.split("text", TOKEN, -1), "_n": size})
+    (long_label, long_cells), (label, cells) = _tail(F.col("_n") + 1), _tail(F.col("_n"))
+    # A threshold only where the headers name one; without a label in front of it, the record is read as one without.
+    split = split.withColumns({"_long": F.when(F.col("threshold"), long_label).otherwise(""), "_short": label})
+    over = F.col("_long") != ""
+    split = split.select(*keys, "record", "section", "two_seats", "two_sides", *([title] if title and title not in keys else []), *([side] if side and side not in keys else []), F.when(over, F.col("_long")).otherwise(F.col("_short")).alias("label"), F.when(over, F.slice(long_cells, F.lit(2), F.col("_n"))).otherwise(cells).alias("_c"), F.when(over, F.get(long_cells, F.lit(0))).alias("threshold_text")).filter("label != ''")
     named = F.when(F.contains(F.lower(F.col(title)), F.lit("driver")), "driver").when(F.contains(F.lower(F.col(title)), F.lit("passenger")), "passenger") if title else F.lit(None).cast("string")
     seat = F.coalesce(named, F.col(side) if side else F.lit(None).cast("string"))
     seats = F.when(F.col("two_seats"), F.array(F.struct(F.lit("driver").alias("seat_position"), F.lit(0).alias("at")), F.struct(F.lit("passenger").alias("seat_position"), F.when(F.col("two_sides"), 4).otherwise(2).alias("at")))).otherwise(F.array(F.struct(seat.alias("seat_position"), F.lit(0).alias("at"))))

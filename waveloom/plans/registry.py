@@ -160,9 +160,9 @@ def unpivot_long(spark, sf_dir):
     return relational.unpivot(s, ["s_suppkey"], ["balance", "nation"])
 
 
-@query("""SELECT user_id, arg_min(value, event_id) FILTER (event_type = 'click') AS click, arg_min(value, event_id) FILTER (event_type = 'view') AS view, arg_min(value, event_id) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1""")
+@query("""SELECT user_id, arg_min(value, event_id) FILTER (event_type = 'click') AS click, arg_min(value, event_id) FILTER (event_type = 'view') AS view, arg_min(value, event_id) FILTER (event_type = 'purchase') AS purchase, arg_min(value, event_id) FILTER (event_type = 'signup') AS signup, arg_min(value, event_id) FILTER (event_type = 'error') AS error FROM events GROUP BY 1""")
 def pivot_first_non_null(spark, sf_dir):
-    return relational.first_values(table(spark, sf_dir, "events"), "user_id", "event_type", "value", "event_id", ["click", "view", "purchase"])
+    return relational.first_values(table(spark, sf_dir, "events"), "user_id", "event_type", "value", "event_id", ["click", "view", "purchase", "signup", "error"])
 
 
 @query("""SELECT c_nationkey, count_if(c_mktsegment = 'BUILDING') AS "BUILDING", count_if(c_mktsegment = 'MACHINERY') AS "MACHINERY" FROM customer GROUP BY 1""")
@@ -515,10 +515,10 @@ def hybrid_similarity(spark, sf_dir):
     return rounded(neighbour_path(vectors(spark, sf_dir), "id", "e").select("a", "rank", "b", "similarity", "hybrid_distance"))
 
 
-@query(f"""WITH {VECTORS} SELECT label, count(*) AS n, round(avg(e[1]), 6) AS c1, round(avg(e[2]), 6) AS c2, round(avg(n), 6) AS mean_norm FROM v GROUP BY 1""")
+@query(f"""WITH {VECTORS}, u AS (SELECT label, n, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v) SELECT label, CAST(i - 1 AS INTEGER) AS i, count(*) AS n, round(avg(x), 6) AS centre FROM u GROUP BY 1, 2""")
 def centroids(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("label", F.col("e")[0].alias("c1"), F.col("e")[1].alias("c2"), F.sqrt(similarity.dot("e", "e")).alias("mean_norm"))
-    return rounded(similarity.centroids(v, "label", ["c1", "c2", "mean_norm"]))
+    out = similarity.centroids(vectors(spark, sf_dir), "label", "e")
+    return rounded(out.select("label", "n", F.posexplode("centre").alias("i", "centre")))
 
 
 @query(f"""WITH {VECTORS}, m AS (SELECT a.id AS a, a.label AS la, b.label AS lb, avg(list_distance(a.e, b.e)) AS m FROM v a JOIN v b ON a.id <> b.id GROUP BY 1, 2, 3), s AS (SELECT a, la, max(m) FILTER (la = lb) AS own, min(m) FILTER (la <> lb) AS other FROM m GROUP BY 1, 2)

@@ -84,10 +84,9 @@ def outlier_flags(spark, sf_dir):
     return rounded(similarity.outliers(c, "v", "ratio", "label", far=1.2).select("id", "robust_distance", "is_outlier", "outlier_score"))
 
 
-@query(f"""WITH {VECTORS}, c AS (SELECT label, avg(e[1]) AS a, avg(e[2]) AS b FROM v GROUP BY 1) SELECT id, round(sqrt((e[1] - a) * (e[1] - a) + (e[2] - b) * (e[2] - b)), 6) AS centroid_distance FROM v JOIN c USING (label)""")
+@query(f"""WITH {VECTORS}, u AS (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v), c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM u GROUP BY 1, 2) GROUP BY 1) SELECT id, round(list_distance(e, c), 6) AS centroid_distance FROM v JOIN c USING (label)""")
 def centroid_distances(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("id", "label", F.col("e")[0].alias("a"), F.col("e")[1].alias("b"))
-    return rounded(similarity.centroid_distances(v, "label", ["a", "b"]).select("id", "centroid_distance"))
+    return rounded(similarity.centroid_distances(vectors(spark, sf_dir), "label", "e").select("id", "centroid_distance"))
 
 
 @query("""WITH n AS (SELECT o_orderkey, 'closed' AS state, 1 AS version FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT o_orderkey, o_orderstatus AS state FROM orders) SELECT o_orderkey, state, NULL::INTEGER AS version FROM o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT o_orderkey, state, version FROM n""")

@@ -11,8 +11,3 @@ def ingest_new(spark: SparkSession, source: str, schema: str, checkpoint: str, w
     """Give every batch of files not seen before to ``work`` and stop when there are none left."""
     stream = spark.readStream.format(fmt).schema(schema).load(source)
     stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def record_run(spark: SparkSession, path: str, name: str, started: str, finished: str, notes: str) -> None:
-    """Append one run to the table of runs."""
-    spark.createDataFrame([(name, started, finished, notes)], "name string, started string, finished string, notes string").write.mode("append").parquet(path)
