@@ -90,11 +90,17 @@ def suffix_texts(base: DataFrame, representatives: DataFrame) -> DataFrame:
     return passages.joined(base, asked, "inner").mapInArrow(run, "suffix binary, left binary, head binary, doc_id long, g long, c long, large boolean")
 
 
-def _grid(texts: list[list[bytes]], width: int, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The words of each text as numbers, equal for equal words, zero behind the last; and how many there are."""
-    counts = np.array([len(t) for t in texts])
-    grid = np.zeros((len(texts), width), np.int64)
-    grid[np.arange(width) < counts[:, None]] = [ids.setdefault(w, len(ids) + 1) for t in texts for w in t]
+def _grid(texts: pa.ChunkedArray, width: int, ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each text as numbers, equal for equal words, zero behind the last; and how many there are. Only the numbers are held."""
+    grid, counts = np.zeros((len(texts), width), np.int32), np.zeros(len(texts), np.int64)
+    at = 0
+    for chunk in texts.chunks:
+        for lo in range(0, len(chunk), 1024):
+            for text in chunk.slice(lo, 1024).to_pylist():
+                words = text.split()
+                grid[at, : len(words)] = [ids.setdefault(w, len(ids) + 1) for w in words]
+                counts[at] = len(words)
+                at += 1
     return grid, counts
 
 
@@ -105,7 +111,7 @@ def first_owners(right: np.ndarray, n_right: np.ndarray, left: np.ndarray, n_lef
     out, side = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
     for o in range(LEFT + 1):
         if o:  # one word further to the left
-            side = np.unique(side * (left.max(initial=0) + 1) + left[:, o - 1], return_inverse=True)[1]
+            side = np.unique(side * (int(left.max(initial=0)) + 1) + left[:, o - 1], return_inverse=True)[1]
         has = np.flatnonzero((n_left >= o) & (n_right >= WINDOW - o))
         stretch = np.cumsum(np.r_[0, shared < WINDOW - o]) if len(doc) else side
         found, back = np.unique((stretch * len(doc) + side)[has], return_inverse=True)
@@ -123,27 +129,26 @@ def compare_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     cut: of large groups, and of one that turns out to be more than is compared at once."""
     def compare(rows: pa.Table, cut: str, last: bool) -> tuple[list[pa.RecordBatch], int]:
         """What is found, and where the group starts that may go on; ``cut``: the first group may have begun before, in this range (inside) or in the one before it (start)."""
-        suffix, left = ([t.split() for t in rows.column(c).to_pylist()] for c in ("suffix", "left"))
         ids: dict[bytes, int] = {}
-        (a, n_right), (b, n_left) = _grid(suffix, WINDOW, ids), _grid(left, LEFT, ids)
+        (a, n_right), (b, n_left) = (_grid(rows.column(c), w, ids) for c, w in (("suffix", WINDOW), ("left", LEFT)))
         new = np.r_[True, (a[1:, :GRAM] != a[:-1, :GRAM]).any(axis=1)]
         starts = np.flatnonzero(new)
         group = np.cumsum(new) - 1
-        whole = int(starts[-1]) if not last else len(suffix)
-        open_ = np.zeros(len(suffix), bool)
+        whole = int(starts[-1]) if not last else len(a)
+        open_ = np.zeros(len(a), bool)
         large = np.asarray(rows.column("large").combine_chunks().cast(pa.int8())).astype(bool)
         if cut:
             open_ |= (group == 0) & (large | (cut == "inside"))
         if last:
             open_ |= (group == group[-1]) & large
         if not whole:  # one group, larger than what is compared at once
-            whole, open_[:] = len(suffix), True
+            whole, open_[:] = len(a), True
         doc, g, c = (np.asarray(rows.column(x).combine_chunks())[:whole] for x in ("doc_id", "g", "c"))
         mask = first_owners(a[:whole], n_right[:whole], b[:whole], n_left[:whole], doc)
         at = np.flatnonzero(mask)
         found = [{"g": g[at], "c": c[at], "mask": mask[at]}]
         for k in np.flatnonzero(open_[:whole]).tolist():
-            h = common.word_hashes([*left[k][::-1], *suffix[k]])
+            h = common.word_hashes([*rows.column("left")[k].as_py().split()[::-1], *rows.column("suffix")[k].as_py().split()])
             o = n_left[k] - np.arange(max(0, len(h) - WINDOW + 1))
             own = np.flatnonzero(mask[k] >> o & 1 == 0)  # of equal windows here only the smallest document's is sent on
             w1, w2 = common.sequence_hashes(h, WINDOW)[own], common.sequence_hashes(h, WINDOW, SECOND_SALT)[own]
