@@ -221,3 +221,49 @@ def test_decontamination(spark, docs, no_docs):
     kept = decontaminate.drop_contaminated(everything, items)
     assert kept.count() == everything.count() - len({d for d, _ in want}) and kept.columns == everything.columns
     assert decontaminate.contained(no_docs, items).count() == 0 and decontaminate.contained(docs, items.limit(0)).count() == 0
+
+
+def learned(monkeypatch, docs, **sizes):
+    """What ``fit`` learns from, and the model."""
+    seen, of = {}, language.LanguageModel.of
+    monkeypatch.setattr(language.LanguageModel, "of", lambda texts: (seen.update(texts), of(texts))[1])
+    return language.fit(docs, **sizes), seen
+
+
+def test_language_sample_is_bounded_in_characters(spark, monkeypatch):
+    rows = [(3 * i, "abc " * (10 + i), "en") for i in range(60)] + [(i, "xyz " * 9000, "de") for i in range(60)] + [(200 + i, "pq " * 40, "fr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, seen = learned(monkeypatch, docs, sample_docs=20, usual_chars=300, sample_chars=1000)
+    assert 700 <= len(seen["en"]) <= 1000 + 20 and len(seen["de"]) == 1001 and 880 <= len(seen["fr"]) <= 1000 + 20
+    monkeypatch.setattr(language, "MODEL_BYTES", 1 << 12)
+    with pytest.raises(ValueError):
+        language.LanguageModel.of({"a": "abcdefgh" * 99})
+
+
+def test_language_against_substring_search(spark, sf_dir, monkeypatch):
+    """Choice and score of whole documents, many of them longer than a stretch, by looking phrases up in the learned text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model, texts = learned(monkeypatch, docs, sample_docs=5)
+    data = {x: language.folded(t) for x, t in texts.items()}
+    rows = [r for r in docs.filter("doc_id % 5 = 0").select("doc_id", "text").collect() if r.text and any(c.isalpha() for c in r.text) and len(r.text) < 6000]
+    assert sum(len(r.text) > 1100 for r in rows) > 5
+
+    def phrases(text, known):
+        n = 0
+        for lo in range(0, len(text), language.STRETCH):
+            part, at = text[lo : lo + language.STRETCH], 0
+            while at < len(part):
+                size = 0
+                while at + size < len(part) and part[at : at + size + 1] in known:
+                    size += 1
+                # A letter that the language never showed ends the phrase that it stands in.
+                size += at + size < len(part) and part[at + size : at + size + 1] not in known
+                n, at = n + 1, at + size
+        return n
+
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, model).collect()}
+    for r in rows:
+        text = language.folded(r.text)
+        bits = {x: phrases(text, known) * np.log2(len(known) + 1) / len(text) for x, known in data.items()}
+        first, second = sorted((b, x) for x, b in bits.items())[:2]
+        assert got[r.doc_id][0] == first[1] and got[r.doc_id][1] == pytest.approx(min(1, max(0, 1 - first[0] / second[0])))

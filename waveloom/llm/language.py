@@ -23,6 +23,8 @@ from . import common
 
 STRETCH = 1024
 UNKNOWN = "und"
+#: Bytes of the table of automata at most; its entries are 32-bit offsets, which such a table never exceeds.
+MODEL_BYTES = 1 << 29
 
 
 def suffix_automaton(data: bytes) -> list[dict[int, int]]:
@@ -84,6 +86,8 @@ class LanguageModel:
         width, tables, roots, base = len(seen) + 2, [], [], 0
         for x in data:
             step = suffix_automaton(x)
+            if 4 * (base + len(step) * width) > MODEL_BYTES:
+                raise ValueError(f"the automata of {len(languages)} languages take more than {MODEL_BYTES} bytes: learn from less text")
             t = np.full((len(step), width), -1, np.int64)
             for s, to in enumerate(step):
                 for c, q in to.items():
@@ -146,21 +150,26 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_docs: int = 24, usual_chars: int = 1500) -> LanguageModel:
-    """Learn from a bounded sample of whole documents: of each language ``sample_docs`` labelled ones, those of at most
-    ``usual_chars`` characters first, in an order that their doc_id's hash gives, then the shortest of the longer ones.
+def fit(docs: DataFrame, sample_docs: int = 24, usual_chars: int = 1500, sample_chars: int = 100_000) -> LanguageModel:
+    """Learn from a bounded sample of documents: of each language ``sample_docs`` labelled ones, those of at most
+    ``usual_chars`` characters first, in an order that their doc_id's hash gives, then the shortest of the longer ones, as
+    far as they have ``sample_chars`` characters together. Documents count whole; only of a language whose shortest is longer
+    than that, its first ``sample_chars`` characters are learned from. Texts to be identified are never cut.
 
     Documents held out, and those without text, lang or doc_id, are not used; rows that repeat count once, and an empty
-    table gives a model that knows no language. The model's size is bounded by the sample, whatever the number of rows.
+    table gives a model that knows no language. So the driver gets ``sample_chars`` characters a language at most, whatever the
+    number of rows and their lengths; a model beyond ``MODEL_BYTES`` (very many languages) raises ValueError.
     """
     usable = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
     # First within many cuts of each language, then among what those leave: a language may hold most of the rows.
     order = "chars", F.xxhash64("doc_id"), "doc_id", "key"
-    some = usable.select("doc_id", "lang", F.greatest(F.length("text"), F.lit(usual_chars)).alias("chars"), F.xxhash64("text").alias("key")).distinct().withColumn("cut", F.pmod(F.hash("doc_id"), F.lit(64)))
+    some = usable.select("doc_id", "lang", F.greatest(F.length("text"), F.lit(usual_chars)).alias("chars"), F.length("text").alias("size"), F.xxhash64("text").alias("key")).distinct().withColumn("cut", F.pmod(F.hash("doc_id"), F.lit(64)))
     some = some.withColumn("place", F.row_number().over(Window.partitionBy("lang", "cut").orderBy(*order))).filter(F.col("place") <= sample_docs)
-    chosen = some.select("doc_id", "lang", "key", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("place")).filter(F.col("place") <= sample_docs)
-    # At most sample_docs rows a language.
-    rows = usable.select("doc_id", "lang", F.xxhash64("text").alias("key"), "text").join(F.broadcast(chosen), ["doc_id", "lang", "key"]).select("lang", "place", "text").distinct().collect()
+    ordered = Window.partitionBy("lang").orderBy(*order)
+    chosen = some.select("doc_id", "lang", "key", F.row_number().over(ordered).alias("place"), F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    chosen = chosen.filter((F.col("place") <= sample_docs) & ((F.col("place") == 1) | (F.col("upto") <= sample_chars))).drop("upto")
+    # At most sample_docs rows and sample_chars characters a language.
+    rows = usable.select("doc_id", "lang", F.xxhash64("text").alias("key"), "text").join(F.broadcast(chosen), ["doc_id", "lang", "key"]).select("lang", "place", F.substring("text", 1, sample_chars).alias("text")).distinct().collect()
     texts: dict[str, str] = {}
     for lang, _, text in sorted(rows):
         texts[lang] = texts.get(lang, "") + text + "\n"
