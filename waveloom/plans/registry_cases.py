@@ -9,7 +9,7 @@ from waveloom.functions import labels
 from waveloom.functions import text as T
 from waveloom.operators import channels, clusters, embedding, marts, mixed, relational, signal, similarity
 from waveloom.plans import modes, paths
-from waveloom.plans.registry import BY, ROWS, SERIES, VECTORS, W, query, result_rows, rounded, series, table, vectors, wide_series
+from waveloom.plans.registry import BY, ROWS, SERIES, VECTORS, W, query, result_rows, rounded, series, table, vectors
 from waveloom.session import kept
 
 
@@ -21,10 +21,20 @@ def derived_signals(spark, sf_dir):
     return out.select("case_id", "channel", "idx", F.when(F.col("channel").endswith("delta_v"), F.round("v", 2)).otherwise(F.round("v", 6)).alias("v"))
 
 
-@query("""SELECT p_partkey, '(' || p_name || ') A-pillar door, (mm)' AS clean, trim(regexp_replace(lower(p_name), '[^0-9a-z]+', ' ', 'g')) || ' a pillar door mm' AS canonical, CASE WHEN p_partkey % 3 = 0 THEN 'Nij ' || p_name ELSE '' END AS other FROM part""")
+#: What scanning broke and how it should read: one case of each pattern and of each joined word.
+BROKEN = (
+    *labels.JOINED, ("hea de r", "header"), ("head er", "header"), ("abdom en", "abdomen"), ("do or", "door"), ("d oor", "door"), ("k nee", "knee"), ("a nkle", "ankle"), ("an gle", "angle"), ("s ide", "side"), ("wind ow", "window"), ("win dow", "window"),
+    ("verti cal", "vertical"), ("hori zontal", "horizontal"), ("das h", "dash"), ("p oint", "point"), ("whee l", "wheel"), ("whe el", "wheel"), ("wh ee l", "wheel"), ("r oof", "roof"), ("seat-beltcrash", "seat belt crash"), ("headcontacts", "Head contacts"), ("A - pillar", "A-pillar"),
+)
+_MENDED = f"[{', '.join(chr(39) + good + chr(39) for _, good in BROKEN)}][p_partkey % {len(BROKEN)} + 1] || ' ' || p_name"
+
+
+@query(f"""SELECT p_partkey, '(' || p_name || ') A-pillar door, (mm)' AS clean, trim(regexp_replace(lower(p_name), '[^0-9a-z]+', ' ', 'g')) || ' a pillar door mm' AS canonical, CASE WHEN p_partkey % 3 = 0 THEN 'Nij ' || p_name ELSE '' END AS other, {_MENDED} AS mended, trim(regexp_replace(lower({_MENDED}), '[^0-9a-z]+', ' ', 'g')) AS mended_key FROM part""")
 def label_canonical(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumns({"raw": F.concat(F.lit("( "), "p_name", F.lit(" ) A - pillar do  or , ( mm ) 988 Dairy Road x")), "odd": F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("N "), "p_name", F.lit("  ij"))).otherwise("2013")})
-    return p.select("p_partkey", labels.clean_label("raw").alias("clean"), labels.canonical_label("raw").alias("canonical"), labels.clean_label("odd").alias("other"))
+    k = F.col("p_partkey")
+    broken = F.concat_ws(" ", F.element_at(F.array(*(F.lit(bad) for bad, _ in BROKEN)), (k % len(BROKEN) + 1).cast("int")), "p_name")
+    p = table(spark, sf_dir, "part").withColumns({"raw": F.concat(F.lit("( "), "p_name", F.lit(" ) A - pillar do  or , ( mm ) 988 Dairy Road x")), "odd": F.when(k % 3 == 0, F.concat(F.lit("N "), "p_name", F.lit("  ij"))).otherwise("2013"), "broken": broken})
+    return p.select("p_partkey", labels.clean_label("raw").alias("clean"), labels.canonical_label("raw").alias("canonical"), labels.clean_label("odd").alias("other"), labels.clean_label("broken").alias("mended"), labels.canonical_label("broken").alias("mended_key"))
 
 
 CHANNELS = """c AS (SELECT p_size AS case_id, p_partkey, CASE p_partkey % 9 WHEN 0 THEN p_name || '_RAW_data_time_axis' WHEN 1 THEN p_name || '_raw_data_time_axis_2' WHEN 4 THEN p_name || ' time' WHEN 5 THEN 'analysis_' || p_name WHEN 6 THEN p_name || ' upper_bound' ELSE p_name || p_partkey::VARCHAR END AS series_key,
@@ -153,11 +163,24 @@ def embedding_neighbours(spark, sf_dir):
     return rounded(embedding.view_neighbours(chosen, correlation, phases))
 
 
+#: The ten channels of the window features; each kind of event stands for two of them, by its number.
+TEN = ("vehicle_longitudinal_accel_g", "vehicle_lateral_accel_g", "vehicle_vertical_accel_g", "vehicle_resultant_accel_g", "seat_mid_deflection_mm", "seat_inner_deflection_mm", "foot_left_x_accel_g", "foot_left_z_accel_g", "foot_right_x_accel_g", "foot_right_z_accel_g")
+
+
+def ten_channels(spark, sf_dir):
+    """One row for each event of a user, its value in the column of one of ten channels."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), ((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 1e6 / 1e7).alias("t"), "value", "event_type", "event_id")
+    kinds = ("click", "view", "purchase", "signup", "error")
+    at = 2 * (F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")) - 1) + F.col("event_id") % 2
+    out = signal.numbered(e, ["case_id"], ["t", "event_id"]).withColumns({c: F.when(at == i, F.col("value")) for i, c in enumerate(TEN)})
+    return out.withColumns({"side": F.when(F.col("case_id") % 2 == 0, "driver").otherwise("passenger"), "v0": F.lit(17.0)})
+
+
 def _modes(spark, sf_dir, windows=signal.WINDOWS_MS):
-    features = signal.default_metrics(signal.window_metrics(wide_series(spark, sf_dir), ["case_id"], "side", "v0"), ["case_id"]).withColumn("cluster_input_flag", F.lit(1))
+    """Window features of the cases, made ready under the rules of eligibility and coverage as they stand."""
+    features = signal.default_metrics(signal.window_metrics(ten_channels(spark, sf_dir), ["case_id"], "side", "v0"), ["case_id"])
     outcome = result_rows(spark, sf_dir).groupBy("case_id").agg(F.avg("result_number").alias("outcome"))
-    # Events have five of the ten channels, so a smaller share of the features is asked for.
-    return modes.ready(features.join(outcome, "case_id", "left"), windows, coverage=0.3)
+    return modes.ready(features.join(outcome, "case_id", "left"), windows)
 
 
 @query()
