@@ -36,15 +36,15 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], by: list[str]
     tall = df.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)))).alias("m")).select(*keys, "m.c", "m.v")
     ranks = ranked_values(tall.withColumnsRenamed({"c": "_c", "v": "_v"}), [*keys, "_c"], "_v")
     start, end, last = F.col("start"), F.col("start") + F.col("n"), F.col("total") - 1
-    out = []
-    for name, (c, p) in wanted.items():
+    shares = sorted({p for _, p in wanted.values()})
+    of_column = []
+    for i, p in enumerate(shares):
         place = last * F.lit(float(p))
         low, high = F.floor(place), F.ceil(place)
-        mine = F.col("_c") == columns.index(c)
-        at = lambda rank, mine=mine: F.max(F.when(mine & (start <= rank) & (rank < end), F.col("_v")))
-        share = F.max(F.when(mine, place - low))
-        out.append((at(low) + (at(high) - at(low)) * share).alias(name))
-    found = ranks.groupBy(*keys).agg(*out)
+        at = lambda rank: F.max(F.when((start <= rank) & (rank < end), F.col("_v")))
+        of_column.append((at(low) + (at(high) - at(low)) * F.max(place - low)).alias(f"_q{i}"))
+    each = ranks.groupBy(*keys, "_c").agg(*of_column)
+    found = each.groupBy(*keys).agg(*(F.max(F.when(F.col("_c") == columns.index(c), F.col(f"_q{shares.index(p)}"))).alias(name) for name, (c, p) in wanted.items()))
     if not by:
         return found
     # Groups without a value in any column are kept.

@@ -326,30 +326,41 @@ def triangle(parts: list[np.ndarray]) -> np.ndarray:
     return np.linalg.qr(np.concatenate(parts), mode="r")
 
 
-def matrix_over(rows: DataFrame, work: Callable[[np.ndarray], np.ndarray], join: Callable[[list[np.ndarray]], np.ndarray], width: int, column: str = "v") -> np.ndarray | None:
-    """What ``join`` makes of the matrices of ``width`` columns that ``work`` makes of batches of vectors; None without vectors.
+def matrices_over(rows: DataFrame, works: dict[str, tuple[Callable[[np.ndarray], np.ndarray], int]], join: Callable[[list[np.ndarray]], np.ndarray]) -> dict[str, np.ndarray]:
+    """For each column of vectors what ``join`` makes of the matrices that its work (function, number of columns) makes of batches; one pass for all.
 
     A task joins its own, a few tasks join those, and the driver joins what they send: one matrix each."""
+    def sent(found: dict[str, np.ndarray]):
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([np.ascontiguousarray(m, float).tobytes() for m in found.values()], pa.binary())], ["c", "m"])
+
     def first(batches):
-        total = None
+        total: dict[str, np.ndarray] = {}
         for batch in batches:
-            vectors = batch.column(column).drop_null()
-            if len(vectors):
-                part = work(np.asarray(vectors.flatten()).reshape(len(vectors), -1))
-                total = part if total is None else join([total, part])
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(total, float).tobytes()], pa.binary())], ["m"])
+            for c, (work, _) in works.items():
+                vectors = batch.column(c).drop_null()
+                if len(vectors):
+                    part = work(np.asarray(vectors.flatten()).reshape(len(vectors), -1))
+                    total[c] = join([total[c], part]) if c in total else part
+        yield sent(total)
+
+    def joined(pairs) -> dict[str, np.ndarray]:
+        found: dict[str, list[np.ndarray]] = {}
+        for c, m in pairs:
+            found.setdefault(c, []).append(np.frombuffer(m, float).reshape(-1, works[c][1]))
+        return {c: join(parts) for c, parts in found.items()}
 
     def second(batches):
-        found = [np.frombuffer(m, float).reshape(-1, width) for batch in batches for m in batch.column("m").to_pylist()]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(join(found), float).tobytes()], pa.binary())], ["m"])
+        yield sent(joined(p for batch in batches for p in zip(batch.column("c").to_pylist(), batch.column("m").to_pylist(), strict=True)))
 
-    parts = rows.select(column).mapInArrow(first, "m binary")
+    parts = rows.select(*works).mapInArrow(first, "c string, m binary")
     if (n := parts.rdd.getNumPartitions()) > 32:
-        parts = parts.repartition(math.isqrt(n)).mapInArrow(second, "m binary")
-    found = [np.frombuffer(r["m"], float).reshape(-1, width) for r in parts.collect()]  # a matrix for each of a few tasks
-    return join(found) if found else None
+        parts = parts.repartition(math.isqrt(n)).mapInArrow(second, "c string, m binary")
+    return joined((r["c"], r["m"]) for r in parts.collect())  # a matrix a column for each of a few tasks
+
+
+def matrix_over(rows: DataFrame, work: Callable[[np.ndarray], np.ndarray], join: Callable[[list[np.ndarray]], np.ndarray], width: int, column: str = "v") -> np.ndarray | None:
+    """``matrices_over`` for one column; None without vectors."""
+    return matrices_over(rows, {column: (work, width)}, join).get(column)
 
 
 Medoids = dict[int, list[tuple[int, list[float]]]]
