@@ -28,7 +28,7 @@ from .passages import GRAM, WINDOW
 
 LEFT = WINDOW - GRAM
 #: Suffixes that are compared at once.
-CHUNK = 1 << 15
+CHUNK = 1 << 17
 #: Stand for the words before and behind a text.
 BEFORE, BEHIND = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 CONTEXT_SALT, SECOND_SALT = 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D
