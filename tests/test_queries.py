@@ -3,7 +3,7 @@
 import pytest
 
 from tests.conftest import same
-from waveloom.plans import registry, registry_cases, registry_more, registry_reviews  # noqa: F401
+from waveloom.plans import registry, registry_cases, registry_more, registry_reviews, registry_sheets  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
