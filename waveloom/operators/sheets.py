@@ -27,9 +27,22 @@ def _c(i: int) -> Column:
     return F.col(f"c{i}")
 
 
+def _number(c: Column | str) -> Column:
+    """Sheets have no exponents: ``setup 7`` is 7."""
+    return T.plain_number(c, exponent=False)
+
+
+def _share(c: Column) -> Column:
+    return F.when(F.trim(c).endswith("%"), _number(c) / 100).otherwise(_number(c))
+
+
+def _slug(c: Column | str) -> Column:
+    return T.slug(c, percent=True)
+
+
 def _metric(name: Column | str, text: Column, unit: str | None = None, number: Column | None = None) -> Column:
     name = F.lit(name) if isinstance(name, str) else name
-    number = T.plain_number(text) if number is None else number
+    number = _number(text) if number is None else number
     return F.struct(name.alias("metric"), text.alias("value_text"), number.cast("double").alias("value_number"), F.lit(unit).cast("string").alias("unit"))
 
 
@@ -49,7 +62,7 @@ def roles(sheets: DataFrame) -> DataFrame:
     The sheet of the geometry is named as the test, or else begins with its code."""
     plain, name = F.col("kind") == "worksheet", T.collapse("sheet")
     first = lambda rule: F.min_by("sheet", F.when(rule, F.struct("position", "sheet")))
-    slug = T.slug("sheet")
+    slug = _slug("sheet")
     found = sheets.groupBy("workbook").agg(
         first(slug.contains("summary") & plain).alias("summary"), first((slug == "ratings_chart_data") & plain).alias("ratings"), first((slug == "das") & plain).alias("das"), first((slug == "sensor_channels") & plain).alias("sensors"),
         F.coalesce(first(F.upper(name) == F.col("test_code")), first(F.startswith(name, F.col("test_code")))).alias("geometry"), first(F.col("sheet") == "SEAT INFORMATION").alias("seat"))
@@ -69,15 +82,15 @@ def summary(rows: DataFrame) -> DataFrame:
         F.when(F.col("row") == 1, _metric("test_description", _c(1), number=F.lit(None))), F.when((F.col("row") == 2) & _c(0).isNotNull(), _metric("actual_test_impact_speed_kmh", _c(1), "km/h")))).alias("m"))
     head = head.filter("m.value_text IS NOT NULL").select(*SHEET, F.col("row").cast("long").alias("row"), F.lit("excel_summary").alias("family"), "m.*")
     above = Window.partitionBy(*SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.last(F.when(_c(1).isNotNull(), T.slug("c0")), True).over(above)
-    base = T.slug(F.concat_ws("_", F.when(F.col("section") != "", F.col("section")), "c1"))
+    section = F.last(F.when(_c(1).isNotNull(), _slug("c0")), True).over(above)
+    base = _slug(F.concat_ws("_", F.when(F.col("section") != "", F.col("section")), "c1"))
     body = rows.filter("row >= 3").withColumn("section", section).filter(~F.lower("c1").contains("reference value")).withColumn("base", base).filter("base != ''")
     return head.unionByName(_long(body, "excel_summary", F.array(*(_metric(F.concat("base", F.lit(f"_{k}")), _c(i)) for k, i in SUMMARY_COLUMNS.items()))))
 
 
 def ratings(rows: DataFrame) -> DataFrame:
     """Values and boundaries of ratings; sheets of ten columns or more have the label in the second column, then values stand farther right."""
-    body = rows.withColumns({"width": F.max("last_col").over(Window.partitionBy(*SHEET)) + 1, "base": T.slug(F.coalesce("c1", "c0"))}).filter("row >= 2 AND base IS NOT NULL")
+    body = rows.withColumns({"width": F.max("last_col").over(Window.partitionBy(*SHEET)) + 1, "base": _slug(F.coalesce("c1", "c0"))}).filter("row >= 2 AND base IS NOT NULL")
     at = (F.col("width") > 9) & _c(1).isNotNull()
     return _long(body, "excel_ratings", F.array(*(_metric(F.concat("base", F.lit(f"_{k}")), F.when(at, _c(RATINGS_WIDE[k])).otherwise(_c(RATINGS_NARROW[k]))) for k in RATINGS_WIDE)))
 
@@ -86,7 +99,7 @@ def das(rows: DataFrame, sensors: DataFrame) -> DataFrame:
     """The recorder's head lines, and sums over its modules and sensor channels."""
     name = F.coalesce(*(F.when(F.lower("c0") == k, F.lit(v)) for k, v in DAS_LABELS.items()))
     heads = _long(rows.filter("row < 8").withColumn("name", name).filter("name IS NOT NULL"), "excel_das_summary", F.array(_metric(F.col("name"), _c(2))))
-    modules = rows.filter("row >= 7 AND c0 IS NOT NULL").groupBy(*SHEET).agg(F.count("*").alias("modules"), F.sum(F.regexp_extract("c13", r"^(\d+)", 1).try_cast("long")).alias("active"), F.min(T.plain_number("c8")).alias("rate"))
+    modules = rows.filter("row >= 7 AND c0 IS NOT NULL").groupBy(*SHEET).agg(F.count("*").alias("modules"), F.sum(F.regexp_extract("c13", r"^(\d+)", 1).try_cast("long")).alias("active"), F.min(_number("c8")).alias("rate"))
     active = F.when(F.col("active") > 0, F.col("active"))
     totals = _long(modules, "excel_das_summary", F.array(_measured(F.lit("module_count"), F.col("modules"), "modules"), _measured(F.lit("active_channel_total"), active, "channels"), _measured(F.lit("sample_rate_hz"), F.col("rate"), "Hz")), None)
     channels = sensors.filter(_c(0).rlike(r"^\d+$")).groupBy(*SHEET).agg(F.count("*").alias("n"))
@@ -97,11 +110,11 @@ def geometry(rows: DataFrame) -> DataFrame:
     """Intrusion at each measured point, in mm. The newer layout has three values before, three after, three differences, the
     resultant and the lengthwise intrusion side by side; the older one has the values after from the eleventh column on, and
     differences and resultant are worked out. A row that fits neither is none; one that fits both is of the newer layout."""
-    numbers = {f"n{i}": T.plain_number(_c(i)) for i in range(2, 13)}
+    numbers = {f"n{i}": _number(_c(i)) for i in range(2, 13)}
     n = [F.col(f"n{i}") for i in range(2, 13)]
     at = lambda i: n[i - 2]
     whole = lambda *places: F.expr(" AND ".join(f"n{i} IS NOT NULL" for i in places))
-    body = rows.withColumns(numbers | {"label": F.coalesce("c1", "c0")}).withColumns({"base": T.slug("label"), "newer": whole(2, 3, 4, 5, 6, 7), "older": whole(2, 3, 4, 10, 11, 12)})
+    body = rows.withColumns(numbers | {"label": F.coalesce("c1", "c0")}).withColumns({"base": _slug("label"), "newer": whole(2, 3, 4, 5, 6, 7), "older": whole(2, 3, 4, 10, 11, 12)})
     body = body.filter(F.col("label").isNotNull() & ~F.col("base").isin(*GEOMETRY_HEADS) & (F.col("newer") | F.col("older")))
     for k, axis in enumerate("xyz"):
         after = F.when(F.col("newer"), at(5 + k)).otherwise(at(10 + k))
@@ -115,7 +128,7 @@ def geometry(rows: DataFrame) -> DataFrame:
 
 def seat(rows: DataFrame) -> DataFrame:
     """Adjustment of the seat: a label and the value to its right."""
-    return _long(rows, "excel_umtri", F.array(*(F.when(_c(1) == k, _metric(T.slug("c1"), _c(2), unit)) for k, unit in SEAT_LABELS.items())))
+    return _long(rows, "excel_umtri", F.array(*(F.when(_c(1) == k, _metric(_slug("c1"), _c(2), unit)) for k, unit in SEAT_LABELS.items())))
 
 
 def workbook_metrics(cells: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -131,7 +144,7 @@ def environment(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     own = cells.join(firsts, SHEET)
     heads = own.filter("row = 0").groupBy(*SHEET, F.col("col")).agg(F.max("text").alias("head"))
     value = lambda head: F.max(F.when(F.col("head") == head, F.trim("text")))
-    body = own.filter("row > 0").join(heads, [*SHEET, "col"], "left").groupBy(*SHEET, "row").agg(value("Temperature(F)").try_cast("double").alias("t"), T.share(value("Humidity")).alias("h"), F.try_to_timestamp(F.concat_ws(" ", value("Date"), value("Time"))).alias("at"), F.nullif(value("Location"), F.lit("")).alias("place"))
+    body = own.filter("row > 0").join(heads, [*SHEET, "col"], "left").groupBy(*SHEET, "row").agg(value("Temperature(F)").try_cast("double").alias("t"), _share(value("Humidity")).alias("h"), F.try_to_timestamp(F.concat_ws(" ", value("Date"), value("Time"))).alias("at"), F.nullif(value("Location"), F.lit("")).alias("place"))
     sums = body.groupBy(*SHEET).agg(F.count("*").alias("n"), F.avg("t").alias("mean"), F.min("t").alias("least"), F.max("t").alias("most"), F.avg("h").alias("humidity"), F.min("at").alias("start"), F.max("at").alias("end"), F.min_by("place", F.when(F.col("place").isNotNull(), F.col("row"))).alias("place"))
     text = lambda name, c: _metric(name, c.cast("string"), number=F.lit(None))
     return _long(sums, "excel_environment", F.array(
