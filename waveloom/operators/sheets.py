@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveloom.functions import text as T
+from waveloom.session import kept
 
 WIDTH = 14
 SHEET = ["workbook", "sheet"]
@@ -133,7 +134,7 @@ def seat(rows: DataFrame) -> DataFrame:
 
 def workbook_metrics(cells: DataFrame, sheets: DataFrame) -> DataFrame:
     """(workbook, sheet, row, family, metric, value_text, value_number, unit) of all sheets that have a role; sums have no row."""
-    rows = wide_rows(cells.join(roles(sheets), SHEET, "left_semi")).join(roles(sheets), SHEET)
+    rows = kept(wide_rows(cells.join(roles(sheets), SHEET, "left_semi")).join(roles(sheets), SHEET), "sheet-rows")
     of = lambda role: rows.filter(F.col("role") == role)
     return summary(of("summary")).unionByName(ratings(of("ratings"))).unionByName(das(of("das"), of("sensors"))).unionByName(geometry(of("geometry"))).unionByName(seat(of("seat")))
 
