@@ -124,3 +124,37 @@ def test_posts_stream():
         got = [p for b in near_copies.shared_posts(iter(parts)) for p in zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), strict=True)]
         assert len(got) == len(set(got)) and set(got) == want
         assert {p for b in near_copies.neighbour_pairs(iter(parts)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)} == set(whole)
+
+
+def test_fingerprints_link_near_copies(spark, monkeypatch):
+    """With the exact search switched off, BK-trees over fingerprints alone still find near copies."""
+    rows = []
+    for k in range(20):
+        words = phrase(300 + k, 300).split()
+        rows.append((100 * k, " ".join(words)))
+        for j in range(1, 4):
+            words[97 * j] = f"x{k}y{j}"
+            rows.append((100 * k + j, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(near_copies, "neighbour_pairs", lambda batches: iter(()))
+    monkeypatch.setattr(near_copies, "open_pairs", lambda rows: iter(()))
+    lost = plain(rows)
+    assert len(lost) == 60 and left(spark, docs) == Counter(d for d, _ in rows if d not in lost)
+
+
+def test_fingerprint_pairs(spark):
+    """Pairs connect the classes of a shingle whose fingerprints are within the radius, small trees only their own members; equal fingerprints are one."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 6)
+    fps = np.unique([int(b) ^ sum(1 << int(i) for i in rng.choice(62, rng.integers(0, 9), replace=False)) for b in base for _ in range(30)])
+    prints = [(int(c), int(f)) for c, f in enumerate(np.concatenate([fps, fps[:10]]))]
+    posts = [(h, c) for c, _ in prints for h in (c % 2, 7)]
+    of = dict(prints)
+    frames = spark.createDataFrame(posts, "h long, cls long"), spark.createDataFrame(prints, "cls long, fp long")
+    for radius, size in ((6, 1000), (16, 1000), (6, 8)):
+        got = [tuple(r) for r in near_copies.fingerprint_pairs(*frames, radius, size).collect()]
+        assert len(got) == len(set(got)) and all(a < b and (of[a] ^ of[b]).bit_count() <= radius for a, b in got)
+        near = [(a, b) for a, x in prints for b, y in prints if a < b and (x ^ y).bit_count() <= (radius if size == 1000 else 0)]
+        joint = joined(got, of)
+        assert all(joint[a] == joint[b] for a, b in near)
+        assert size == 1000 or len(got) > 10

@@ -92,3 +92,10 @@ def test_bits_of_many_shingles():
 def test_radius_is_inclusive(spark):
     fps = spark.createDataFrame([(0,), (7,), (15,)], "fp long")
     assert simhash.near_links(fps).filter((F.col("a") == 7) | (F.col("b") == 7)).count() >= 1
+
+
+def test_links_are_near(spark):
+    """Each link itself is within the radius, not only joined to it by others."""
+    values = [sum(1 << (3 * k + i) for i in range(3)) for k in range(8)] + [0, *(sum(1 << i for i in range(n)) for n in range(6, 40, 3))]
+    links = simhash.near_links(spark.createDataFrame([(v,) for v in set(values)], "fp long")).collect()
+    assert links and all((a ^ b).bit_count() <= 3 for a, b in links)

@@ -1,14 +1,19 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 A set of n shingles, put in any order that all sets share, has a prefix of n - ceil(0.8 n) + 1: two sets as similar as
-that have their first common shingle in both prefixes, so the pairs that meet on a prefix shingle miss none. What meets is
-then verified on the whole sets. Shingles that a sample of texts has often come last in the order, which keeps boilerplate
-out of the prefixes; the sample changes the cost, never the result. Equal sets are one class before anything is searched.
-
-Groups are searched twice: first neighbours in size only, then all pairs that the links so found leave in different
-components. A pair is let go before its texts are read if its sets' parity sketches differ in more bits than the sets may
-differ in shingles: each shingle flips one bit, so the sketches never differ in more bits than that. So a large group of
-near copies costs its rows and not their square. Shingles are compared by 64-bit hashes.
+that have their first common shingle in both prefixes, so the pairs that meet on a prefix shingle miss none. Shingles that a
+sample of texts has often come last in the order, which keeps boilerplate out of the prefixes; the sample changes the cost,
+never the result. Equal sets are one class before anything is searched.
+
+Classes are linked as ``simhash`` links documents, by 64-bit fingerprints and BK-trees, but of five-word shingles: the classes
+of a prefix shingle are a shard, since blocks of bits do not tell fingerprints apart at the radius that 0.8 needs. Links are
+verified on the whole sets. As no radius is sure to hold all pairs, what the fingerprints leave in different components is
+then searched exactly.
+
+For that, the groups of a prefix shingle are searched twice: first neighbours in size only, then all pairs that the links so
+found leave in different components. A pair is let go before its texts are read if its sets' parity sketches differ in more
+bits than the sets may differ in shingles: each shingle flips one bit, so the sketches never differ in more bits than that. So
+a large group of near copies costs its rows and not their square. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,9 +28,13 @@ from xxhash import xxh64_intdigest
 
 from . import common
 from .components import connected_components
-from .simhash import FOLD
+from .simhash import FOLD, fingerprints, shard_links
 
 SHINGLE = 5
+#: Bits that fingerprints of linked classes may differ in: sets of a similarity of 0.8 differ in some ten, others in some 32.
+RADIUS = 16
+#: Fingerprints of a BK-tree.
+TREE = 1024
 #: Counts that order the shingles; their number is fixed, since they need only tell common shingles from rare ones.
 BUCKET_BITS = 20
 POST = "h long, n long, place long, cls long"
@@ -70,13 +79,15 @@ def shingle_counts(docs: DataFrame, one_in: int = 16) -> np.ndarray:
 
 
 def with_prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls, n, prefix, s0 ..) of each row of ``docs`` (doc_id, text): the class of its shingle set, the set's size, prefix and sketch."""
+    """(doc_id, cls, n, fp, prefix, s0 ..) of each row of ``docs`` (doc_id, text): the class of its shingle set, the set's size, the fingerprint, the set's prefix and sketch."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.text_slices(batches, limit=4 << 20):
             cls, n, prefixes, sketches = [], [], [], []
-            for text in batch.column("text").to_pylist():
+            texts = batch.column("text").to_pylist()
+            fps = common.signed(fingerprints(texts, SHINGLE))
+            for text in texts:
                 h = shingle_set(text)
                 cls.append(xxh64_intdigest(h.tobytes()))
                 n.append(len(h))
@@ -84,10 +95,10 @@ def with_prefixes(docs: DataFrame) -> DataFrame:
                 prefixes.append(h[np.argsort(counts.value[_bucket(h)], kind="stable")][: len(h) - (4 * len(h) + 4) // 5 + 1])
             ends = np.cumsum([0, *map(len, prefixes)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(common.signed(np.concatenate(prefixes))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(common.signed(np.array(cls, np.uint64))), pa.array(n, pa.int64()), lists, *map(pa.array, np.stack(sketches, axis=1))], names=["doc_id", "cls", "n", "prefix", *SKETCHES])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(common.signed(np.array(cls, np.uint64))), pa.array(n, pa.int64()), pa.array(fps), lists, *map(pa.array, np.stack(sketches, axis=1))], names=["doc_id", "cls", "n", "fp", "prefix", *SKETCHES])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, cls long, n long, prefix array<long>, " + ", ".join(f"{c} long" for c in SKETCHES))
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, cls long, n long, fp long, prefix array<long>, " + ", ".join(f"{c} long" for c in SKETCHES))
 
 
 def _by_group(posts: DataFrame, schema: str, found) -> DataFrame:
@@ -215,6 +226,30 @@ def open_pairs(rows: np.ndarray, block: int = 1 << 17) -> Iterator[pa.RecordBatc
         lo = hi
 
 
+def fingerprint_pairs(posts: DataFrame, prints: DataFrame, radius: int = RADIUS, tree_size: int = TREE) -> DataFrame:
+    """Pairs (a, b) of classes whose fingerprints BK-trees find within ``radius`` bits of one another; ``posts`` (h, .., cls), ``prints`` (cls, fp).
+
+    A shard has the classes of one prefix shingle. One of more than ``tree_size`` is dealt into trees of about that size that are
+    searched by their own members only, others in each shard. A fingerprint's least class stands for it; the others are paired with that."""
+    first = prints.groupBy("fp").agg(F.min("cls").alias("cls"))
+    shards = posts.select("h", "cls").join(first, "cls")
+    large = shards.groupBy("h").count().filter(F.col("count") > tree_size).select("h", F.ceil(F.col("count") / tree_size).cast("int").alias("trees"))
+    shards = shards.join(large, "h", "left").select("fp", F.pmod(F.xxhash64("fp", "h"), F.coalesce("trees", F.lit(1))).cast("int").alias("block"), F.col("h").alias("value"))
+    links = shard_links(shards, radius, 2 * tree_size).distinct()
+    near = links.join(first.select(F.col("fp").alias("a"), F.col("cls").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("cls").alias("y")), "b")
+    equal = prints.join(first.withColumnRenamed("cls", "y"), "fp").select(F.col("cls").alias("x"), "y").filter("x != y")
+    return near.select("x", "y").union(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that ``found`` (node, component) has in different components."""
+    def side(name: str) -> DataFrame:
+        return found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
+
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+
+
 def sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sizes and sketches (cls, n, s0 ..) allow a similarity of 0.8; no similar pair goes."""
     def side(name: str) -> DataFrame:
@@ -253,24 +288,28 @@ def near_components(docs: DataFrame) -> DataFrame:
     A doc_id that repeats is in the group of each of its texts. Texts without words are equal to one another.
     """
     marked = common.staged(with_prefixes(docs.filter("doc_id IS NOT NULL")), "prefixes")
-    classes = common.staged(marked.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in SKETCHES)), "classes")
-    sketches, classes = classes.select("cls", "n", *SKETCHES), classes.select("cls", "least")
+    classes = common.staged(marked.groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp"), *(F.min(c).alias(c) for c in SKETCHES)), "classes")
+    sketches, prints, classes = classes.select("cls", "n", *SKETCHES), classes.select("cls", "fp"), classes.select("cls", "least")
     one = marked.join(classes.withColumnRenamed("least", "doc_id"), ["cls", "doc_id"])
     posts = one.select("cls", "n", F.posexplode("prefix").alias("place", "h")).select("h", "n", F.col("place").cast("long").alias("place"), "cls")
     posts = common.staged(_in_order(posts, POST, shared_posts), "posts")
-    first = common.staged(sketched(_in_order(posts, "a long, b long", neighbour_pairs).distinct(), sketches), "pairs")
+    close = common.staged(sketched(fingerprint_pairs(posts, prints), sketches), "pairs")
+    linked = verified(close, docs, classes)
+    found = common.staged(connected_components(linked), "components")
+    first = common.staged(sketched(apart(_in_order(posts, "a long, b long", neighbour_pairs).distinct(), found), sketches), "pairs")
     early = verified(first, docs, classes)
-    found = connected_components(early).withColumnRenamed("node", "cls")
+    common.forget(found)
+    found = connected_components(linked.union(early)).withColumnRenamed("node", "cls")
     labelled = posts.join(found, "cls", "left").join(sketches.drop("n"), "cls").select("h", "n", "place", "cls", F.coalesce("component", "cls").alias("component"), *SKETCHES)
     labelled = common.staged(labelled, "labelled")
     # Shingles that only one component has are done; the rest is dealt into cells of a bounded size.
     several = labelled.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("h")
     cells = celled(labelled.join(several, "h", "left_semi")).select("cell", "n", "place", "cls", "component", *SKETCHES, "in_i", "same", "low")
-    rest = common.staged(_by_group(cells, "a long, b long", open_pairs).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    common.forget(posts, first, labelled)
+    rest = common.staged(_by_group(cells, "a long, b long", open_pairs).distinct().join(close.union(first), ["a", "b"], "left_anti"), "pairs")
+    common.forget(posts, close, first, labelled)
     late = verified(rest, docs, classes)
-    found = common.staged(connected_components(early.union(late)), "components").withColumnRenamed("node", "cls")
-    common.forget(rest, early, late)
+    found = common.staged(connected_components(linked.union(early).union(late)), "components").withColumnRenamed("node", "cls")
+    common.forget(rest, linked, early, late)
     named = classes.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     named = named.join(named.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("cls", "component_id")
     return marked.select("doc_id", "cls").join(named, "cls").select("doc_id", "component_id")

@@ -115,29 +115,32 @@ def _root(label: np.ndarray) -> np.ndarray:
 
 
 def spanning_links(values: np.ndarray, cell: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, radius: int, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) of values that join, cell by cell, all that lie within ``radius`` of one another: tree members against those that ask."""
+    """Links (a, b), each within ``radius``, that join, cell by cell, all values that lie within it of one another: tree members against those that ask."""
     members = np.flatnonzero(in_tree)
     forest = Forest(values[members], cell[members])
     tree_of = {c: k for k, c in enumerate(cell[members][forest.roots])}
     asking = np.flatnonzero(asks)
     asking = asking[[c in tree_of for c in cell[asking]]] if len(asking) else asking
     label = np.arange(len(values))
+    ends = [(label[:0], label[:0])]
     for lo in range(0, len(asking), block):
         part = asking[lo : lo + block]
         trees = np.array([tree_of[c] for c in cell[part]])
         for q, t in forest.search(values[part], trees, radius):
-            a, b = part[q], members[t]
+            x, y = part[q], members[t]
             while True:
-                a, b = label[a], label[b]
+                a, b = label[x], label[y]
                 differ = a != b
                 if not differ.any():
                     break
-                a, b = a[differ], b[differ]
-                np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+                a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+                # Each root is hung below one smaller root, by the link that says so.
+                high, at = np.unique(np.maximum(a, b), return_index=True)
+                label[high] = np.minimum(a, b)[at]
+                ends.append((x[at], y[at]))
                 label = _root(label)
-    label = _root(label)
-    moved = np.flatnonzero(label != np.arange(len(values)))
-    return values[moved], values[label[moved]]
+    x, y = (np.concatenate(e) for e in zip(*ends, strict=True))
+    return values[x], values[y]
 
 
 def near_links(fps: DataFrame, radius: int = RADIUS, tree_size: int = 4096) -> DataFrame:
@@ -146,7 +149,11 @@ def near_links(fps: DataFrame, radius: int = RADIUS, tree_size: int = 4096) -> D
     bits = [(F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1), hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)]
     pairs = [F.shiftleft(a, width) + b for (a, _), (b, width) in itertools.combinations(bits, 2)]
     parts = F.array(*(F.struct(F.lit(k).alias("block"), value.alias("value")) for k, value in enumerate(pairs)))
-    posts = fps.select("fp", F.explode(parts).alias("p")).select("fp", "p.block", "p.value")
+    return shard_links(fps.select("fp", F.explode(parts).alias("p")).select("fp", "p.block", "p.value"), radius, tree_size)
+
+
+def shard_links(posts: DataFrame, radius: int, tree_size: int = 4096) -> DataFrame:
+    """Links (a, b) that connect, shard by shard, all fingerprints within ``radius`` bits; ``posts`` (fp, block, value) has each fingerprint once a shard."""
     large = posts.groupBy("block", "value").count().filter(F.col("count") > tree_size).select("block", "value", F.ceil(F.col("count") / tree_size).cast("int").alias("trees"))
     cut = posts.join(large, ["block", "value"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
