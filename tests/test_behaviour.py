@@ -211,3 +211,17 @@ def test_signal_catalog_and_tensor(spark):
     assert sinks.series_catalog(long, ["case", "channel"]).count() == 2
     with pytest.raises(Exception, match="different grids"):
         sinks.tensor(long.unionByName(spark.createDataFrame([(1, "b", 3, 0.3, 1.0)], long.schema)), "case", "channel", ["a", "b"]).collect()
+
+
+@pytest.mark.parametrize("name", ["zero_crossings"])
+def test_crossings_and_extrema_of_short_and_gappy_series_equal_sql(spark, tmp_path, name):
+    import duckdb
+
+    from tests.conftest import same
+    from waveloom.plans import registry
+
+    duck = duckdb.connect()
+    duck.sql("""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i) AS ts, CASE WHEN i < 6 THEN 10 + i WHEN i < 12 THEN 20 + i // 2 ELSE i % 5 END AS user_id, 'click' AS event_type,
+      CASE WHEN i % 5 = 4 OR i % 7 = 0 THEN NULL WHEN i % 11 = 0 THEN 'nan'::DOUBLE WHEN i % 13 = 0 THEN 20 ELSE 20 + (i * 37 % 19) - 9 END AS value FROM range(400) r(i)) TO '""" + f"{tmp_path}/events.parquet'")
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    same(registry.QUERIES[name](spark, str(tmp_path)).toPandas(), duck.sql(registry.ORACLE_SQL[name]).df())
