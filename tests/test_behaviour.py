@@ -213,7 +213,7 @@ def test_signal_catalog_and_tensor(spark):
         sinks.tensor(long.unionByName(spark.createDataFrame([(1, "b", 3, 0.3, 1.0)], long.schema)), "case", "channel", ["a", "b"]).collect()
 
 
-@pytest.mark.parametrize("name", ["zero_crossings"])
+@pytest.mark.parametrize("name", ["zero_crossings", "extrema"])
 def test_crossings_and_extrema_of_short_and_gappy_series_equal_sql(spark, tmp_path, name):
     import duckdb
 
