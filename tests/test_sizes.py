@@ -30,6 +30,7 @@ def frame(spark, monkeypatch):
 
 VIEWS = {"one": (0.6, list(range(8))), "two": (0.4, list(range(8, 16)))}
 JOBS = {
+    "hybrid_similarity": (40, lambda f: clusters.candidates(f, "id", "v", 5)),
     "density_outliers": (32, lambda f: clusters.local_density(f, "id", "v", "label")),
     "cluster_choice": (120, lambda f: mixed.choose(mixed.mixed_frame(f, "id", "v", VIEWS), 2, 3).rows),
 }
