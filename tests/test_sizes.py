@@ -32,6 +32,7 @@ VIEWS = {"one": (0.6, list(range(8))), "two": (0.4, list(range(8, 16)))}
 JOBS = {
     "hybrid_similarity": (40, lambda f: clusters.candidates(f, "id", "v", 5)),
     "density_outliers": (32, lambda f: clusters.local_density(f, "id", "v", "label")),
+    "cosine_pairs": (12, lambda f: clusters.pair_summary(f, "id", "v")),
     "silhouette_exact": (12, lambda f: clusters.silhouette(f, "id", "v", "label")),
     "embedding_outliers": (16, lambda f: clusters.local_outlier_factor(f, "id", "v", 5)),
     "cluster_choice": (120, lambda f: mixed.choose(mixed.mixed_frame(f, "id", "v", VIEWS), 2, 3).rows),
