@@ -36,6 +36,7 @@ JOBS = {
     "silhouette_exact": (12, lambda f: clusters.silhouette(f, "id", "v", "label")),
     "embedding_outliers": (16, lambda f: clusters.local_outlier_factor(f, "id", "v", 5)),
     "cluster_choice": (120, lambda f: mixed.choose(mixed.mixed_frame(f, "id", "v", VIEWS), 2, 3).rows),
+    "kmedoids": (17, lambda f: clusters.kmedoids(f, "id", "v", 4, rounds=3)),
 }
 
 
