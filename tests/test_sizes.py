@@ -38,6 +38,7 @@ JOBS = {
     "embedding_neighbours": (12, lambda f: embedding.view_candidates(f.select("id", F.slice("v", 1, 8).alias("one"), F.slice("v", 9, 8).alias("two")), "id", {"one": 0.6, "two": 0.4}, 5)),
     "cluster_choice": (120, lambda f: mixed.choose(mixed.mixed_frame(f, "id", "v", VIEWS), 2, 3).rows),
     "kmedoids": (17, lambda f: clusters.kmedoids(f, "id", "v", 4, rounds=3)),
+    "embedding_clusters": (38, lambda f: embedding.embedding_clusters(f, "id", "v", 3, 4, tries=2)[0]),
 }
 
 
