@@ -97,3 +97,10 @@ def test_random_tables(spark):
     r = random.Random(12)
     words = ["Force", "moment", "(kN)", "ij", "(15 ms)", "Upper tibia", "Foot", "Measure Left Right", "Threshold", "Driver Passenger", "Tension 1", "Peak 4.5 6", "Low 1 2 3 4", "Row 9 1 2 3 4 5 6 7 8", "of -2 n/a", "3 4", "", "* x 1", "rate (m/s) 5", "Max 2-4 ±3 --"]
     check(spark, [(r.choice(["", "Driver", "passenger side"]), [r.choice(words) for _ in range(r.randint(0, 14))]) for _ in range(150)])
+
+
+def test_a_text_is_mended_once_where_it_is_needed(spark):
+    """A line, a record's text, a piece that joins it, and the labels with and without a threshold: five places in the plan, none of them twice."""
+    lines = spark.createDataFrame([(1, "Driver", 1, "HIC 12 34")], "page int, title string, line_no int, raw string")
+    plan = injuries.injury_rows(lines, ["page", "title"], "title")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("abdom\\s+en") <= 12, plan.count("abdom\\s+en")

@@ -38,7 +38,7 @@ def clean_label(c: str | Column) -> Column:
     text = reduce(lambda x, mark: F.substring_index(x, mark, 1), FOOTERS, text)
     text = collapse(F.regexp_replace(F.regexp_replace(text, r"\s+([,;:)\]])", "$1"), r"(\()\s+", "$1"))
     text = F.regexp_replace(text, r"(?i)^N\s+(.+?)\s+ij$", "Nij $1")
-    return F.when(text.rlike(r"^\d{4}$"), "").otherwise(text)
+    return F.regexp_replace(text, r"^\d{4}$", "")  # the text stands here once, so it is worked out once
 
 
 def canonical_label(c: str | Column) -> Column:
