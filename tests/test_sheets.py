@@ -74,3 +74,11 @@ def test_empty_nulls_and_repeats(spark, found):
     assert sheets.workbook_metrics(full, spark.createDataFrame([], LIST)).count() == 0
     twice = full.unionByName(full).unionByName(spark.createDataFrame([(None, None, None, None, None, None), ("w", "cen1", 1, None, "z", None)], CELLS))
     assert sorted(map(str, sheets.workbook_metrics(twice, listed(spark, list(GRIDS))).collect())) == sorted(map(str, found))
+
+
+def test_numbers_and_texts_of_sheets_are_worked_out_once(spark):
+    cells = spark.createDataFrame([(1, "CEN1", 0, 0, "Pillar")], "workbook int, sheet string, row int, col int, text string")
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+    wide = sheets.wide_rows(cells)
+    rows = spark.createDataFrame(wide.collect(), wide.schema)
+    assert count(wide) <= 2 and count(sheets.geometry(rows)) <= 40, (count(wide), count(sheets.geometry(rows)))

@@ -19,6 +19,11 @@ def collapse(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(_col(c), r"\s+", " "))
 
 
+def once(c: Column) -> Column:
+    """``c``, a column of its own that is worked out once for each row: filters on it, and what names it often, would else work it out again."""
+    return F.explode(F.array(c))
+
+
 def key(c: str | Column) -> Column:
     """Lower-case letters and digits only."""
     return F.regexp_replace(F.lower(_col(c)), "[^a-z0-9]+", "")
@@ -83,7 +88,7 @@ def locator_sheet(c: str | Column) -> Column:
 def plain_number(c: str | Column, exponent: bool = True) -> Column:
     """The number that is left when all but digits, signs, points and, with ``exponent``, e is taken out."""
     kept = F.regexp_replace(_col(c), "[^0-9.+eE-]" if exponent else "[^0-9.+-]", "")
-    return number(F.nullif(kept, F.lit("")))
+    return number(kept)
 
 
 def loose_number(c: str | Column) -> Column:

@@ -27,11 +27,6 @@ def mended(c: str | Column) -> Column:
     return labels.clean_label(F.translate(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), "−–—º", "---°"))
 
 
-def _once(c: Column) -> Column:
-    """``c``, worked out once for each row: a filter on it would else be moved before it, and work it out again."""
-    return F.explode(F.array(c))
-
-
 def _signature(c: Column) -> Column:
     return T.collapse(F.regexp_replace(F.lower(c), r"[^a-z0-9\s:/-]", ""))
 
@@ -50,7 +45,7 @@ def _merged(record: Column, piece: Column) -> Column:
 def records(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(keys.., record, section, text, two_seats, two_sides, threshold): the records of each table, from its lines (keys.., line_no, raw), and what
     its column headers name. Lines from a table's footer on count for nothing; null and empty lines neither."""
-    rows = lines.select(*keys, "line_no", _once(mended("raw")).alias("line")).filter("line != ''")
+    rows = lines.select(*keys, "line_no", T.once(mended("raw")).alias("line")).filter("line != ''")
     table = Window.partitionBy(*keys)
     upto = table.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     low = F.lower("line")
@@ -108,7 +103,7 @@ def rows_of(found: DataFrame, keys: list[str], title: str | None = None, side: s
     split = found.withColumns({"_t": F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), "_f": F.split("text", TOKEN, -1), "_n": size})
     (long_label, long_cells), (label, cells) = _tail(F.col("_n") + 1), _tail(F.col("_n"))
     # A threshold only where the headers name one; without a label in front of it, the record is read as one without.
-    split = split.withColumn("_labels", _once(F.struct(F.when(F.col("threshold"), long_label).otherwise("").alias("_long"), label.alias("_short")))).select("*", "_labels.*")
+    split = split.withColumn("_labels", T.once(F.struct(F.when(F.col("threshold"), long_label).otherwise("").alias("_long"), label.alias("_short")))).select("*", "_labels.*")
     over = F.col("_long") != ""
     split = split.select(*keys, "record", "section", "two_seats", "two_sides", *([title] if title and title not in keys else []), *([side] if side and side not in keys else []), F.when(over, F.col("_long")).otherwise(F.col("_short")).alias("label"), F.when(over, F.slice(long_cells, F.lit(2), F.col("_n"))).otherwise(cells).alias("_c"), F.when(over, F.get(long_cells, F.lit(0))).alias("threshold_text")).filter("label != ''")
     named = F.when(F.contains(F.lower(F.col(title)), F.lit("driver")), "driver").when(F.contains(F.lower(F.col(title)), F.lit("passenger")), "passenger") if title else F.lit(None).cast("string")

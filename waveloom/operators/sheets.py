@@ -72,8 +72,8 @@ def roles(sheets: DataFrame) -> DataFrame:
 
 def wide_rows(cells: DataFrame) -> DataFrame:
     """Rows that have any text (workbook, sheet, row, last_col, c0 to c13); columns behind the last one that is read only count for the width."""
-    text = F.when(F.length(T.collapse("text")) > 0, T.collapse("text"))
-    return cells.groupBy(*SHEET, "row").agg(F.max("col").alias("last_col"), *(F.max(F.when(F.col("col") == i, text)).alias(f"c{i}") for i in range(WIDTH)))
+    text = F.when(F.length("text") > 0, F.col("text"))
+    return cells.select(*SHEET, "row", "col", T.once(T.collapse("text")).alias("text")).groupBy(*SHEET, "row").agg(F.max("col").alias("last_col"), *(F.max(F.when(F.col("col") == i, text)).alias(f"c{i}") for i in range(WIDTH)))
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -115,7 +115,9 @@ def geometry(rows: DataFrame) -> DataFrame:
     n = [F.col(f"n{i}") for i in range(2, 13)]
     at = lambda i: n[i - 2]
     whole = lambda *places: F.expr(" AND ".join(f"n{i} IS NOT NULL" for i in places))
-    body = rows.withColumns(numbers | {"label": F.coalesce("c1", "c0")}).withColumns({"base": _slug("label"), "newer": whole(2, 3, 4, 5, 6, 7), "older": whole(2, 3, 4, 10, 11, 12)})
+    label = F.coalesce("c1", "c0")
+    parsed = F.struct(*(c.alias(k) for k, c in numbers.items()), label.alias("label"), _slug(label).alias("base"))
+    body = rows.select("*", T.once(parsed).alias("_p")).select("*", "_p.*").withColumns({"newer": whole(2, 3, 4, 5, 6, 7), "older": whole(2, 3, 4, 10, 11, 12)})
     body = body.filter(F.col("label").isNotNull() & ~F.col("base").isin(*GEOMETRY_HEADS) & (F.col("newer") | F.col("older")))
     for k, axis in enumerate("xyz"):
         after = F.when(F.col("newer"), at(5 + k)).otherwise(at(10 + k))
